@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import authorship, doc_pairs, syntax
+from . import authorship, doc_pairs, leakage, mixing, syntax
 
 
 def p2_found(spark, sf_dir):
@@ -26,5 +26,21 @@ def p3_pairs(spark, sf_dir):
     return doc_pairs.pairs(table(spark, sf_dir, "parse_inputs"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_rates": p4_rates}
+def p6_found(spark, sf_dir):
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def _mix(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_allocation(spark, sf_dir):
+    return _mix(spark, sf_dir).allocation
+
+
+def p7_shares(spark, sf_dir):
+    return mixing.shares(_mix(spark, sf_dir))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_rates": p4_rates, "p6_found": p6_found, "p7_allocation": p7_allocation, "p7_shares": p7_shares}
 SQL: dict[str, str] = {}
