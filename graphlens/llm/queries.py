@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import authorship, doc_pairs, leakage, mixing, syntax
+from . import authorship, doc_pairs, leakage, mixing, sentences, syntax
 
 
 def p2_found(spark, sf_dir):
@@ -42,5 +42,10 @@ def p7_shares(spark, sf_dir):
     return mixing.shares(_mix(spark, sf_dir))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_rates": p4_rates, "p6_found": p6_found, "p7_allocation": p7_allocation, "p7_shares": p7_shares}
+def p8_found(spark, sf_dir):
+    return sentences.units(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_rates": p4_rates, "p6_found": p6_found, "p7_allocation": p7_allocation, "p7_shares": p7_shares,
+    "p8_found": p8_found}
 SQL: dict[str, str] = {}
