@@ -48,6 +48,7 @@ class Item:
     calls: list[tuple[str, int, int, bool]] = field(default_factory=list)  # name, offset, flags, is_method
     local: dict[str, str | None] = field(default_factory=dict)  # declared types of names
     inner: bool = False  # inside a function
+    events: list[tuple] = field(default_factory=list)  # calls and the blocks around them, in order
 
 
 @dataclass
@@ -140,6 +141,7 @@ class Parser:
         """Record a call of the innermost function."""
         if self.functions:
             self.functions[-1].calls.append((name, at, self.flags[-1], is_method))
+            self.functions[-1].events.append(("call", len(self.functions[-1].calls) - 1))
 
     def awaited(self, before: int) -> None:
         """Mark the last call recorded since ``before`` calls as awaited."""
@@ -162,10 +164,25 @@ class Parser:
         """Parse with ``flag`` set on every call inside."""
         if not self.flags:
             return parse(*args)
-        old = self.flags[-1]
+        old, fn = self.flags[-1], self.functions[-1]
         self.flags[-1] |= flag
+        fn.events.append((*self.block_label(flag), self.i))
         try:
             return parse(*args)
         finally:
+            fn.events.append(("end",))
             if self.flags:
                 self.flags[-1] = old
+
+    def block_label(self, flag: int) -> tuple[str, str]:
+        """(loop, alt or else, the words from its keyword on) of a block that begins here."""
+        k = self.i - 1
+        if self.texts[k] in ("else", ":") and k and (self.texts[k] == "else" or self.texts[k - 1] == "else"):
+            return "else", ""
+        while k > max(0, self.i - 60) and self.texts[k] not in ("if", "elif", "while", "for", "loop", "match", "switch", "case", "except", "on", "catch"):
+            if self.texts[k] in (";", "{", "}", "=>", "nl"):
+                break
+            k -= 1
+        words = self.text[self.ats[k + 1] : self.ats[self.i]] if self.i < len(self.ats) else ""
+        other = flag == CONDITIONAL and (self.texts[k] in ("elif", "except", "catch", "on", "case") or k and self.texts[k - 1] == "else")
+        return ("else" if other else "loop" if flag == REPEATED else "alt"), " ".join(words.split()).rstrip("{:) ").strip()
