@@ -216,3 +216,87 @@ def resolve_calls(atoms: DataFrame, edges: DataFrame, sites: DataFrame, reexport
     )
     ext_atoms = ext.select(F.col("target").alias("id"), F.lit(schema.EXTERN).alias("kind"), F.col("fn").alias("name"), F.concat("prefix", F.lit("::"), "fn").alias("signature")).distinct()
     return new.unionByName(ext_edges), ext_atoms
+
+
+def import_edges(imports: DataFrame, modules: DataFrame) -> DataFrame:
+    """``src, dst`` between module atoms, distinct and without self links.
+
+    ``imports``: module_id, file_path, target (as parsed).  ``modules``: id,
+    file_path.  Rust paths name a module of the crate or an item of one; Python
+    names an absolute module by its dotted path or the end of one, a relative
+    one exactly; Dart names a package path by its end or a relative file.
+    """
+    lang = S.lang_of(F.col("file_path"))
+    m = modules.select(F.col("id").alias("dst"), "file_path", lang.alias("lang"), S.crate_root(F.col("file_path")).alias("root"))
+    i = imports.select(F.col("module_id").alias("src"), "file_path", "target", lang.alias("lang"), S.crate_root(F.col("file_path")).alias("from_root")).distinct()
+    # Rust: the whole path, else its parent.
+    fk, fm, _ = S.rust_module(F.col("file_path"))
+    rust_files = m.where("lang = 'rs'").select("dst", fk.alias("k"), fm.alias("path"))
+    head = F.substring_index("target", "::", 1)
+    rest = F.when(F.instr("target", "::") > 0, F.substring(F.col("target"), F.length(head) + 3, F.lit(1 << 30))).otherwise("")
+    base = F.when(head == "crate", "").when(head == "self", F.col("m")).when(head == "super", S.parent_module(F.col("m"))).otherwise(S.join_module(F.col("m"), head))
+    r = i.where("lang = 'rs'").withColumn("k", fk).withColumn("m", fm).withColumn("full", S.join_module(base, rest)).where("full is not null")
+    both = r.select("src", "target", "k", F.explode(F.array(F.struct(F.lit(0).alias("n"), F.col("full").alias("path")), F.struct(F.lit(1).alias("n"), F.coalesce(S.parent_module(F.col("full")), F.lit("")).alias("path")))).alias("c")).select("src", "target", "k", "c.*")
+    hit = both.join(rust_files, ["k", "path"])
+    nearest = hit.withColumn("least", F.min("n").over(Window.partitionBy("src", "target"))).where("n = least").select("src", "dst")
+    # Python: module first, then the package of an imported name.
+    py_files = m.where("lang = 'py'").select("dst", "root", S.python_dotted(F.col("file_path")).alias("path"))
+    mod = F.substring_index("target", "::", 1)
+    dots = F.length(F.regexp_extract(mod, r"^(\.*)", 1))
+    here = F.split(S.python_dotted(F.col("file_path")), r"\.")
+    is_init = F.endswith("file_path", F.lit("__init__.py"))
+    up = F.slice(here, F.lit(1), F.greatest(F.size(here) - dots + is_init.cast("int"), F.lit(0)))
+    name = F.substring_index("target", "::", -1)
+    tail = F.ltrim(mod, F.lit("."))
+    rel = F.array_join(F.filter(F.concat(up, F.array(tail)), lambda x: x != ""), ".")
+    p = i.where("lang = 'py'").withColumn("dots", dots).withColumn("w", F.when(dots > 0, rel).otherwise(mod))
+    named = F.when(F.instr("target", "::") > 0, F.concat_ws(".", "w", name))
+    p = p.select("src", "from_root", "dots", F.explode(F.array(F.struct(F.lit(0).alias("n"), named.alias("w")), F.struct(F.lit(1).alias("n"), F.col("w").alias("w")))).alias("c"), "target").select("src", "from_root", "dots", "target", "c.*").where("w is not null and w <> ''")
+    segs = F.split("path", r"\.")
+    tails = F.transform(F.sequence(F.lit(1), F.size(segs)), lambda n: F.array_join(F.slice(segs, n, F.size(segs)), "."))
+    ends = py_files.select("dst", "root", "path", F.explode(tails).alias("w"))
+    cand = p.join(ends, "w").where("dots = 0 or w = path").where("src <> dst").withColumn("same", F.col("root").eqNullSafe(F.col("from_root")))
+    picked = unique_file(cand.withColumnRenamed("dst", "to"), ["src", "target", "n"], "to").where("to is not null")
+    py = picked.withColumn("least", F.min("n").over(Window.partitionBy("src", "target"))).where("n = least").select("src", F.col("to").alias("dst"))
+    # Dart: package paths by their end, relative ones against the importer's directory.
+    dart_files = m.where("lang = 'dart'").select("dst", "root", F.col("file_path").alias("path"))
+    d = i.where("lang = 'dart' and target not like 'dart:%'")
+    package = F.startswith("target", F.lit("package:"))
+    folder = F.slice(F.split("file_path", "/"), F.lit(1), F.size(F.split("file_path", "/")) - 1)
+    parts = F.split(F.regexp_replace("target", r"^(\./)+", ""), "/")
+    ups = F.size(F.filter(parts, lambda x: x == ".."))
+    norm = F.array_join(F.concat(F.slice(folder, F.lit(1), F.greatest(F.size(folder) - ups, F.lit(0))), F.filter(parts, lambda x: (x != "..") & (x != "."))), "/")
+    d = d.select("src", "from_root", "target", package.alias("pkg"), F.when(package, F.regexp_replace("target", r"^package:[^/]*/", "")).otherwise(norm).alias("w"))
+    psegs = F.split("path", "/")
+    ptails = F.transform(F.sequence(F.lit(1), F.size(psegs)), lambda n: F.array_join(F.slice(psegs, n, F.size(psegs)), "/"))
+    dends = dart_files.select("dst", "root", "path", F.explode(ptails).alias("w"))
+    dc = d.join(dends, "w").where("pkg or w = path").where("src <> dst").withColumn("same", F.col("root").eqNullSafe(F.col("from_root")))
+    dart = unique_file(dc.withColumnRenamed("dst", "to"), ["src", "target"], "to").where("to is not null").select("src", F.col("to").alias("dst"))
+    return nearest.where("src <> dst").unionByName(py).unionByName(dart).distinct()
+
+
+def implement_edges(atoms: DataFrame, contains: DataFrame) -> DataFrame:
+    """``src, dst`` from impls to traits, and from their methods to the trait's by name."""
+    pairs = implements(atoms.where("kind = 'impl'").select("id", "name", "file_path"), atoms.where("kind = 'trait'").select("id", "name", "file_path"))
+    kids = contains.where("kind = 'contains'").join(atoms.where("kind = 'function'").select(F.col("id").alias("dst"), "name"), "dst").select("src", "dst", "name")
+    a = pairs.join(kids.select(F.col("src").alias("impl_id"), F.col("dst").alias("a"), "name"), "impl_id")
+    b = a.join(kids.select(F.col("src").alias("trait_id"), F.col("dst").alias("b"), "name"), ["trait_id", "name"])
+    return pairs.select(F.col("impl_id").alias("src"), F.col("trait_id").alias("dst")).unionByName(b.select(F.col("a").alias("src"), F.col("b").alias("dst"))).distinct()
+
+
+def lookup(atoms: DataFrame, target: str, kind: str = "function") -> str:
+    """The id that a user's target names: exact id, ``Owner::name``, exact name.
+
+    Several candidates are an error that names the first three; none is one too.
+    """
+    a = atoms.where(F.col("kind") == kind)
+    hint = F.endswith("id", F.lit("::" + target)) if "::" in target else F.lit(False)
+    path = F.col("file_path") == target if kind == "module" else F.lit(False)
+    ranked = a.select("id", F.when(F.col("id") == target, 0).when(path | hint, 1).when(F.col("name") == target, 2).alias("p")).where("p is not null")
+    got = ranked.orderBy("p", "id").limit(5).collect()
+    best = [r["id"] for r in got if r["p"] == got[0]["p"]] if got else []
+    if len(best) == 1:
+        return best[0]
+    if not best:
+        raise LookupError(f"no {kind} is called {target!r}")
+    raise LookupError(f"{target!r} is ambiguous: " + ", ".join(best[:3]) + (", ..." if len(best) > 3 else ""))

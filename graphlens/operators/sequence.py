@@ -39,11 +39,11 @@ def _steps(it: Item, entity: str, most: int) -> list[tuple]:
             at = opened.pop()
             if at < 0:
                 continue
-            if any(r[0] in ("call", "note") for r in rows[at:]):
-                if rows[at][0] != "else":
-                    rows.append(["end", None, "", False, len(opened)])
-            else:
+            joined = rows[at][0] == "else"  # it took the end of the block that it joined
+            if not (seen := any(r[0] in ("call", "note") for r in rows[at:])):
                 del rows[at:]
+            if seen or joined:
+                rows.append(["end", None, "", False, len(opened)])
         else:
             if len(opened) >= most:
                 if not deep:
@@ -60,7 +60,6 @@ def _steps(it: Item, entity: str, most: int) -> list[tuple]:
             else:
                 opened.append(len(rows))
                 rows.append(["alt" if op == "else" else op, None, label, False, len(opened) - 1])
-    # An else that follows a dropped branch was opened as an alt; one that joined needs its end.
     out, depth = [], 0
     for k, (op, to, label, wait, _) in enumerate(rows):
         if op == "end":

@@ -24,7 +24,9 @@ def bounded_bfs(edges: DataFrame, root: str, hops: int = 3, reverse: bool = Fals
     near, far = ("dst", "src") if reverse else ("src", "dst")
     adj = edges.select(F.col(near).alias("node"), F.col(far).alias("m"), "seq")
     spark = edges.sparkSession
-    frontier = spark.createDataFrame([(root, 1, [root])], "node string, pos bigint, path array<string>")
+    # ``key``: the ``seq`` of every step to a node.  Keys of one level are equally long, and their
+    # order is that of a sequential walk, so that no level has to be numbered.
+    frontier = spark.createDataFrame([(root, [], [root])], "node string, key array<bigint>, path array<string>")
     seen = spark.createDataFrame([(root, 0)], "id string, depth int")
     found = None
     for depth in range(1, hops + 1):
@@ -34,11 +36,9 @@ def bounded_bfs(edges: DataFrame, root: str, hops: int = 3, reverse: bool = Fals
         got = step.select("node", "m")
         found = got if found is None else found.unionByName(got)
         new = step.join(seen.select(F.col("id").alias("m")), "m", "left_anti")
-        first = Window.partitionBy("m").orderBy("pos", "seq")
+        first = Window.partitionBy("m").orderBy("key", "seq")
         parents = new.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-        # The order (pos, seq) as one number needs no global sort: only its rank within ties matters.
-        numbered = parents.select(F.col("m").alias("node"), F.struct("pos", "seq").alias("at"), F.concat("path", F.array("m")).alias("path"))
-        frontier = cut(_number(numbered))
+        frontier = cut(parents.select(F.col("m").alias("node"), F.concat("key", F.array(F.col("seq").cast("bigint"))).alias("key"), F.concat("path", F.array("m")).alias("path")))
         seen = cut(seen.unionByName(frontier.select(F.col("node").alias("id"), F.lit(depth).alias("depth"))))
     if found is None:
         found = spark.createDataFrame([], "node string, m string")
@@ -46,23 +46,6 @@ def bounded_bfs(edges: DataFrame, root: str, hops: int = 3, reverse: bool = Fals
     return found.select(F.col(a).alias("src"), F.col(b).alias("dst")).distinct(), seen
 
 
-def _number(rows: DataFrame) -> DataFrame:
-    """Number rows by ``at`` in order: a range partitioning, then a count per partition.
-
-    Every partition numbers its own rows; what the ones before it hold is added
-    from a table of one row per partition.
-    """
-    part = rows.repartitionByRange("at").sortWithinPartitions("at").withColumn("_p", F.spark_partition_id())
-    part = cut(part.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy("at"))))
-    sizes = {r["_p"]: r["n"] for r in part.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, total = [], 0
-    for p in sorted(sizes):
-        before += [F.lit(p), F.lit(total)]
-        total += sizes[p]
-    base = F.create_map(*before)[F.col("_p")] if before else F.lit(0)
-    return part.select("node", (base + F.col("_k")).cast("bigint").alias("pos"), "path")
-
-
 def impact(edges: DataFrame, root: str, hops: int = 3) -> tuple[DataFrame, DataFrame]:
     """Both directions: (edges caller to callee, nodes)."""
     back, nb = bounded_bfs(edges, root, hops, reverse=True)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +51,31 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     return sc.getCheckpointDir()
 
 
+_written: list = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared checkpoint folder and read it back.
+
+    That cuts the lineage, survives lost executors, runs the plan once, and
+    gives later joins the true size.  The folders are deleted when the session's
+    process ends.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _written:
+        atexit.register(_forget, spark)
+    _written.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _forget(spark: SparkSession) -> None:
+    """Delete what ``cut`` wrote, if the session still runs."""
+    try:
+        sc = spark.sparkContext
+        for path in _written:
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001
+        return  # the session has ended; the folder's owner cleans up
