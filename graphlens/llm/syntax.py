@@ -32,8 +32,8 @@ def _confirmed(text: str) -> bool:
     return False
 
 
-def check(path: str | None, content: bytes | None) -> tuple[str, list[tuple[int, str]]]:
-    """Language and errors (line, message) of one file, in order of place.
+def checked(path: str | None, content: bytes | None) -> tuple[str, parse.Unit, str, list[tuple[int, str]]]:
+    """Language, unit, text and errors (offset, message) of one file, parsed once.
 
     Null or empty content and unknown extensions are valid.  An error found in
     Python must also be one for the running interpreter, so that a gap of our
@@ -43,7 +43,13 @@ def check(path: str | None, content: bytes | None) -> tuple[str, list[tuple[int,
     language = parse.LANGUAGES.get(parse.extension(path), ("", None))[0]
     errors = sorted(set(unit.errors))
     if errors and language == "python" and errors[0][1] != "not UTF-8" and not _confirmed(text):
-        return language, []
+        errors = []
+    return language, unit, text, errors
+
+
+def check(path: str | None, content: bytes | None) -> tuple[str, list[tuple[int, str]]]:
+    """Language and errors (line, message) of one file, in order of place."""
+    language, _, text, errors = checked(path, content)
     lines = Lines(text) if errors else None
     return language, [(lines.of(at), what) for at, what in errors]
 
