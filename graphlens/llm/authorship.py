@@ -280,7 +280,7 @@ def judge(model: Model, path: str | None, content: bytes | None) -> tuple[bool,
     if not e.body.strip() and not e.notice:
         return False, 0.0, 0.0, False
     t, p = score(model.text, text_vector(e.body)) - model.text_at, path_score(model.path, path) - model.path_at
-    return not e.taken_over and (e.notice or t > 0 or p > 0) or t > 0.3, t, p, e.notice
+    return not e.taken_over and (e.notice or t > 0 or p > 0), t, p, e.notice
 
 
 def fit_on(files: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
