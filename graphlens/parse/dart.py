@@ -21,16 +21,17 @@ BINARY = {"??": 3, "||": 4, "&&": 5, "==": 6, "!=": 6, "<": 7, ">": 7, "<=": 7,
 ASSIGN = frozenset("= += -= *= /= %= ~/= ^= &= |= <<= >>= >>>= ??=".split())
 _OPERATORS = frozenset("< > <= >= == - + / ~/ * % | ^ & << >> >>> ~ []= []".split())
 _TOKEN = re.compile(
-    r"(?P<ws>[ \t\n\x0b\x0c ﻿]+)"
-    r"|(?P<line>//[^\n]*)"
+    r"[ \t\n\x0b\x0c ﻿]*(?:"
+    r"(?P<line>//[^\n]*)"
     r"|(?P<block>/\*)"
     r"|(?P<rstr>r(?:'''.*?'''|\"\"\".*?\"\"\"|'[^'\n]*'|\"[^\"\n]*\"))"
     r"|(?P<q>'''|\"\"\"|'|\")"
     r"|(?P<id>[A-Za-z_$][\w$]*)"
     r"|(?P<num>0[xX][0-9a-fA-F_]+|(?:[0-9][0-9_]*)?\.[0-9][0-9_]*(?:[eE][+-]?[0-9_]+)?|[0-9][0-9_]*(?:[eE][+-]?[0-9_]+)?)"
-    r"|(?P<p>" + "|".join(re.escape(x) for x in sorted(_PUNCT, key=len, reverse=True)) + ")",
+    r"|(?P<p>" + "|".join(re.escape(x) for x in sorted(_PUNCT, key=len, reverse=True)) + r")|(?P<end>\Z))",
     re.S | re.A,
 )
+_SPACE = re.compile(r"[ \t\n\x0b\x0c ﻿]*")
 _STOP = {q: re.compile(r"\\.|\$\{|\$[A-Za-z_]|" + q + ("" if len(q) == 3 else r"|\n"), re.S) for q in ("'", '"', "'''", '"""')}
 _CLOSE = {"(": ")", "[": "]", "{": "}"}
 _NAMES = frozenset(("id",))
@@ -75,12 +76,12 @@ class DartParser(Parser):
         text, n = self.text, len(self.text)
         while at < n:
             m = _TOKEN.match(text, at)
-            if not m:
+            if not m or m.lastgroup == "end":
                 return -1
             g = m.lastgroup
             at = m.end()
             if g == "q":
-                at = self.string_end(at, m[0], None)
+                at = self.string_end(at, m[g], None)
                 if at < 0:
                     return -1
             elif g == "block":
@@ -89,9 +90,9 @@ class DartParser(Parser):
                     return -1
                 at = k + 2
             elif g == "p":
-                if m[0] == "{":
+                if m[g] == "{":
                     depth += 1
-                elif m[0] == "}":
+                elif m[g] == "}":
                     depth -= 1
                     if not depth:
                         return at
@@ -101,20 +102,22 @@ class DartParser(Parser):
         text = self.text
         n = len(text) if n is None else n
         kinds, texts, ats = self.kinds, self.texts, self.ats
+        match = _TOKEN.match
         doc: list[str] | None = None
         doc_lines = False
         if at == 0 and text.startswith("#!"):
             at = text.find("\n") if "\n" in text else n
         while at < n:
-            m = _TOKEN.match(text, at)
+            m = match(text, at, n)
             if not m:
+                at = _SPACE.match(text, at, n).end()
                 self.unit.errors.append((at, f"unknown character {text[at]!r}"))
                 at += 1
                 continue
             g, end = m.lastgroup, m.end()
-            if g == "ws":
-                at = end
-                continue
+            if g == "end":
+                break
+            at = m.start(g)
             word = text[at:end]
             if g == "line":
                 if word.startswith("///"):

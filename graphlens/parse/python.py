@@ -16,15 +16,17 @@ BINARY = {"or": 1, "and": 2, "<": 4, ">": 4, "==": 4, ">=": 4, "<=": 4, "!=": 4,
 AUGMENTED = frozenset("+= -= *= /= //= %= @= &= |= ^= >>= <<= **=".split())
 _PREFIXES = frozenset("r u b br rb f fr rf".split()) | {""}
 _TOKEN = re.compile(
-    r"(?P<ws>[ \t\f]+|\\\n)"
-    r"|(?P<comment>\#[^\n]*)"
+    r"(?:[ \t\f]+|\\\n)*(?:"
+    r"(?P<comment>\#[^\n]*)"
     r"|(?P<nl>\n)"
     r"|(?P<str>(?:[A-Za-z]{1,2})?(?:'''|\"\"\"|'|\"))"
     r"|(?P<id>[^\W\d]\w*)"
     r"|(?P<num>0[xX](?:_?[0-9a-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+"
     r"|(?:[0-9](?:_?[0-9])*\.?(?:[0-9](?:_?[0-9])*)?|\.[0-9](?:_?[0-9])*)(?:[eE][+-]?[0-9](?:_?[0-9])*)?[jJ]?)"
-    r"|(?P<p>" + "|".join(re.escape(x) for x in sorted(_PUNCT, key=len, reverse=True)) + ")"
+    r"|(?P<p>" + "|".join(re.escape(x) for x in sorted(_PUNCT, key=len, reverse=True)) + r")|(?P<end>\Z))"
 )
+_SPACE = re.compile(r"(?:[ \t\f]+|\\\n)*")
+_INDENT = re.compile(r"[ \t\f]*")
 _LEADING_ZERO = re.compile(r"0[0-9_]*[1-9][0-9_]*$")
 _STOP = {q: re.compile(r"\\[\s\S]|" + q + ("" if len(q) == 3 else r"|\n")) for q in ("'", '"', "'''", '"""')}
 _FSTOP = {q: re.compile(r"\\(?![{}])[\s\S]|\\|\{\{|\}\}|\{|\}|" + q + ("" if len(q) == 3 else r"|\n")) for q in ("'", '"', "'''", '"""')}
@@ -86,8 +88,9 @@ class PythonParser(Parser):
         single = len(q) == 1
         while at < n:
             c = text[at]
-            if c == "\n" and single and not stack and False:
-                return -1
+            if c.isspace():
+                at += 1
+                continue
             if c == "#":
                 k = text.find("\n", at)
                 if k < 0 or single:
@@ -118,21 +121,22 @@ class PythonParser(Parser):
                         c = text[at : at + 1]
                     return at + 1 if c == "}" else -1
             m = _TOKEN.match(text, at)
-            if not m:
+            if not m or m.lastgroup == "end":
                 return -1
             g = m.lastgroup
+            word = m[g]
             if g == "str":
-                p = m[0].rstrip("'\"").lower()
-                q2 = m[0][len(p) :]
+                p = word.rstrip("'\"").lower()
+                q2 = word[len(p) :]
                 end = self.fstring_end(m.end(), q2, "r" in p, None) if "f" in p else self.string_end(m.end(), q2, "r" in p)
                 if end < 0:
                     return -1
                 at = end
                 continue
-            if g == "p" and not (m[0][0] in ":=" and not stack):
-                if m[0] in _CLOSE:
-                    stack.append(_CLOSE[m[0]])
-                elif m[0] in (")", "]", "}") and (not stack or stack.pop() != m[0]):
+            if g == "p" and not (word[0] in ":=" and not stack):
+                if word in _CLOSE:
+                    stack.append(_CLOSE[word])
+                elif word in (")", "]", "}") and (not stack or stack.pop() != word):
                     return -1
             at = m.end()
         return -1
@@ -146,6 +150,7 @@ class PythonParser(Parser):
         indents = [(0, 0)]
         bol = not nested
         errors = self.unit.errors
+        match = _TOKEN.match
 
         def add(k: str, w: str, a: int) -> None:
             kinds.append(k)
@@ -154,7 +159,7 @@ class PythonParser(Parser):
 
         while at < n:
             if bol:
-                m = re.compile(r"[ \t\f]*").match(text, at)
+                m = _INDENT.match(text, at)
                 lead, at0 = m[0], m.end()
                 c = text[at0 : at0 + 1]
                 if c == "#":
@@ -189,18 +194,26 @@ class PythonParser(Parser):
                 elif alt != indents[-1][1]:
                     errors.append((at0, "inconsistent use of tabs"))
                 at = at0
-            m = _TOKEN.match(text, at)
-            if not m or m.end() > n and m.lastgroup != "comment":
+            m = match(text, at, n)
+            if not m:
+                at = _SPACE.match(text, at, n).end()
                 errors.append((at, f"unknown character {text[at]!r}"))
                 at += 1
                 continue
             g, end = m.lastgroup, m.end()
-            if g == "ws":
-                if text[at] == "\\" and end >= len(text):
-                    errors.append((at, "unexpected end after a backslash"))
+            if g == "end":
+                if text[at:n].endswith("\\\n"):
+                    errors.append((n, "unexpected end after a backslash"))
+                break
+            if g == "comment":
                 at = end
                 continue
-            if g == "comment":
+            at = m.start(g)
+            if g == "id":
+                word = m[g]
+                kinds.append(word if word in KEYWORDS else "id")
+                texts.append(word)
+                ats.append(at)
                 at = end
                 continue
             if g == "nl":
@@ -209,7 +222,7 @@ class PythonParser(Parser):
                     bol = True
                 at = end
                 continue
-            word = m[0]
+            word = m[g]
             if g == "str":
                 p = word.rstrip("'\"").lower()
                 if p not in _PREFIXES:
@@ -242,9 +255,7 @@ class PythonParser(Parser):
                 add("fstr" if "f" in p else "bytes" if "b" in p else "str", text[at:j], at)
                 at = j
                 continue
-            if g == "id":
-                add(word if word in KEYWORDS else "id", word, at)
-            elif g == "num":
+            if g == "num":
                 nxt = text[end : end + 1]
                 if nxt.isalnum() or nxt == "_":
                     w2 = re.compile(r"\w+").match(text, end)[0]

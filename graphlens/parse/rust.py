@@ -22,8 +22,8 @@ _COMPARE = frozenset(("==", "!=", "<", ">", "<=", ">="))
 
 _ESC = r"\\(?:[nrt\\0'\"]|x[0-7][0-9a-fA-F]|u\{_*(?:[0-9a-fA-F]_*){1,6}\})"
 _TOKEN = re.compile(
-    r"(?P<ws>[ \t\n\x0b\x0c\x85‎‏  ]+)"
-    r"|(?P<doc>///(?!/)[^\n]*|//![^\n]*)"
+    r"[ \t\n\x0b\x0c\x85‎‏  ]*(?:"
+    r"(?P<doc>///(?!/)[^\n]*|//![^\n]*)"
     r"|(?P<line>//[^\n]*)"
     r"|(?P<block>/\*)"
     r"|(?P<raw>(?:b|c)?r(?P<h>#*)\"(?:.*?)\"(?P=h))"
@@ -33,9 +33,10 @@ _TOKEN = re.compile(
     r"|(?P<rawid>r\#[^\W\d]\w*)"
     r"|(?P<id>[^\W\d]\w*)"
     r"|(?P<num>0x[0-9a-fA-F_]+\w*|0o[0-7_]+\w*|0b[01_]+\w*|[0-9][0-9_]*(?:\.(?![.\w])|\.[0-9][0-9_]*)?(?:[eE][+-]?[0-9_]+)?\w*)"
-    r"|(?P<p>" + "|".join(re.escape(x) for x in sorted(_PUNCT, key=len, reverse=True)) + ")",
+    r"|(?P<p>" + "|".join(re.escape(x) for x in sorted(_PUNCT, key=len, reverse=True)) + r")|(?P<end>\Z))",
     re.S,
 )
+_SPACE = re.compile(r"[ \t\n\x0b\x0c\x85‎‏  ]*")
 _NUM = re.compile(r"(?:0x_*[0-9a-fA-F][0-9a-fA-F_]*|0o_*[0-7][0-7_]*|0b_*[01][01_]*|[0-9][0-9_]*)(?:[ui](?:8|16|32|64|128|size)|f32|f64)?|[0-9][0-9_]*(?:\.(?:[0-9][0-9_]*)?)?(?:[eE][+-]?_*[0-9][0-9_]*)?(?:f32|f64)?")
 _STR_BAD = re.compile(r"\\(?:[nrt\\0'\"\n]|x[0-9a-fA-F]{2}|u\{_*(?:[0-9a-fA-F]_*){1,6}\})")
 _CLOSE = {"(": ")", "[": "]", "{": "}"}
@@ -71,6 +72,7 @@ class RustParser(Parser):
         while at < n:
             m = match(text, at)
             if not m:
+                at = _SPACE.match(text, at).end()
                 c = text[at]
                 self.unit.errors.append((at, f"unterminated {'string' if c == chr(34) else 'literal'}" if c in "\"'" else f"unknown character {c!r}"))
                 if c == '"':
@@ -80,9 +82,12 @@ class RustParser(Parser):
             g, end = m.lastgroup, m.end()
             if g == "h":
                 g = "raw"
-            if g == "ws" or g == "line":
+            if g == "line":
                 at = end
                 continue
+            if g == "end":
+                break
+            at = m.start(g)
             word = text[at:end]
             if g == "id":
                 kinds.append("_" if word == "_" else word if word in KEYWORDS else "id")
