@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import parse, schema
 from ..functions import scalars as S
 from ..parse.base import TYPED, Item, Lines, Unit
+from ..session import spread
 
 _OUT = "file_path string, what string, id string, kind string, name string, line_start int, line_end int, doc string, signature string, content_hash string, parent string, scope string, pos int, target string, rank int, flags int, is_method boolean, extra string"
 _COLS = [x.split()[0] for x in _OUT.split(", ")]
@@ -166,7 +167,7 @@ def parse_files(files: DataFrame) -> DataFrame:
 
     Null paths and unknown extensions give nothing; null content is empty.
     """
-    return files.where("path is not null").select("path", "content").mapInPandas(_run, _OUT)
+    return spread(files.where("path is not null").select("path", "content")).mapInPandas(_run, _OUT)
 
 
 def atoms_of(rows: DataFrame) -> DataFrame:

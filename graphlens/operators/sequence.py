@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import parse
 from ..functions import scalars as S
 from ..parse.base import AWAIT, Item
+from ..session import spread
 from .parsing import _item_id
 
 STEPS = "fn_id string, fn_name string, ord int, depth int, op string, src string, dst string, label string, is_await boolean"
@@ -93,7 +94,7 @@ def steps(files: DataFrame, most: int = MAX_DEPTH) -> DataFrame:
             out = pd.DataFrame(rows, columns=names)
             yield out.astype({"ord": "Int32", "depth": "Int32", "is_await": "boolean"})
 
-    return files.where("path is not null").select("path", "content").mapInPandas(run, STEPS)
+    return spread(files.where("path is not null").select("path", "content")).mapInPandas(run, STEPS)
 
 
 def list_functions(files: DataFrame) -> DataFrame:

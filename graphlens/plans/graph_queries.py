@@ -441,6 +441,42 @@ def resolved_type_uses(spark, d):
     return resolve.type_targets(parsing.type_refs_of(rows), types)
 
 
+def _module_files(spark, d):
+    """One row per path of a repo: the first file by id, as a module of its own tree."""
+    p = table(spark, d, "parse_inputs").select("repo", "file_id", F.regexp_replace(F.translate("display_path", "\\", "/"), r"^(\./)+", "").alias("path"), "content")
+    best = p.groupBy("repo", "path").agg(F.min(F.struct("file_id", "content")).alias("b"))
+    return best.select(F.concat("repo", F.lit("/"), "path").alias("path"), "b.content")
+
+
+@query()
+def module_tree(spark, d):
+    return resolve.module_tree(parsing.atoms_of(parsing.parse_files(_module_files(spark, d))))
+
+
+@query(f"""with {P.TRADE} select src, dst from e where src = 'C1'""")
+def edges_from(spark, d):
+    return graph.CodeGraph(P.trade_vertices(spark, d), P.trade_edges(spark, d)).edges_from("C1", "calls").select("src", "dst")
+
+
+@query("select 'C'||c_custkey dst from customer where c_nationkey = 3")
+def children_of(spark, d):
+    return graph.CodeGraph(P.nest_atoms(spark, d), P.nest_edges(spark, d)).children_of("N3")
+
+
+@query()
+def knowledge_graph(spark, d):
+    from .. import engine
+
+    v = P.event_vertices(spark, d).withColumns({"signature": F.lit("pub fn"), "parent": F.lit(None).cast("string")})
+    return engine.knowledge_graph(graph.CodeGraph(v, P.event_edges(spark, d)), 60)[1]
+
+
+@query()
+def dot_impact(spark, d):
+    e, n = traverse.impact(P.event_edges(spark, d), _ROOT)
+    return render.dot(n.withColumn("label", F.col("id")), e)
+
+
 @query(r"""with p as (select file_id, replace(display_path, '\', '/') path from parse_inputs) select file_id, path, case split_part(path, '.', -1) when 'rs' then 'rust' when 'py' then 'python' else 'dart' end lang from p
 where split_part(path, '.', -1) in ('rs', 'py', 'dart') and not regexp_matches(path, '\.(g|freezed|mocks|gr)\.dart$')
 and not regexp_matches(path, '(^|/)(target|node_modules|\.git|__pycache__|venv|dist|build|vendor|\.[^/.][^/]*)/')""")
