@@ -2,14 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from ..session import spread
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small input as many partitions as there are cores.
-
-    Large inputs already come in more partitions and are not moved; a file of
-    one row group would otherwise be worked through by a single core.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+__all__ = ["spread"]
