@@ -151,19 +151,21 @@ def resolve_calls(atoms: DataFrame, edges: DataFrame, sites: DataFrame, reexport
     external atom.  Names of the skip list are left out unless an owner in the
     graph has such a method.  Runs once per graph.
     """
-    fns = atoms.where("kind = 'function'").select(
-        "id", "name", "parent", "file_path", "scope", S.lang_of(F.col("file_path")).alias("lang"), S.crate_root(F.col("file_path")).alias("crate"), S.file_module_name(F.col("file_path")).alias("module"),
+    krate, mpath, _ = S.rust_module(F.col("file_path"))
+    # Written once: as plain columns the names of files and crates do not multiply in later expressions.
+    fns = cut(atoms.where("kind = 'function'").select(
+        "id", "name", "parent", "file_path", "scope", krate.alias("krate"), mpath.alias("mpath"), S.lang_of(F.col("file_path")).alias("lang"), S.crate_root(F.col("file_path")).alias("crate"), S.file_module_name(F.col("file_path")).alias("module"),
         F.element_at(F.split(S.strip_generics(F.coalesce(S.impl_owner_type(F.col("parent")), F.col("parent"))), "::"), -1).alias("owner"),
-    )
+    ))
     prefix, last = S.split_call(F.col("name"))
-    caller = fns.select(F.col("id").alias("caller_id"), F.col("lang"), F.col("crate").alias("from_crate"), F.col("file_path").alias("from_file"), F.coalesce("scope", F.lit("")).alias("from_scope"))
+    caller = fns.select(F.col("id").alias("caller_id"), F.col("lang"), F.col("crate").alias("from_crate"), F.col("file_path").alias("from_file"), F.coalesce("scope", F.lit("")).alias("from_scope"), F.col("krate").alias("k"), F.col("mpath").alias("m"))
     s = sites.where("not is_method").select("caller_id", "name", "rank", "flags", prefix.alias("prefix"), last.alias("fn")).join(caller, "caller_id")
     s = s.withColumn("qual", S.strip_generics(F.element_at(F.split("prefix", "::"), -1)))
     methods = fns.where("owner is not null").select(F.col("owner").alias("qual"), F.col("name").alias("fn"), F.lit(True).alias("has")).distinct()
     s = s.join(methods, ["qual", "fn"], "left").where(~F.col("fn").isin(*schema.SKIP_CALLS) | F.col("has")).drop("has")
     # What decides a site: many sites of one caller and name are looked up once.
     key = ["caller_id", "prefix", "fn"]
-    asked = cut(s.select(*key, "qual", "lang", "from_crate", "from_file", "from_scope").distinct())
+    asked = cut(s.select(*key, "qual", "lang", "from_crate", "from_file", "from_scope", "k", "m").distinct())
     linked = edges.where("kind = 'calls'").select(F.col("src").alias("caller_id"), F.col("dst").alias("target")).distinct()
 
     def stage(cand: DataFrame) -> DataFrame:
@@ -172,17 +174,16 @@ def resolve_calls(atoms: DataFrame, edges: DataFrame, sites: DataFrame, reexport
         same = F.col("from_crate").eqNullSafe(F.col("crate"))
         return pick_unique(ok.withColumn("p", F.coalesce("prefix", F.lit(""))).withColumn("same", same), ["caller_id", "p", "fn"])
 
-    to = fns.select(F.col("id").alias("target"), F.col("name").alias("fn"), "owner", "module", F.col("lang").alias("to_lang"), "crate", "file_path", F.coalesce("scope", F.lit("")).alias("scope"), "parent")
+    to = fns.select(F.col("id").alias("target"), F.col("name").alias("fn"), "owner", "module", F.col("lang").alias("to_lang"), "crate", "file_path", F.coalesce("scope", F.lit("")).alias("scope"), "parent", "krate", "mpath")
     free = to.where("parent is null")
     # Exact Rust paths.
-    k, m, _ = S.rust_module(F.col("from_file"))
     segs = F.split("prefix", "::")
     head, rest = F.element_at(segs, 1), F.array_join(F.slice(segs, F.lit(2), F.greatest(F.size(segs) - 1, F.lit(0))), "::")
-    here = S.join_module(F.col("m"), F.col("from_scope"))
-    base = F.when(head == "crate", "").when(head == "self", here).when(head == "super", S.parent_module(here)).otherwise(S.join_module(here, head))
-    want = asked.where("prefix is not null and lang = 'rs'").withColumn("k", k).withColumn("m", m).withColumn("path", S.join_module(base, rest))
-    fk, fm, _ = S.rust_module(F.col("file_path"))
-    rust = free.where("to_lang = 'rs'").withColumn("k", fk).withColumn("path", S.join_module(fm, F.col("scope")))
+    here = F.when(F.col("from_scope") == "", F.col("m")).otherwise(S.join_module(F.col("m"), F.col("from_scope")))
+    base = F.when(head == "crate", "").when(head == "self", F.col("here")).when(head == "super", S.parent_module(F.col("here"))).otherwise(F.concat_ws("::", F.nullif(F.col("here"), F.lit("")), head))
+    want = cut(asked.where("prefix is not null and lang = 'rs'").withColumn("here", here).withColumn("base", base).drop("m"))
+    want = want.withColumn("path", F.concat_ws("::", F.nullif(F.col("base"), F.lit("")), F.nullif(rest, F.lit("")))).where("base is not null")
+    rust = free.where("to_lang = 'rs'").withColumn("k", F.col("krate")).withColumn("path", F.concat_ws("::", F.nullif(F.col("mpath"), F.lit("")), F.nullif(F.col("scope"), F.lit(""))))
     exact = stage(want.join(rust, ["k", "path", "fn"])).select("caller_id", "p", "fn", F.lit(1).alias("stage"), "target")
     plain = asked.where("prefix is not null and qual not in ('crate', 'self', 'super', 'Self')")
     owned = stage(plain.join(to.where("owner is not null").withColumnRenamed("owner", "qual"), ["qual", "fn"])).select("caller_id", "p", "fn", F.lit(3).alias("stage"), "target")
@@ -226,24 +227,28 @@ def import_edges(imports: DataFrame, modules: DataFrame) -> DataFrame:
     names an absolute module by its dotted path or the end of one, a relative
     one exactly; Dart names a package path by its end or a relative file.
     """
-    lang = S.lang_of(F.col("file_path"))
-    m = modules.select(F.col("id").alias("dst"), "file_path", lang.alias("lang"), S.crate_root(F.col("file_path")).alias("root"))
-    i = imports.select(F.col("module_id").alias("src"), "file_path", "target", lang.alias("lang"), S.crate_root(F.col("file_path")).alias("from_root")).distinct()
+    krate, mpath, _ = S.rust_module(F.col("file_path"))
+    dims = cut(modules.select(
+        F.col("id").alias("dst"), "file_path", S.lang_of(F.col("file_path")).alias("lang"), S.crate_root(F.col("file_path")).alias("root"), krate.alias("k"), mpath.alias("m"), S.python_dotted(F.col("file_path")).alias("dotted"),
+    ))
+    m = dims
+    by_file = dims.select("file_path", "lang", F.col("root").alias("from_root"), "k", "m", "dotted").distinct()
+    i = imports.select(F.col("module_id").alias("src"), "file_path", "target").distinct().join(by_file, "file_path")
     # Rust: the whole path, else its parent.
-    fk, fm, _ = S.rust_module(F.col("file_path"))
-    rust_files = m.where("lang = 'rs'").select("dst", fk.alias("k"), fm.alias("path"))
+    rust_files = m.where("lang = 'rs'").select("dst", "k", F.col("m").alias("path"))
     head = F.substring_index("target", "::", 1)
     rest = F.when(F.instr("target", "::") > 0, F.substring(F.col("target"), F.length(head) + 3, F.lit(1 << 30))).otherwise("")
-    base = F.when(head == "crate", "").when(head == "self", F.col("m")).when(head == "super", S.parent_module(F.col("m"))).otherwise(S.join_module(F.col("m"), head))
-    r = i.where("lang = 'rs'").withColumn("k", fk).withColumn("m", fm).withColumn("full", S.join_module(base, rest)).where("full is not null")
+    base = F.when(head == "crate", "").when(head == "self", F.col("m")).when(head == "super", S.parent_module(F.col("m"))).otherwise(F.concat_ws("::", F.nullif(F.col("m"), F.lit("")), head))
+    r = cut(i.where("lang = 'rs'").select("src", "target", "k", base.alias("base"), rest.alias("rest")).where("base is not null"))
+    r = r.withColumn("full", F.concat_ws("::", F.nullif(F.col("base"), F.lit("")), F.nullif(F.col("rest"), F.lit(""))))
     both = r.select("src", "target", "k", F.explode(F.array(F.struct(F.lit(0).alias("n"), F.col("full").alias("path")), F.struct(F.lit(1).alias("n"), F.coalesce(S.parent_module(F.col("full")), F.lit("")).alias("path")))).alias("c")).select("src", "target", "k", "c.*")
     hit = both.join(rust_files, ["k", "path"])
     nearest = hit.withColumn("least", F.min("n").over(Window.partitionBy("src", "target"))).where("n = least").select("src", "dst")
     # Python: module first, then the package of an imported name.
-    py_files = m.where("lang = 'py'").select("dst", "root", S.python_dotted(F.col("file_path")).alias("path"))
+    py_files = m.where("lang = 'py'").select("dst", "root", F.col("dotted").alias("path"))
     mod = F.substring_index("target", "::", 1)
     dots = F.length(F.regexp_extract(mod, r"^(\.*)", 1))
-    here = F.split(S.python_dotted(F.col("file_path")), r"\.")
+    here = F.split("dotted", r"\.")
     is_init = F.endswith("file_path", F.lit("__init__.py"))
     up = F.slice(here, F.lit(1), F.greatest(F.size(here) - dots + is_init.cast("int"), F.lit(0)))
     name = F.substring_index("target", "::", -1)

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +16,35 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 << 20
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application.
+
+    As a zip through Spark's own file server, as ``--py-files`` would, so that
+    it needs no installation and no shared path.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="graphlens-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "graphlens-package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(at, n)
+                    z.write(full, os.path.join("graphlens", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +66,7 @@ def spread(df: DataFrame) -> DataFrame:
     Large inputs already come in more partitions and are not moved; a file of
     one row group would otherwise be worked through by a single core.
     """
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -53,9 +85,6 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
         return named
     if sc.getCheckpointDir() is None:
         if fallback is None:
-            import os
-            import tempfile
-
             fallback = os.path.join(tempfile.gettempdir(), "graphlens-checkpoint")
         sc.setCheckpointDir(fallback)
     return sc.getCheckpointDir()
@@ -72,6 +101,7 @@ def cut(df: DataFrame) -> DataFrame:
     process ends.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
