@@ -173,7 +173,8 @@ def count(text: str, lang: str, into: Counter) -> None:
 
     Keys: (lang, kind, type, next) with kind t a type, d one with a period,
     dl/dn/de such a one before lower case, a number, a block's end, s one that
-    begins a block, l one in lower case within a sentence, c a pair around a
+    begins a block, l one in lower case within a sentence, f one in upper case
+    after the end mark of a word, c a pair around a
     number's or an initial's period, p a period, N a token.
     """
     for a, b, whole in blocks(text):
@@ -181,6 +182,7 @@ def count(text: str, lang: str, into: Counter) -> None:
             continue
         first = True
         fresh = True
+        before = ""
         for m in _WORD.finditer(text, a, b):
             t = _type(m[0])
             into[lang, "N", "", ""] += 1
@@ -189,6 +191,9 @@ def count(text: str, lang: str, into: Counter) -> None:
                 into[lang, "S", "", ""] += 1
             if not fresh and m[0][:1].islower():
                 into[lang, "l", t, ""] += 1
+            elif fresh and len(before) > 2 and m[0][:1].isupper():
+                into[lang, "f", t, ""] += 1
+            before = "" if t == "##" else t
             first = False
             nxt = text[m.end() : m.end() + 1] if m.end() < b else ""
             after = text[m.end() + 1 : m.end() + 2] if m.end() + 1 < b else ""
@@ -296,7 +301,7 @@ def train(docs: DataFrame) -> Model:
     counts = cut(statistics(docs))
     pick = lambda kind, name: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0)).alias(name)
     totals = {r["lang"]: r for r in counts.where("kind in ('N', 'p', 'S', 'de', 'd')").groupBy("lang").agg(pick("N", "n"), pick("p", "p"), pick("S", "s"), pick("de", "de"), pick("d", "d")).collect()}
-    types = counts.where("kind in ('t', 'd', 'dl', 'dn', 'de', 'dw', 's', 'l')").groupBy("lang", "a").agg(*(pick(k, k) for k in ("t", "d", "dl", "dn", "de", "dw", "s", "l")))
+    types = counts.where("kind in ('t', 'd', 'dl', 'dn', 'de', 'dw', 's', 'l', 'f')").groupBy("lang", "a").agg(*(pick(k, k) for k in ("t", "d", "dl", "dn", "de", "dw", "s", "l", "f")))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -321,16 +326,19 @@ def train(docs: DataFrame) -> Model:
 
     schema = "lang string, kind string, a string, b string, flag boolean"
     lists = types.mapInArrow(choose, schema)
-    second = types.select("lang", F.col("a").alias("b"), F.col("t").alias("nb"))
+    second = types.select("lang", F.col("a").alias("b"), F.col("t").alias("nb"), "l", (F.col("s") + F.col("f")).alias("begins"))
     first = types.select("lang", "a", F.col("d").alias("na"))
     joined = counts.where("kind = 'c'").select("lang", "a", "b", "n").join(first, ["lang", "a"]).join(second, ["lang", "b"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [
-                (r["lang"], "pair", r["a"], r["b"], None) for r in b.to_pylist()
-                if r["n"] > 1 and r["n"] / max(1, r["na"]) > r["nb"] / max(2, totals[r["lang"]]["n"]) and _llr(max(1, r["na"]), r["nb"], r["n"], max(2, totals[r["lang"]]["n"])) > COLLOCATION
-            ]
+            out = []
+            for r in b.to_pylist():
+                na, n = max(1, r["na"]), max(2, totals[r["lang"]]["n"])
+                if r["n"] > 1 and r["begins"] <= 0.1 * r["n"] and r["n"] / na > r["nb"] / n and _llr(na, r["nb"], r["n"], n) > COLLOCATION:
+                    out.append((r["lang"], "pair", r["a"], r["b"], None))
+                    if r["l"] > 1:
+                        out.append((r["lang"], "lower", r["b"], "", None))
             cols = list(zip(*out)) or [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:4]), pa.array(cols[4], pa.bool_())], names=["lang", "kind", "a", "b", "flag"])
 
