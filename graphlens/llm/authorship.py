@@ -288,10 +288,14 @@ def fit_on(files: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
     The sample is drawn over the whole table; equal files count once in it.
     """
-    sample = (
-        files.where("content is not null and length(content) > 0").select("repo", "display_path", "content", F.xxhash64("content").alias("h"))
-        .orderBy("h", "display_path", "repo").limit(rows).collect()
-    )
+    usable = files.where("content is not null and length(content) > 0")
+    n = usable.count()
+    hashed = usable.select("repo", "display_path", "content", F.xxhash64("content").alias("h"))
+    if n > 4 * rows:
+        # Of a large table only a hash range that holds the sample is looked at, so that no
+        # partition has to offer as many rows as the whole sample.
+        hashed = hashed.where(F.pmod("h", F.lit(1 << 40)) < F.lit(int((1 << 40) * 2 * rows / n)))
+    sample = hashed.orderBy(F.pmod("h", F.lit(1 << 40)), "display_path", "repo").limit(rows).collect()
     seen, unique = set(), []
     for r in sample:
         key = (r["h"], r["display_path"])
