@@ -53,22 +53,30 @@ def impact(edges: DataFrame, root: str, hops: int = 3) -> tuple[DataFrame, DataF
     return back.unionByName(on).distinct(), nb.select("id").unionByName(nf.select("id")).distinct()
 
 
-def shortest_path(edges: DataFrame, start: str, root: str, hops: int = 16) -> DataFrame:
+def shortest_path(edges: DataFrame, start: str, root: str) -> DataFrame:
     """The walk from ``start`` along first successors to ``root``: ``step, id``.
 
     The first successor of a node is the one with the least ``seq``; the walk
-    ends at the root, at a node without one, or when it meets itself.
+    ends at the root, at a node without one, or when it meets itself.  Jumps over
+    1, 2, 4, ... steps find it whole in as many rounds as its length has digits.
     """
     spark = edges.sparkSession
     first = edges.groupBy("src").agg(F.min(F.struct("seq", "dst")).alias("s")).select(F.col("src").alias("id"), F.col("s.dst").alias("next"))
-    at = spark.createDataFrame([(0, start, [start])], "step int, id string, path array<string>")
-    out = at.select("step", "id")
-    for k in range(1, hops + 1):
-        at = cut(at.where(F.col("id") != root).join(first, "id").where(~F.array_contains("path", F.col("next"))).select(F.lit(k).alias("step"), F.col("next").alias("id"), F.concat("path", F.array("next")).alias("path")))
-        if at.isEmpty():
-            break
-        out = out.unionByName(at.select("step", "id"))
-    return out
+    jump = cut(first.where((F.col("id") != root) & F.col("next").isNotNull()))
+    walk = spark.createDataFrame([(0, start)], "step int, id string")
+    far = 1
+    while True:
+        ahead = walk.join(jump, "id").select((F.col("step") + far).alias("step"), F.col("next").alias("id"))
+        new = cut(ahead)
+        if new.isEmpty():
+            return walk
+        walk = cut(walk.unionByName(new))
+        met = walk.groupBy("id").agg(F.min("step").alias("step"))
+        again = walk.join(met, ["step", "id"], "left_anti").agg(F.min("step")).first()[0]
+        if again is not None:
+            return walk.where(F.col("step") < again)
+        jump = cut(jump.join(jump.select(F.col("id").alias("next"), F.col("next").alias("then")), "next").select("id", F.col("then").alias("next")))
+        far *= 2
 
 
 def flow(merged: DataFrame, atoms: DataFrame, root: str, depth: int = 3, external: str = "near") -> dict[str, DataFrame]:

@@ -329,3 +329,14 @@ def test_bundle_and_compare(analysis, spark, tmp_path):
     assert radius.count() == 0
     with pytest.raises(ValueError):
         catalog.write(catalog.rows(analysis.atoms.limit(0), analysis.edges), root, "one", force=True)
+
+
+def test_shortest_path_is_whole(spark):
+    line = [(f"n{k}", f"n{k + 1}", k) for k in range(45)] + [("n3", "x", 99), ("n45", "n45", 0)]
+    df = spark.createDataFrame(line, "src string, dst string, seq bigint")
+    whole = {(k, f"n{k}") for k in range(46)}
+    assert rows(traverse.shortest_path(df, "n0", "r")) == whole  # ends where it meets itself
+    assert rows(traverse.shortest_path(df, "n0", "n20")) == {(k, i) for k, i in whole if k <= 20}
+    assert rows(traverse.shortest_path(df, "n20", "n20")) == {(0, "n20")}
+    ring = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("c", "d", 1), ("d", "b", 1), ("d", None, 2)], "src string, dst string, seq bigint")
+    assert rows(traverse.shortest_path(ring, "a", "r")) == {(0, "a"), (1, "b"), (2, "c"), (3, "d")}
