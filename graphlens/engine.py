@@ -39,11 +39,7 @@ def analyze(files: DataFrame, kept: DataFrame | None = None) -> Analysis:
     atoms = graph.upsert(parsing.atoms_of(rows)).drop("seq_first")
     inner = parsing.edges_of(rows)
     sites = parsing.call_sites_of(rows)
-    packages = parsing.imports_of(rows).where("file_path like '%__init__.py' and target like '%::%' and not is_glob").select(
-        S.file_module_name(F.col("file_path")).alias("package"), F.col("local").alias("name"),
-        F.element_at(F.split(F.substring_index("target", "::", 1), r"\."), -1).alias("to_module"), F.substring_index("target", "::", -1).alias("to_name"),
-    )
-    calls, externs = resolve.resolve_calls(atoms, inner, sites, packages)
+    calls, externs = resolve.resolve_calls(atoms, inner, sites, resolve.package_reexports(parsing.imports_of(rows)))
     calls, externs = cut(calls), cut(externs)
     modules = atoms.where("kind = 'module'").select("id", "file_path")
     types = atoms.where(F.col("kind").isin("struct", "enum", "trait", "union", "type_alias"))

@@ -141,6 +141,17 @@ def type_targets(refs: DataFrame, types: DataFrame) -> DataFrame:
     return c.groupBy("atom_id", "name").agg(pick.alias("target")).where("target is not null and target <> atom_id").select("atom_id", "target").distinct()
 
 
+def package_reexports(imports: DataFrame) -> DataFrame:
+    """``package, name, to_module, to_name``: what the ``__init__.py`` files name again.
+
+    ``imports``: file_path, local, target, is_glob.
+    """
+    return imports.where("file_path like '%__init__.py' and target like '%::%' and not is_glob").select(
+        S.file_module_name(F.col("file_path")).alias("package"), F.col("local").alias("name"),
+        F.element_at(F.split(F.substring_index("target", "::", 1), r"\."), -1).alias("to_module"), F.substring_index("target", "::", -1).alias("to_name"),
+    )
+
+
 def resolve_calls(atoms: DataFrame, edges: DataFrame, sites: DataFrame, reexports: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Call sites across files: (new ``calls`` edges, external atoms).
 

@@ -424,30 +424,32 @@ def parse_report(spark, d):
     return parsing.parse_report(_parsed(spark, d))
 
 
+def _module_files(spark, d):
+    """One row per path of a repo: the first file by id, as a module of its own tree."""
+    p = table(spark, d, "parse_inputs").select("repo", "file_id", F.regexp_replace(F.translate("display_path", "\\", "/"), r"^(\./)+", "").alias("path"), "content")
+    best = p.groupBy("repo", "path").agg(F.min(F.struct("file_id", "content")).alias("b"))
+    return best.select(F.concat("repo", F.lit("/"), "path").alias("path"), "b.content")
+
+
 @query()
 def resolved_edges(spark, d):
     from ..session import cut
 
-    rows = cut(_parsed(spark, d))
-    return resolve.resolve_calls(parsing.atoms_of(rows), parsing.edges_of(rows), parsing.call_sites_of(rows))[0].select("src", "dst", F.array_join(F.col("sites").cast("array<string>"), ",").alias("sites"))
+    rows = cut(parsing.parse_files(_module_files(spark, d)))
+    atoms = graph.upsert(parsing.atoms_of(rows)).drop("seq_first")
+    packages = resolve.package_reexports(parsing.imports_of(rows))
+    return resolve.resolve_calls(atoms, parsing.edges_of(rows), parsing.call_sites_of(rows), packages)[0].select("src", "dst", F.array_join(F.col("sites").cast("array<string>"), ",").alias("sites"))
 
 
 @query()
 def resolved_type_uses(spark, d):
     from ..session import cut
 
-    rows = cut(_parsed(spark, d))
-    types = parsing.atoms_of(rows).where("kind in ('struct', 'enum', 'trait', 'union', 'type_alias')")
+    rows = cut(parsing.parse_files(_module_files(spark, d)))
+    types = graph.upsert(parsing.atoms_of(rows)).where("kind in ('struct', 'enum', 'trait', 'union', 'type_alias')")
     return resolve.type_targets(parsing.type_refs_of(rows), types)
 
 
-def _module_files(spark, d):
-    """One row per path of a repo: the first file by id, as a module of its own tree."""
-    p = table(spark, d, "parse_inputs").select("repo", "file_id", F.regexp_replace(F.translate("display_path", "\\", "/"), r"^(\./)+", "").alias("path"), "content")
-    best = p.groupBy("repo", "path").agg(F.min(F.struct("file_id", "content")).alias("b"))
-    return best.select(F.concat("repo", F.lit("/"), "path").alias("path"), "b.content")
-
-
 @query()
 def module_tree(spark, d):
     return resolve.module_tree(parsing.atoms_of(parsing.parse_files(_module_files(spark, d))))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphlens import engine
 from graphlens.operators import catalog, diff, graph, incremental, parsing, resolve, sequence, snapshots, traverse
+from graphlens.plans import graph_queries
 from graphlens.sources import files as tree
 from graphlens.sources import git
 from graphlens.streaming import ingest
@@ -340,3 +341,17 @@ def test_shortest_path_is_whole(spark):
     assert rows(traverse.shortest_path(df, "n20", "n20")) == {(0, "n20")}
     ring = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("c", "d", 1), ("d", "b", 1), ("d", None, 2)], "src string, dst string, seq bigint")
     assert rows(traverse.shortest_path(ring, "a", "r")) == {(0, "a"), (1, "b"), (2, "c"), (3, "d")}
+
+
+def test_whole_graph_queries_link_the_files_of_a_crate(spark, tmp_path):
+    files = [
+        ("a/x", "src/lib.rs", "fn go() { crate::util::helper(); shared(); }\nfn take(s: Store) {}\n"), ("a/x", "src/util.rs", "pub fn helper() {}\npub fn shared() {}\npub struct Store;\n"),
+        ("b/y", "src/util.rs", "pub fn helper() {}\npub fn shared() {}\npub struct Store;\n"), ("a/x", "./src/util.rs", "pub fn helper() {}\npub fn shared() {}\npub struct Store;\n"),
+        ("c/z", "pkg/__init__.py", "from pkg.core import run as start\n"), ("c/z", "pkg/core.py", "def run():\n    pass\n"), ("c/z", "app.py", "import pkg\n\ndef main():\n    pkg.start()\n"),
+    ]
+    table = [(k, r, p, c.encode()) for k, (r, p, c) in enumerate(files)]
+    spark.createDataFrame(table, "file_id bigint, repo string, display_path string, content binary").write.parquet(f"{tmp_path}/parse_inputs.parquet")
+    calls = {(a.rsplit("::", 1)[-1], b) for a, b, _ in rows(graph_queries.resolved_edges(spark, str(tmp_path))) if not b.startswith("extern:")}
+    assert {a for a, _ in calls} == {"go", "main"} and {b.split("::")[0] for a, b in calls if a == "go"} == {"code:a/x/src/util.rs"}
+    assert {b.rsplit("::", 1)[-1] for _, b in calls} == {"helper", "shared", "run"}
+    assert {b.split("::")[0] for _, b in rows(graph_queries.resolved_type_uses(spark, str(tmp_path)))} == {"code:a/x/src/util.rs"}
