@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..parse import LANGUAGES
 from ..parse.base import Lines
 from ..session import cut
 from .common import spread
@@ -172,8 +173,8 @@ def extract_functions(files: DataFrame) -> DataFrame:
     return spread(files.select("file_id", "repo", "display_path", "content")).mapInArrow(_extract, _SCHEMA)
 
 
-def latest_atoms(atoms: DataFrame) -> DataFrame:
-    """Function atoms, of each (file_id, id) the one with the highest ``seq``.
+def latest_atoms(atoms: DataFrame, *more: str) -> DataFrame:
+    """Function atoms, of each (file_id, id) the one with the highest ``seq``, with the columns ``more``.
 
     Rows that can't be a case travel as bare keys: their text is dropped before
     the shuffle, but they still replace what came before them.
@@ -181,15 +182,18 @@ def latest_atoms(atoms: DataFrame) -> DataFrame:
     by = Window.partitionBy("file_id", "id").orderBy(F.desc("seq"))
     case = (F.col("kind") == "function") & (F.length(F.trim("doc")) > 0)
     keep = lambda c: F.when(case, F.col(c)).alias(c)
-    slim = atoms.select("file_id", "id", "seq", keep("line_start"), keep("name"), keep("doc"), keep("signature"))
-    return slim.withColumn("_n", F.row_number().over(by)).where("_n = 1 and doc is not null").select("file_id", "line_start", "name", "doc", "signature")
+    slim = atoms.select("file_id", "id", "seq", keep("line_start"), keep("name"), keep("doc"), keep("signature"), *(keep(c) for c in more))
+    return slim.withColumn("_n", F.row_number().over(by)).where("_n = 1 and doc is not null").select("file_id", "line_start", "name", "doc", "signature", *more)
+
+
+def _said(b: pa.RecordBatch) -> list[bool]:
+    docs, names, sigs = (b.column(n).to_pylist() for n in ("doc", "name", "signature"))
+    return [informative(d, n or "", tuple(re.findall(r"\w+", (s or "").partition("(")[2]))) for d, n, s in zip(docs, names, sigs)]
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        docs, names, sigs = (b.column(n).to_pylist() for n in ("doc", "name", "signature"))
-        said = [informative(d, n or "", tuple(re.findall(r"\w+", (s or "").partition("(")[2]))) for d, n, s in zip(docs, names, sigs)]
-        yield b.select(["file_id", "line_start"]).filter(pa.array(said, pa.bool_()))
+        yield b.select(["file_id", "line_start"]).filter(pa.array(_said(b), pa.bool_()))
 
 
 def documented_atoms(atoms: DataFrame) -> DataFrame:
@@ -228,15 +232,29 @@ def found(files: DataFrame, atoms: DataFrame) -> DataFrame:
     return own.unionByName(documented_atoms(atoms))
 
 
-def pairs(files: DataFrame, max_levels: int = 6) -> DataFrame:
-    """Code and description pairs, with inherited documentation resolved.
+def _informative(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield b.filter(pa.array(_said(b), pa.bool_()))
+
+
+def atom_pairs(atoms: DataFrame) -> DataFrame:
+    """The pairs of the latest function atoms: their sources were not kept, so that ``body`` is null."""
+    got = latest_atoms(atoms, "repo", "file_path").mapInArrow(_informative, "file_id bigint, line_start int, name string, doc string, signature string, repo string, file_path string")
+    language = F.create_map(*(F.lit(x) for e, (name, _) in LANGUAGES.items() for x in (e, name)))
+    return got.select(
+        "file_id", "line_start", "repo", language[F.lower(F.element_at(F.split("file_path", r"\."), -1))].alias("language"), "name", "signature", F.lit(None).cast("string").alias("body"), "doc", F.lit("own").alias("origin")
+    )
+
+
+def pairs(files: DataFrame, atoms: DataFrame | None = None, max_levels: int = 6) -> DataFrame:
+    """Code and description pairs of files and atoms, with inherited documentation resolved.
 
     A method without own documentation takes that of the nearest method of the
     same name it overrides, in the same repo and language: its class is joined
     with its base classes level by level until nothing is left to resolve.
     Methods that stay without are dropped.  A base name that several classes of
     a repo carry is followed through each; the nearest level wins, ties by path
-    and line.  ``origin`` tells own from inherited.
+    and line.  ``origin`` tells own from inherited.  Atoms have no bases and no ``body``.
     """
     fns = cut(extract_functions(files))
     done = fns.where("informative").select("file_id", "line_start", "repo", "language", "name", "signature", "body", "doc", F.lit("own").alias("origin"))
@@ -248,7 +266,7 @@ def pairs(files: DataFrame, max_levels: int = 6) -> DataFrame:
     open_ = fns.where("not informative and owner is not null and size(bases) > 0").select(
         "file_id", "line_start", "repo", "language", "name", "signature", "body", F.explode("bases").alias("base")
     )
-    frames = [done]
+    frames = [done] if atoms is None else [done, atom_pairs(atoms)]
     key = ["repo", "language", "name", "base"]
     for _ in range(max_levels):
         open_ = cut(open_)

@@ -23,7 +23,7 @@ def p4_rates(spark, sf_dir):
 
 
 def p3_pairs(spark, sf_dir):
-    return doc_pairs.pairs(table(spark, sf_dir, "parse_inputs"))
+    return doc_pairs.pairs(table(spark, sf_dir, "parse_inputs"), table(spark, sf_dir, "atoms"))
 
 
 def p6_found(spark, sf_dir):

@@ -89,6 +89,17 @@ def test_inherited_documentation(spark):
     assert got == {(1, 2, "own"), (2, 4, "inherited")}
 
 
+def test_pairs_of_atoms(spark):
+    files = spark.createDataFrame([(1, "r", "a.py", b'def f():\n    """Counts what remains after the merge."""\n', None)], SRC)
+    said = "Counts what remains after the merge."
+    atoms = spark.createDataFrame(
+        [(9, "i", "f", "function", said, "fn f()", "a.rs", 3, 1), (9, "i", "f", "function", said, "fn f(x)", "a.rs", 4, 2), (9, "j", "j", "function", "TODO", "fn j()", "a.rs", 7, 3), (9, "k", "k", "struct", said, None, "a.rs", 8, 4), (8, "m", "m", "function", said, None, None, 5, 5)],
+        "file_id bigint, id string, name string, kind string, doc string, signature string, file_path string, line_start int, seq bigint",
+    ).withColumn("repo", F.lit("r"))
+    got = rows(doc_pairs.pairs(files, atoms).select("file_id", "line_start", "language", "signature", "doc", "origin"))
+    assert got == {(1, 1, "python", "def f()", said, "own"), (9, 4, "rust", "fn f(x)", said, "own"), (8, 5, None, None, said, "own")}
+
+
 # -- authorship ------------------------------------------------------------------
 HAND = "def scan_{0}(path):\n    total = 0\n    for name in path.names:\n        if name.size > {0}:\n            total += name.size\n    return total\n\nclass Walker{0}:\n    def __init__(self, root):\n        self.root = root\n"
 
