@@ -125,15 +125,19 @@ def informative(doc: str | None, name: str = "", params: tuple[str, ...] = (), s
     return len({w for w in found - _with_endings(known) if not _CJK.search(w)}) >= 3
 
 
-_SCHEMA = "file_id bigint, repo string, path string, line_start int, name string, owner string, bases array<string>, signature string, params array<string>, doc string, informative boolean, language string, body string"
+_SCHEMA = "file_id bigint, repo string, path string, line_start int, name_at int, name string, owner string, bases array<string>, signature string, params array<string>, doc string, informative boolean, language string, body string"
 _ARROW = pa.schema([
-    ("file_id", pa.int64()), ("repo", pa.string()), ("path", pa.string()), ("line_start", pa.int32()), ("name", pa.string()), ("owner", pa.string()), ("bases", pa.list_(pa.string())),
+    ("file_id", pa.int64()), ("repo", pa.string()), ("path", pa.string()), ("line_start", pa.int32()), ("name_at", pa.int32()), ("name", pa.string()), ("owner", pa.string()), ("bases", pa.list_(pa.string())),
     ("signature", pa.string()), ("params", pa.list_(pa.string())), ("doc", pa.string()), ("informative", pa.bool_()), ("language", pa.string()), ("body", pa.string()),
 ])
 
 
 def functions_of(path: str | None, content: bytes | None) -> list[tuple]:
-    """Every function of one valid file: the fields of ``_SCHEMA`` after ``path``."""
+    """Every function of one valid file: the fields of ``_SCHEMA`` after ``path``.
+
+    A class with bases is a row without a name, as one without methods still
+    passes documentation on.
+    """
     language, unit, text, errors = checked(path, content)
     if errors or not language:
         return []
@@ -146,11 +150,13 @@ def functions_of(path: str | None, content: bytes | None) -> list[tuple]:
             bases[it.name] = list(it.bases)
     out = []
     for it in unit.items:
+        if it.kind in ("struct", "trait", "enum", "impl") and it.bases:
+            out.append((lines.of(it.name_at), it.name_at, None, it.name, list(it.bases), None, [], None, False, language, None))
         if it.kind != "function":
             continue
         signature = " ".join(text[it.start if it.start >= 0 else it.name_at : it.body if it.body > 0 else it.end].split())
         body = text[it.body if it.body > 0 else it.name_at : it.end]
-        out.append((lines.of(it.name_at), it.name, it.parent, bases.get(it.parent or "", []), signature, list(it.params), it.doc, informative(it.doc, it.name, it.params), language, body))
+        out.append((lines.of(it.name_at), it.name_at, it.name, it.parent, bases.get(it.parent or "", []), signature, list(it.params), it.doc, informative(it.doc, it.name, it.params), language, body))
     return out
 
 
@@ -169,7 +175,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract_functions(files: DataFrame) -> DataFrame:
-    """Every function of the files that parse, documented or not."""
+    """Every function of the files that parse, documented or not, and their classes with bases (``name`` null)."""
     return spread(files.select("file_id", "repo", "display_path", "content")).mapInArrow(_extract, _SCHEMA)
 
 
@@ -246,7 +252,7 @@ def atom_pairs(atoms: DataFrame) -> DataFrame:
     )
 
 
-def pairs(files: DataFrame, atoms: DataFrame | None = None, max_levels: int = 6) -> DataFrame:
+def pairs(files: DataFrame, atoms: DataFrame | None = None) -> DataFrame:
     """Code and description pairs of files and atoms, with inherited documentation resolved.
 
     A method without own documentation takes that of the nearest method of the
@@ -254,32 +260,32 @@ def pairs(files: DataFrame, atoms: DataFrame | None = None, max_levels: int = 6)
     with its base classes level by level until nothing is left to resolve.
     Methods that stay without are dropped.  A base name that several classes of
     a repo carry is followed through each; the nearest level wins, ties by path
-    and line.  ``origin`` tells own from inherited.  Atoms have no bases and no ``body``.
+    and line.  A method meets each base once, so that a cycle of classes ends.
+    ``origin`` tells own from inherited.  Atoms have no bases and no ``body``.
     """
-    fns = cut(extract_functions(files))
-    done = fns.where("informative").select("file_id", "line_start", "repo", "language", "name", "signature", "body", "doc", F.lit("own").alias("origin"))
+    fns = cut(extract_functions(files).withColumn("at", F.monotonically_increasing_id()))
+    result = ["file_id", "line_start", "repo", "language", "name", "signature", "body", "doc", "origin"]
+    out = fns.where("informative").withColumn("origin", F.lit("own")).select(*result)
+    if atoms is not None:
+        out = out.unionByName(atom_pairs(atoms))
     owner = F.regexp_replace("owner", r".* for |<.*", "")
     docs = fns.where("informative and owner is not null").select(
-        "repo", "language", "name", owner.alias("base"), F.struct("path", F.col("line_start").alias("line"), "doc").alias("d")
+        "repo", "language", "name", owner.alias("base"), F.struct("path", F.col("line_start").alias("line"), "name_at", "doc").alias("d")
     ).groupBy("repo", "language", "name", "base").agg(F.min("d").alias("d"))
-    up = fns.where("owner is not null and size(bases) > 0").select("repo", "language", owner.alias("sub"), F.explode("bases").alias("base")).distinct()
-    open_ = fns.where("not informative and owner is not null and size(bases) > 0").select(
-        "file_id", "line_start", "repo", "language", "name", "signature", "body", F.explode("bases").alias("base")
-    )
-    frames = [done] if atoms is None else [done, atom_pairs(atoms)]
+    up = fns.where("owner is not null and size(bases) > 0").select("repo", "language", owner.alias("base"), F.explode("bases").alias("next")).distinct()
     key = ["repo", "language", "name", "base"]
-    for _ in range(max_levels):
-        open_ = cut(open_)
-        if open_.isEmpty():
-            break
-        hit = open_.join(docs, key).groupBy("file_id", "line_start").agg(
-            *(F.first(c).alias(c) for c in ("repo", "language", "name", "signature", "body")), F.min("d").alias("d")
-        )
-        frames.append(hit.select("file_id", "line_start", "repo", "language", "name", "signature", "body", F.col("d.doc").alias("doc"), F.lit("inherited").alias("origin")))
-        left = open_.join(hit.select("file_id", "line_start"), ["file_id", "line_start"], "left_anti")
-        parents = up.withColumnRenamed("base", "next").withColumnRenamed("sub", "base")
-        open_ = left.join(parents, ["repo", "language", "base"]).drop("base").withColumnRenamed("next", "base").distinct()
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    # ``at``: a row of ``fns``, so that two methods of one line stay apart; text joins at the end only.
+    open_ = cut(fns.where("name is not null and not informative and owner is not null and size(bases) > 0").select("at", "repo", "language", "name", F.explode("bases").alias("base")).distinct())
+    seen = open_.select("at", "base")
+    hits = None
+    while not open_.isEmpty():
+        hit = cut(open_.join(docs, key).groupBy("at").agg(F.min("d").alias("d")))
+        hits = hit if hits is None else hits.unionByName(hit)
+        left = open_.join(hit.select("at"), "at", "left_anti")
+        above = left.join(up, ["repo", "language", "base"]).drop("base").withColumnRenamed("next", "base").distinct()
+        open_ = cut(above.join(seen, ["at", "base"], "left_anti"))
+        seen = cut(seen.unionByName(open_.select("at", "base")))
+    if hits is None:
+        return out
+    inherited = fns.drop("doc").join(hits, "at").withColumns({"doc": F.col("d.doc"), "origin": F.lit("inherited")})
+    return out.unionByName(inherited.select(*result))

@@ -100,6 +100,17 @@ def test_pairs_of_atoms(spark):
     assert got == {(1, 1, "python", "def f()", said, "own"), (9, 4, "rust", "fn f(x)", said, "own"), (8, 5, None, None, said, "own")}
 
 
+def test_inheritance_has_no_depth_and_methods_of_a_line_stay_apart(spark):
+    doc = b'    def f(self):\n        """Counts what remains after the merge."""\n'
+    deep = b"class C0:\n" + doc + b"".join(b"class C%d(C%d): pass\n" % (k, k - 1) for k in range(1, 11)) + b"class C11(C10):\n    def f(self): pass\n"
+    ring = b"class A(B):\n    def f(self): pass\nclass B(A):\n    def g(self): pass\n"
+    line = b"class P {\n  /// Counts what remains after the merge.\n  void f() {}\n  /// Sorts every shard before writing anything.\n  void g() {}\n}\nclass Q extends P { void g() {} void f() {} }\n"
+    files = [(1, "r", "a.py", deep, None), (2, "s", "a.py", ring, None), (3, "t", "a.dart", line, None)]
+    got = rows(doc_pairs.pairs(spark.createDataFrame(files, SRC)).where("origin = 'inherited'").select("file_id", "name", F.split("doc", " ")[0], F.regexp_extract("signature", r"(\w+)\(", 1)))
+    assert {(i, n, s) for i, n, _, s in got} == {(1, "f", "f"), (3, "f", "f"), (3, "g", "g")}
+    assert {n: d for i, n, d, _ in got if i == 3} == {"f": "Counts", "g": "Sorts"}
+
+
 # -- authorship ------------------------------------------------------------------
 HAND = "def scan_{0}(path):\n    total = 0\n    for name in path.names:\n        if name.size > {0}:\n            total += name.size\n    return total\n\nclass Walker{0}:\n    def __init__(self, root):\n        self.root = root\n"
 
