@@ -31,6 +31,7 @@ def parse_file(path: str | None, content: bytes | None) -> tuple[Unit, str]:
         return Unit(errors=[(0, "not UTF-8")]), ""
     text = base.unify(text)
     try:
-        return known[1](text), text
+        with base.room_for(text):
+            return known[1](text), text
     except RecursionError:
         return Unit(errors=[(0, "nested too deeply")]), text

@@ -9,11 +9,14 @@ that one file gives all its errors and every item that still can be read.
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_right
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-#: Nesting beyond which a file is given up with one error.
-MAX_DEPTH = 220
+#: More Python frames than a parser lays on each other for one character of text.
+FRAMES = 24
 
 AWAIT, CONDITIONAL, REPEATED, TYPED = 1, 2, 4, 8
 
@@ -89,6 +92,21 @@ def unify(text: str) -> str:
     return _LINE_END.sub("\n", text) if "\r" in text else text
 
 
+@contextmanager
+def room_for(text: str) -> Iterator[None]:
+    """Let a parser go as deep as ``text`` can be nested.
+
+    Python's frames lie on the heap, so that only the limit stands in the way;
+    what they take grows with the nesting and is given back.
+    """
+    old = sys.getrecursionlimit()
+    sys.setrecursionlimit(min(2**31 - 1, old + FRAMES * len(text)))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(old)
+
+
 class Lines:
     """Offsets to 1-based lines; the text has LF ends only."""
 
@@ -109,7 +127,6 @@ class Parser:
         self.texts: list[str] = []
         self.ats: list[int] = []
         self.i = 0
-        self.depth = 0
         self.functions: list[Item] = []
         self.flags: list[int] = []
 
@@ -132,11 +149,6 @@ class Parser:
             return True
         return False
 
-    def deeper(self) -> None:
-        self.depth += 1
-        if self.depth > MAX_DEPTH:
-            self.fail("nested too deeply")
-
     def call(self, name: str, at: int, is_method: bool) -> None:
         """Record a call of the innermost function."""
         if self.functions:
@@ -163,12 +175,12 @@ class Parser:
     def under(self, flag: int, parse, *args):
         """Parse with ``flag`` set on every call inside."""
         if not self.flags:
-            return parse(*args)
+            return parse(*args) if args else parse()
         old, fn = self.flags[-1], self.functions[-1]
         self.flags[-1] |= flag
         fn.events.append((*self.block_label(flag), self.i))
         try:
-            return parse(*args)
+            return parse(*args) if args else parse()  # a plain call takes no C stack
         finally:
             fn.events.append(("end",))
             if self.flags:

@@ -280,7 +280,6 @@ class DartParser(Parser):
     def type_(self) -> int:
         """A type; returns its first token."""
         first = self.i
-        self.deeper()
         kinds = self.kinds
         k = kinds[self.i]
         if k == "void":
@@ -323,7 +322,6 @@ class DartParser(Parser):
                 self.params()
             else:
                 break
-        self.depth -= 1
         return first
 
     def type_args(self) -> None:
@@ -373,7 +371,6 @@ class DartParser(Parser):
         return self.unit
 
     def resync(self, start: int, inside: bool) -> None:
-        self.depth = 0
         if self.i == start and self.kinds[self.i] != "eof" and not (inside and self.kinds[self.i] == "}"):
             self.i += 1
         while (k := self.kinds[self.i]) != "eof":
@@ -883,26 +880,21 @@ class DartParser(Parser):
 
     # -- statements -------------------------------------------------------
     def block(self) -> None:
-        self.deeper()
         open_at = self.ats[self.i]
         self.expect("{")
         while self.kinds[self.i] != "}":
             if self.kinds[self.i] == "eof":
                 self.fail("unclosed {", open_at)
-            start, depth = self.i, self.depth
+            start = self.i
             try:
                 self.statement()
             except SyntaxFailure as e:
                 self.note(e)
                 self.resync(start, True)
-                self.depth = depth
         self.i += 1
-        self.depth -= 1
 
     def statement(self) -> None:
-        self.deeper()
         self.statement_()
-        self.depth -= 1
 
     def statement_(self) -> None:
         kinds, texts = self.kinds, self.texts
@@ -1184,11 +1176,9 @@ class DartParser(Parser):
 
     # -- patterns ---------------------------------------------------------
     def pattern(self) -> None:
-        self.deeper()
         self.pattern_and()
         while self.accept("||"):
             self.pattern_and()
-        self.depth -= 1
 
     def pattern_and(self) -> None:
         self.pattern_unary()
@@ -1277,13 +1267,11 @@ class DartParser(Parser):
 
     # -- expressions --------------------------------------------------------
     def expr(self) -> None:
-        self.deeper()
         self.conditional_cascade()
         kinds = self.kinds
         while kinds[self.i] in ("..", "?.."):
             self.i += 1
             self.cascade()
-        self.depth -= 1
 
     def conditional_cascade(self) -> None:
         """An expression without cascades: throw, assignment, condition."""
@@ -1319,7 +1307,6 @@ class DartParser(Parser):
             self.conditional_cascade()
 
     def binary(self, least: int) -> None:
-        self.deeper()
         self.unary()
         kinds = self.kinds
         while True:
@@ -1336,7 +1323,6 @@ class DartParser(Parser):
                 self.type_operand()
             else:
                 self.binary(p + 1)
-        self.depth -= 1
 
     def type_operand(self) -> None:
         """A type after is or as; a ``?`` that begins a condition stays."""
@@ -1362,16 +1348,12 @@ class DartParser(Parser):
         k = kinds[self.i]
         if k in ("-", "!", "~", "++", "--"):
             self.i += 1
-            self.deeper()
             self.unary()
-            self.depth -= 1
             return
         if k == "id" and self.texts[self.i] == "await" and (self.async_[-1] and kinds[self.i + 1] not in (".", ";", ")", ",", "=") or kinds[self.i + 1] in ("id", "this", "super", "new", "const", "str", "num")):
             self.i += 1
             before = self.calls_so_far()
-            self.deeper()
             self.unary()
-            self.depth -= 1
             self.awaited(before)
             return
         self.primary()
@@ -1538,7 +1520,6 @@ class DartParser(Parser):
             for a, b in self.subs.get(self.i, ()):
                 child = DartParser(self.text)
                 child.functions, child.flags, child.async_, child.owner = self.functions, self.flags, self.async_, self.owner
-                child.depth = self.depth
                 child.lex(a, b)
                 if child.unit.errors:
                     self.unit.errors.extend(child.unit.errors)

@@ -292,7 +292,6 @@ class PythonParser(Parser):
     # -- recovery -------------------------------------------------------
     def resync(self, start: int) -> None:
         """Panic mode: skip to the end of the line and any block below it."""
-        self.depth = 0
         while self.kinds[self.i] not in ("nl", "eof"):
             if self.kinds[self.i] == "dedent" or self.kinds[self.i] in _STATEMENT and self.i > start and self.kinds[self.i - 1] == "nl":
                 break
@@ -335,7 +334,6 @@ class PythonParser(Parser):
         self.expect("indent")
         while self.kinds[self.i] not in ("dedent", "eof"):
             start = self.i
-            depth = self.depth
             try:
                 if self.kinds[self.i] == "indent":
                     self.i += 1
@@ -344,18 +342,15 @@ class PythonParser(Parser):
             except SyntaxFailure as e:
                 self.note(e)
                 self.resync(start)
-                self.depth = depth
         self.accept("dedent")
 
     def block(self) -> None:
-        self.deeper()
         if self.accept("nl"):
             if self.kinds[self.i] != "indent":
                 self.fail("expected an indented block")
             self.statements()
         else:
             self.simple_line()
-        self.depth -= 1
 
     def suite(self) -> None:
         self.expect(":")
@@ -461,14 +456,12 @@ class PythonParser(Parser):
                 return
 
     def pattern(self) -> None:
-        self.deeper()
         while True:
             self.closed_pattern()
             if not self.accept("|"):
                 break
         if self.accept("as"):
             self.expect("id")
-        self.depth -= 1
 
     def closed_pattern(self) -> None:
         kinds = self.kinds
@@ -937,7 +930,6 @@ class PythonParser(Parser):
             self.expr()
 
     def expr(self) -> None:
-        self.deeper()
         kinds = self.kinds
         if kinds[self.i] == "lambda":
             self.i += 1
@@ -949,14 +941,12 @@ class PythonParser(Parser):
             self.binary(1)
             if kinds[self.i] == "if":
                 self.i += 1
-                self.under(CONDITIONAL, self.binary, 1)
+                self.under(CONDITIONAL, lambda: self.binary(1))
                 self.expect("else")
                 self.under(CONDITIONAL, self.expr)
                 self.target = "conditional"
-        self.depth -= 1
 
     def binary(self, least: int) -> None:
-        self.deeper()
         kinds = self.kinds
         if kinds[self.i] == "not":
             if least > 3:
@@ -980,15 +970,12 @@ class PythonParser(Parser):
                 self.i += 1
             self.binary(p + 1)
             self.target = "operator"
-        self.depth -= 1
 
     def unary(self) -> None:
         kinds = self.kinds
         if kinds[self.i] in ("-", "+", "~"):
             self.i += 1
-            self.deeper()
             self.unary()
-            self.depth -= 1
             self.target = "operator"
             return
         awaits = kinds[self.i] == "await"
@@ -1001,9 +988,7 @@ class PythonParser(Parser):
             self.target = "await"
         if kinds[self.i] == "**":
             self.i += 1
-            self.deeper()
             self.unary()
-            self.depth -= 1
             self.target = "operator"
 
     def primary(self) -> None:
@@ -1061,7 +1046,7 @@ class PythonParser(Parser):
                 if not self.text[a:b].strip():
                     self.fail("empty expression in an f-string")
                 child = PythonParser(self.text)
-                child.functions, child.flags, child.depth, child.owner = self.functions, self.flags, self.depth, self.owner
+                child.functions, child.flags, child.owner = self.functions, self.flags, self.owner
                 child.lex(a, b, True)
                 if not child.unit.errors:
                     child.star_named()

@@ -183,7 +183,6 @@ class RustParser(Parser):
 
     def resync(self, start: int, inside: bool) -> None:
         """Panic mode: skip to where an item or statement can begin."""
-        self.depth = 0
         if self.i == start:
             self.i += self.kinds[self.i] not in ("eof",) and not (inside and self.kinds[self.i] == "}")
         while (k := self.kinds[self.i]) != "eof":
@@ -644,13 +643,11 @@ class RustParser(Parser):
             if self.kinds[self.i] == "eof":
                 self.fail("unclosed {", open_at)
             start = self.i
-            depth = self.depth
             try:
                 self.item(where)
             except SyntaxFailure as e:
                 self.note(e)
                 self.resync(start, True)
-                self.depth = depth
         self.i += 1
 
     def module(self, doc, at) -> None:
@@ -782,7 +779,6 @@ class RustParser(Parser):
                 break
 
     def type_(self, plus: bool = True) -> None:
-        self.deeper()
         k = self.kinds[self.i]
         if k == "&&":
             self.split("&")
@@ -852,7 +848,6 @@ class RustParser(Parser):
             self.bounds()
         else:
             self.fail("expected a type")
-        self.depth -= 1
 
     def path_type(self) -> None:
         if self.angle_ahead():
@@ -925,7 +920,6 @@ class RustParser(Parser):
             self.pattern_no_alt()
 
     def pattern_no_alt(self) -> None:
-        self.deeper()
         k = self.kinds[self.i]
         if k == "&&":
             self.split("&")
@@ -1001,7 +995,6 @@ class RustParser(Parser):
                     self.range_rest()
         else:
             self.fail("expected a pattern")
-        self.depth -= 1
 
     def pattern_list(self, end: str) -> None:
         while self.kinds[self.i] != end:
@@ -1028,7 +1021,6 @@ class RustParser(Parser):
     # -- statements -----------------------------------------------------
     def block(self, is_fn: bool = False) -> list[str]:
         """``{ ... }``; the inner documentation of a function's body."""
-        self.deeper()
         open_at = self.ats[self.i]
         self.expect("{")
         inner = self.inner_attributes()
@@ -1037,15 +1029,12 @@ class RustParser(Parser):
             if kinds[self.i] == "eof":
                 self.fail("unclosed {", open_at)
             start = self.i
-            depth = self.depth
             try:
                 self.statement()
             except SyntaxFailure as e:
                 self.note(e)
                 self.resync(start, True)
-                self.depth = depth
         self.i += 1
-        self.depth -= 1
         return inner
 
     def statement(self) -> None:
@@ -1170,7 +1159,6 @@ class RustParser(Parser):
         self.binary(0, no_struct)
 
     def binary(self, least: int, ns: bool) -> None:
-        self.deeper()
         k = self.kinds[self.i]
         if k == ".." or k == "..=":
             self.i += 1
@@ -1181,7 +1169,6 @@ class RustParser(Parser):
         else:
             self.unary(ns)
         self.binary_rest(least, ns)
-        self.depth -= 1
 
     def binary_rest(self, least: int, ns: bool) -> None:
         kinds = self.kinds
@@ -1216,9 +1203,7 @@ class RustParser(Parser):
         k = self.kinds[self.i]
         if k in ("-", "*", "!"):
             self.i += 1
-            self.deeper()
             self.unary(ns)
-            self.depth -= 1
             return
         if k == "&" or k == "&&":
             self.i += 1
@@ -1226,9 +1211,7 @@ class RustParser(Parser):
                 self.i += 2
             else:
                 self.accept("mut")
-            self.deeper()
             self.unary(ns)
-            self.depth -= 1
             return
         before = self.calls_so_far()
         self.expr_prefix(ns)

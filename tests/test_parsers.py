@@ -92,3 +92,16 @@ def test_encodings():
     assert parse.parse_file("a.py", None)[0].errors == []
     assert parse.parse_file(None, b"x")[0].items == []
     assert parse.extension("a\\b.d\\x.RS") == "rs"
+
+
+@pytest.mark.parametrize(
+    "path, text",
+    [
+        ("a.dart", "/// Picks one.\nvoid f(int x) {\n" + "if (x == 0) { g(); } else " * 3000 + "{ h(); }\n}\n"), ("a.dart", "void f() { x = " + "[" * 3000 + "]" * 3000 + "; }\n"), ("a.rs", "fn f() { let x = " + "(" * 3000 + "1" + ")" * 3000 + "; }\n"),
+        ("a.rs", "fn f() " + "{" * 3000 + "}" * 3000), ("a.py", "def f():\n    return " + "(" * 3000 + "1" + ")" * 3000 + "\n"),
+    ],
+)
+def test_nesting_decides_nothing(path, text):
+    unit, _ = parse.parse_file(path, text.encode())
+    assert not unit.errors and [i.name for i in unit.items if i.kind == "function"] == ["f"]
+    assert parse.parse_file(path, text.encode() + b")\n")[0].errors
