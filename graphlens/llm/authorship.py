@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..parse.base import decode_leniently, unify
+from ..session import cut
 from .common import spread
 
 #: Most rows that the classifiers are fitted on, taken by a hash of the content.
@@ -283,26 +284,34 @@ def judge(model: Model, path: str | None, content: bytes | None) -> tuple[bool,
     return not e.taken_over and (e.notice or t > 0 or p > 0), t, p, e.notice
 
 
+def sample_of(files: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``repo, display_path, content`` of at most ``rows`` distinct files, those with the least hash.
+
+    Copies (the same content and path) are dropped before anything is counted
+    or cut, on hashes and paths alone; only the chosen rows' contents move.
+    """
+    usable = files.where("content is not null and length(content) > 0").select("repo", "display_path", "content", F.xxhash64("content").alias("h"))
+    distinct = cut(usable.groupBy("h", "display_path").agg(F.min("repo").alias("repo")))
+    n = distinct.count()
+    rank = F.pmod(F.xxhash64("h", "display_path"), F.lit(1 << 40))
+    # Of a large table only a hash range that holds the sample is looked at, so that no
+    # partition has to offer as many rows as the whole sample; if chance leaves it too
+    # narrow, the whole table is looked at.
+    near = distinct.where(rank < F.lit(int((1 << 40) * 2 * rows / n))) if n > 4 * rows else distinct
+    keys = cut(near.orderBy(rank, "display_path").limit(rows))
+    if near is not distinct and keys.count() < rows:
+        keys = cut(distinct.orderBy(rank, "display_path").limit(rows))
+    same = [F.col("a.h") == F.col("k.h"), F.col("a.display_path").eqNullSafe(F.col("k.display_path")), F.col("a.repo").eqNullSafe(F.col("k.repo"))]
+    found = usable.alias("a").join(F.broadcast(keys.alias("k")), same).select("a.*")
+    return found.dropDuplicates(["h", "display_path"]).orderBy(rank, "display_path").select("repo", "display_path", "content")
+
+
 def fit_on(files: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Fit on at most ``rows`` files, those with the least hash of path and content.
 
     The sample is drawn over the whole table; equal files count once in it.
     """
-    usable = files.where("content is not null and length(content) > 0")
-    n = usable.count()
-    hashed = usable.select("repo", "display_path", "content", F.xxhash64("content").alias("h"))
-    if n > 4 * rows:
-        # Of a large table only a hash range that holds the sample is looked at, so that no
-        # partition has to offer as many rows as the whole sample.
-        hashed = hashed.where(F.pmod("h", F.lit(1 << 40)) < F.lit(int((1 << 40) * 2 * rows / n)))
-    sample = hashed.orderBy(F.pmod("h", F.lit(1 << 40)), "display_path", "repo").limit(rows).collect()
-    seen, unique = set(), []
-    for r in sample:
-        key = (r["h"], r["display_path"])
-        if key not in seen:
-            seen.add(key)
-            unique.append((r["repo"], r["display_path"], bytes(r["content"])))
-    return fit(unique)
+    return fit([(r["repo"], r["display_path"], bytes(r["content"])) for r in sample_of(files, rows).collect()])
 
 
 def scored(files: DataFrame, model: Model | None = None) -> DataFrame:

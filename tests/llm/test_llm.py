@@ -115,6 +115,16 @@ def test_inheritance_has_no_depth_and_methods_of_a_line_stay_apart(spark):
 HAND = "def scan_{0}(path):\n    total = 0\n    for name in path.names:\n        if name.size > {0}:\n            total += name.size\n    return total\n\nclass Walker{0}:\n    def __init__(self, root):\n        self.root = root\n"
 
 
+def test_copies_take_no_place_in_the_sample(spark):
+    each = [(k, "r", f"src/a{k}.py", HAND.format(k).encode(), None) for k in range(30)]
+    first = authorship.sample_of(spark.createDataFrame(each, SRC), 1).first()
+    copy = next(r for r in each if r[2] == first["display_path"])
+    many = spark.createDataFrame([*each, *((100 + k, f"q{k % 7}", copy[2], copy[3], None) for k in range(60))], SRC)
+    for rows_ in (20, 5):
+        got = [(r["display_path"], bytes(r["content"])) for r in authorship.sample_of(many, rows_).collect()]
+        assert len(got) == len(set(got)) == rows_
+
+
 def _files():
     rng, out = random.Random(1), []
     for i in range(160):
