@@ -26,8 +26,6 @@ from .common import spread
 ABBREVIATION, STARTER, COLLOCATION = 0.3, 25.0, 7.88
 #: Log-likelihood that what follows an abbreviation's period must give.
 EVIDENCE = 2.0
-#: Most rows of the learned lists that the driver and the workers hold.
-MAX_MODEL_ROWS = 500_000
 #: Keys that a worker counts before it hands partial counts on.
 _FLUSH = 300_000
 
@@ -297,7 +295,7 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame) -> Model:
-    """Learn from all documents; only types above a threshold leave the cluster."""
+    """Learn from all documents; only types above a threshold that the classifier asks for leave the cluster."""
     counts = cut(statistics(docs))
     pick = lambda kind, name: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0)).alias(name)
     totals = {r["lang"]: r for r in counts.where("kind in ('N', 'p', 'S', 'de', 'd')").groupBy("lang").agg(pick("N", "n"), pick("p", "p"), pick("S", "s"), pick("de", "de"), pick("d", "d")).collect()}
@@ -342,10 +340,20 @@ def train(docs: DataFrame) -> Model:
             cols = list(zip(*out)) or [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:4]), pa.array(cols[4], pa.bool_())], names=["lang", "kind", "a", "b", "flag"])
 
-    rows = lists.unionByName(joined.mapInArrow(pairs, schema)).limit(MAX_MODEL_ROWS + 1).collect()
-    if len(rows) > MAX_MODEL_ROWS:
-        raise ValueError(f"more than {MAX_MODEL_ROWS} learned entries; raise the thresholds")
-    return learn(rows)
+    return learn(_asked(cut(lists.unionByName(joined.mapInArrow(pairs, schema)))).collect())
+
+
+def _asked(rows: DataFrame) -> DataFrame:
+    """The learned rows that can decide anything.
+
+    ``known`` and ``lower`` grow with the vocabulary, but the classifier asks for
+    them only of types that are an abbreviation, a starter or the second of a pair
+    in some language; of pairs it asks for those with a number alone.
+    """
+    rows = rows.where("kind <> 'pair' or a = '##'")
+    kinds = rows.where("kind in ('abbr', 'start', 'pair')").select(F.when(F.col("kind") == "pair", F.col("b")).otherwise(F.col("a")).alias("a")).distinct()
+    wide = F.col("kind").isin("known", "lower")
+    return rows.where(~wide).unionByName(rows.where(wide).join(kinds, "a", "left_semi"))
 
 
 def ends(text: str | None, lang: str | None, model: Model) -> list[int]:

@@ -258,3 +258,11 @@ def test_units_of_a_table(spark, trained):
     got = sentences.units(d, trained)
     assert got.where("doc_id = 1").count() == 2 and got.where("doc_id = 2").count() == 0 and got.where("doc_id = 3").count() == 3000
     assert sentences.units(d.limit(0)).count() == 0
+
+
+def test_learned_lists_keep_only_what_decides(spark):
+    learned = [("en", "abbr", "dr", "", True), ("en", "start", "the", "", None), ("de", "pair", "##", "mai", None), ("de", "pair", "j", "bach", None), ("de", "num", "nr", "", None)]
+    asked = [("de", "known", "dr", "", None), ("fr", "lower", "the", "", None), ("de", "known", "mai", "", None)]
+    vocabulary = [("en", k, f"word{n}", "", None) for n in range(50) for k in ("known", "lower")] + [("de", "known", "bach", "", None)]
+    df = spark.createDataFrame(learned + asked + vocabulary, "lang string, kind string, a string, b string, flag boolean")
+    assert rows(sentences._asked(df)) == set(learned + asked) - {("de", "pair", "j", "bach", None)}
