@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import schema
@@ -118,9 +118,7 @@ def knowledge_graph(g: graph.CodeGraph, max_nodes: int = 150, kinds: tuple[str,
     a = g.atoms.where((F.col("kind") != "module") & (F.col("kind") != "extern") & (F.col("file_path") != "") & F.col("kind").isin(*kinds)).join(d, "id")
     if not include_private:
         a = a.where(S.is_public(F.col("signature"), F.col("name"), F.col("file_path")) | (F.col("cross_degree") > 0))
-    order = [F.desc("cross_degree"), F.desc("degree"), F.asc("id")]
-    top = a.orderBy(*order).limit(max_nodes).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    kept = cut(graph.budget_fill(top.select("id", "file_path", "rank"), max_nodes).join(g.atoms.drop("file_path"), "id"))
+    kept = cut(graph.budget_best(a, max_nodes).join(g.atoms.drop("file_path"), "id"))
     items = kept.select("id", S.item_label(F.col("kind"), F.col("name"), F.col("parent"), F.col("file_path")).alias("label"), "kind")
     files = kept.select(F.concat(F.lit("code:"), "file_path").alias("id"), F.col("file_path").alias("label"), F.lit("module").alias("kind")).distinct()
     nodes = items.unionByName(files)

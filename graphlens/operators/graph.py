@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import scalars as S
+from ..session import cut
 
 
 @dataclass
@@ -195,13 +196,36 @@ def degree_rank(atoms: DataFrame, edges: DataFrame, most: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def budget_best(items: DataFrame, budget: int) -> DataFrame:
+    """``id, file_path, rank`` of the best connected items that fit a node budget, over all items.
+
+    ``items``: id, file_path, degree, cross_degree.  The prefix lies within the
+    first ``budget`` ranks; if it leaves one place, the best item of all further
+    ranks whose file is already in takes it.
+    """
+    order = [F.desc("cross_degree"), F.desc("degree"), F.asc("id")]
+    items = cut(items.select("id", "file_path", "degree", "cross_degree"))
+    top = items.orderBy(*order).limit(budget).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    kept = cut(budget_fill(top.select("id", "file_path", "rank"), budget))
+    used = kept.count() + kept.select("file_path").distinct().count()
+    if used != budget - 1:
+        return kept
+    later = items.join(F.broadcast(kept.select("file_path").distinct()), "file_path", "left_semi").join(F.broadcast(kept.select("id")), "id", "left_anti")
+    x = later.orderBy(*order).first()
+    if x is None:
+        return kept
+    c, d = F.col("cross_degree"), F.col("degree")
+    ahead = items.where((c > x["cross_degree"]) | (c == x["cross_degree"]) & ((d > x["degree"]) | (d == x["degree"]) & (F.col("id") < x["id"]))).count()
+    return kept.unionByName(items.sparkSession.createDataFrame([(x["id"], x["file_path"], ahead + 1)], kept.schema))
+
+
 def budget_fill(ranked: DataFrame, budget: int) -> DataFrame:
     """Items that fit a node budget in order of rank; a new file costs one more.
 
     Costs are one or two, so a prefix fits, and after it at most the first item
     whose file is already in, if one place is left.  ``ranked``: id, file_path,
-    rank; no more than ``budget`` + the files' items matter, so the caller passes
-    a top-k.  Returns the accepted rows.
+    rank.  The windows hold all of it: ``budget_best`` takes a whole graph.
+    Returns the accepted rows.
     """
     one = Window.partitionBy("file_path").orderBy("rank")
     all_ = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)

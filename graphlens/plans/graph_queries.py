@@ -101,8 +101,8 @@ def degree_rank(spark, d):
 t as (select *, sum(cost) over (order by rank) total from c), u as (select *, total <= {_BUDGET} ok, bool_or(total <= {_BUDGET}) over (partition by file_path) fi, max(case when total <= {_BUDGET} then total end) over () used from t),
 x as (select min(rank) r from u where not ok and fi and used = {_BUDGET} - 1) select id, file_path, rank from u where ok or rank = (select r from x)""")
 def budget_fill(spark, d):
-    ranked = graph.degree_rank(P.trade_vertices(spark, d), P.trade_edges(spark, d), 100)
-    return graph.budget_fill(ranked.select("id", "file_path", "rank"), _BUDGET)
+    v = P.trade_vertices(spark, d)
+    return graph.budget_best(graph.degrees(v, P.trade_edges(spark, d)).join(v.select("id", "file_path"), "id"), _BUDGET)
 
 
 @query("""select split_part(signature, '::', 1) head, count(distinct file_path) files from atoms where kind = 'extern' and signature is not null

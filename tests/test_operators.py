@@ -355,3 +355,12 @@ def test_whole_graph_queries_link_the_files_of_a_crate(spark, tmp_path):
     assert {a for a, _ in calls} == {"go", "main"} and {b.split("::")[0] for a, b in calls if a == "go"} == {"code:a/x/src/util.rs"}
     assert {b.rsplit("::", 1)[-1] for _, b in calls} == {"helper", "shared", "run"}
     assert {b.split("::")[0] for _, b in rows(graph_queries.resolved_type_uses(spark, str(tmp_path)))} == {"code:a/x/src/util.rs"}
+
+
+def test_the_last_place_is_filled_from_any_rank(spark):
+    # Two items of one file take 3 of 4 places; 300 items in files of their own follow, then one of the first file.
+    items = [("a", "f", 9, 900), ("b", "f", 9, 900), *((f"n{k:03}", f"g{k}", 5, 500 - k) for k in range(300)), ("z", "f", 1, 1), ("zz", "f", 1, 0)]
+    df = spark.createDataFrame(items, "id string, file_path string, degree int, cross_degree int")
+    assert rows(graph.budget_best(df, 4)) == {("a", "f", 1), ("b", "f", 2), ("z", "f", 303)}
+    assert rows(graph.budget_best(df, 5)) == {("a", "f", 1), ("b", "f", 2), ("n000", "g0", 3)}
+    assert rows(graph.budget_best(df.limit(0), 5)) == set()
