@@ -6,7 +6,8 @@ current, anti-joins the listing with the manifest, writes its batch under its
 own identifier (a repeated try overwrites it) and then commits the manifest.
 
 ``ManifestStore`` does this for one run at a time on shared storage;
-``replay`` does it for all runs of a log in one set-based pass.
+``replay`` does it for all runs of a log in one set-based pass, with the same
+three relations: listing, manifest, and what the anti-join leaves.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
+from ..session import cut, fits
 
 _RUN_ROW = 120
+#: Parts of a series' log rows in a join that is no broadcast.
+_SALT = 16
 
 
 def clean_path(c: Column) -> Column:
@@ -54,6 +57,14 @@ def successful_runs(runs: DataFrame) -> DataFrame:
     return good.select("series", "run_id", F.row_number().over(by).alias("nth"), F.lag("started_at").over(by).alias("lo"), F.col("started_at").alias("hi"))
 
 
+def _join_runs(rows: DataFrame, runs: DataFrame, on: list[str]) -> DataFrame:
+    """Log rows with intervals of their series; a series that holds much of the log is split by salt."""
+    if fits(runs, _RUN_ROW):
+        return rows.join(F.broadcast(runs), on)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("path", "log_id"), F.lit(_SALT)).cast("int"))
+    return salted.join(runs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALT - 1)))), [*on, "salt"]).drop("salt")
+
+
 def assign_runs(log: DataFrame, runs: DataFrame) -> DataFrame:
     """Each log row with the first successful run that could read it.
 
@@ -66,44 +77,62 @@ def assign_runs(log: DataFrame, runs: DataFrame) -> DataFrame:
     closed = spans.where("lo is not null and lo < hi").withColumn("day", F.explode(days))
     rows = clean_log(log).withColumn("day", F.to_date("landed_at"))
     first = spans.where("nth = 1").select("series", F.col("run_id").alias("r1"), F.col("hi").alias("h1"))
-    rows = rows.join(broadcast_if_small(first, _RUN_ROW), "series")
+    rows = _join_runs(rows, first, ["series"])
     early = rows.where("landed_at <= h1").select("series", "path", "blob", "log_id", "scanned_at", F.col("r1").alias("run_id"), F.lit(1).alias("nth"))
     late = (
-        rows.where("landed_at > h1")
-        .join(broadcast_if_small(closed, _RUN_ROW), ["series", "day"])
+        _join_runs(rows.where("landed_at > h1"), closed, ["series", "day"])
         .where("landed_at > lo and landed_at <= hi")
         .select("series", "path", "blob", "log_id", "scanned_at", "run_id", "nth")
     )
     return early.unionByName(late)
 
 
-def replay(log: DataFrame, runs: DataFrame) -> DataFrame:
-    """What every successful run has to process: ``run_id, display_path, blob_sha``.
+def listings(log: DataFrame, runs: DataFrame) -> DataFrame:
+    """What each successful run lists: ``series, path, nth, run_id, blob``.
 
-    Within a path, the manifest a run finds is the running best of the runs
-    before it; a listed blob that the manifest already holds is anti-joined
-    away.  Only paths with a row landed since the last run can differ, so the
-    full listing of each run is never built.  Failed runs commit nothing and so
-    form no interval.  Null blobs, paths or times are ignored, repeated rows
-    change nothing, and empty tables give no rows.
+    Only paths with a row landed since the last run can differ from what the
+    manifest holds, so a run's listing is kept to those; their blob is the best
+    of all rows that the run or one before it could read.
     """
-    part = Window.partitionBy("series", "path").orderBy("nth")
+    part = Window.partitionBy("series", "path").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     best = F.max(F.struct("scanned_at", "log_id", "blob"))
     touched = assign_runs(log, runs).groupBy("series", "path", "nth", "run_id").agg(best.alias("b")).repartition("series", "path")
-    listed = touched.withColumn("now", F.max("b").over(part.rowsBetween(Window.unboundedPreceding, 0)))
-    manifest = F.lag("now").over(part)["blob"]
-    return listed.withColumn("was", manifest).where(~F.col("now.blob").eqNullSafe(F.col("was"))).select(
-        "run_id", F.col("path").alias("display_path"), F.col("now.blob").alias("blob_sha")
-    )
+    return touched.select("series", "path", "nth", "run_id", F.max("b").over(part)["blob"].alias("blob"))
+
+
+def manifests(listed: DataFrame) -> DataFrame:
+    """The manifest that each run finds: ``series, path, nth, blob``.
+
+    A successful run commits every path it listed with its checksum, and the
+    entry stands until the next run that lists the path replaces it; ``nth`` is
+    that next run, the one that has to compare with it.  Failed runs commit
+    nothing and have no listing.
+    """
+    part = Window.partitionBy("series", "path").orderBy("nth")
+    return listed.select("series", "path", F.lead("nth").over(part).alias("nth"), "blob").where("nth is not null")
+
+
+def replay(log: DataFrame, runs: DataFrame) -> DataFrame:
+    """What every successful run has to process: ``run_id, display_path, blob_sha``.
+
+    The listing of every run is anti-joined with the manifest it finds, by path
+    and checksum; ``run_id`` is the batch identifier under which a repeated run
+    writes the same rows again.  Null blobs, paths or times are ignored,
+    repeated rows change nothing, and empty tables give no rows.
+    """
+    listed = cut(listings(log, runs))
+    pending = listed.join(manifests(listed), ["series", "path", "nth", "blob"], "left_anti")
+    return pending.select("run_id", F.col("path").alias("display_path"), F.col("blob").alias("blob_sha"))
 
 
 class ManifestStore:
     """Batches and manifest on shared storage, for one run at a time.
 
     ``root``/batches/batch=ID holds a run's records, ``root``/manifest/ID what it
-    processed, ``root``/commits/ID.json the commit.  Only committed identifiers
-    count, so a run that dies in between leaves nothing that a later one reads,
-    and its repetition overwrites its own folders.
+    processed, ``root``/commits/N.json the N-th commit.  Only committed
+    identifiers count, so a run that dies in between leaves nothing that a later
+    one reads, and its repetition overwrites its own folders.  Of two runs that
+    read the same manifest at the same time, one commits and the other fails.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -112,13 +141,26 @@ class ManifestStore:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def committed(self) -> list[str]:
-        """Identifiers of the committed batches, in order of commit."""
+    def _commits(self) -> dict[int, str]:
+        """Batch identifiers by number of commit; a damaged commit has none."""
         at = self._path(f"{self.root}/commits")
         if not self._fs.exists(at):
-            return []
-        found = [x.getPath().getName() for x in self._fs.listStatus(at)]
-        return [x[:-5].split("-", 1)[1] for x in sorted(found) if x.endswith(".json") and not x.startswith("_")]
+            return {}
+        names = sorted(n for x in self._fs.listStatus(at) if (n := x.getPath().getName()).endswith(".json"))
+        out = {}
+        for n in names:
+            stream = self._fs.open(self._path(f"{self.root}/commits/{n}"))
+            try:
+                out[int(n[:-5])] = json.loads(bytes(stream.readAllBytes()) or b"null") or ""
+            except ValueError:
+                out[int(n[:-5])] = ""
+            finally:
+                stream.close()
+        return out
+
+    def committed(self) -> list[str]:
+        """Identifiers of the committed batches, in order of commit."""
+        return [x for _, x in sorted(self._commits().items()) if x]
 
     def manifest(self) -> DataFrame:
         """``key, size, checksum`` as of the last commit; the latest batch wins."""
@@ -140,27 +182,40 @@ class ManifestStore:
         )
 
     def run(self, batch_id: str, files: DataFrame, process=None, fail_before_commit: bool = False) -> bool:
-        """Process what is pending under ``batch_id``; False if it was done before."""
-        names = self.committed()
-        if batch_id in names:
+        """Process what is pending under ``batch_id``; False if it was done before.
+
+        The listing is evaluated once: what is pending is written first, and
+        both the batch and the manifest are made from what was written.  A file
+        that changes in the meantime is listed again by the next run.
+        """
+        commits = self._commits()
+        if batch_id in commits.values():
             return False
-        work = self.pending(files)
-        (process(work) if process else work).write.mode("overwrite").parquet(f"{self.root}/batches/batch={batch_id}")
-        done = work.select("key", "size", "checksum").withColumn("nth", F.lit(len(names)))
-        done.write.mode("overwrite").parquet(f"{self.root}/manifest/{batch_id}")
+        nth = max(commits, default=-1) + 1
+        batch, staged = f"{self.root}/batches/batch={batch_id}", f"{self.root}/staged/{batch_id}"
+        first = staged if process else batch
+        self.pending(files).write.mode("overwrite").parquet(first)
+        work = self.spark.read.parquet(first)
+        if process:
+            process(work).write.mode("overwrite").parquet(batch)
+        work.select("key", "size", "checksum").withColumn("nth", F.lit(nth)).write.mode("overwrite").parquet(f"{self.root}/manifest/{batch_id}")
         if fail_before_commit:
             raise RuntimeError("stopped before the commit")
-        self._commit(f"{len(names):09d}-{batch_id}")
+        self._commit(nth, batch_id)
+        self._fs.delete(self._path(staged), True)
         return True
 
-    def _commit(self, name: str) -> None:
-        """Write the commit beside its place and rename it, which is atomic."""
-        tmp, to = self._path(f"{self.root}/commits/_{name}.tmp"), self._path(f"{self.root}/commits/{name}.json")
-        out = self._fs.create(tmp, True)
-        out.write(bytearray(json.dumps({"batch": name}).encode()))
+    def _commit(self, nth: int, batch_id: str) -> None:
+        """Create the commit's file, which fails if another run has that number."""
+        jvm_error = "already exists"
+        try:
+            out = self._fs.create(self._path(f"{self.root}/commits/{nth:09d}.json"), False)
+        except Exception as e:  # noqa: BLE001
+            if jvm_error not in str(e):
+                raise
+            raise RuntimeError(f"{batch_id} met the commit of another run; run it again") from e
+        out.write(bytearray(json.dumps(batch_id).encode()))
         out.close()
-        if not self._fs.rename(tmp, to):
-            raise RuntimeError(f"{name} could not be committed")
 
     def records(self) -> DataFrame:
         """Records of all committed batches, with their ``batch``."""

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 #: Most bytes that any broadcast of this library may hold, by estimate.
 BROADCAST_BYTES = 64 << 20
-
+#: Bytes of a part of Python work, where an input is cut anew.
+PART_BYTES = 16 << 20
 
 _shipped: set[str] = set()
 
@@ -48,34 +49,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fits(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the counted rows of ``df`` fit ``limit`` bytes.
+
+    ``row_bytes`` is the caller's upper estimate of one row in memory.  The
+    count stops at the limit, so that a large frame is not read whole only to
+    find out that it is large.
+    """
+    most = max(1, limit // row_bytes)
+    return df.limit(most + 1).count() <= most
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Mark ``df`` for broadcast if its counted rows fit ``limit`` bytes.
 
     Beyond the limit the frame comes back unmarked, and Spark joins it by
-    shuffle (with AQE's skew handling).  ``row_bytes`` is the caller's upper
-    estimate of one row in memory.  The count stops at the limit, so that a
-    large frame is not read whole only to find out that it is large.
+    shuffle (with AQE's skew handling).
     """
-    most = max(1, limit // row_bytes)
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if fits(df, row_bytes, limit) else df
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a small input as many partitions as there are cores.
+    """Give Python work enough parts if its input is small.
 
-    Large inputs already come in more partitions and are not moved; a file of
-    one row group would otherwise be worked through by a single core.
+    A small file of one row group would otherwise be worked through by a single
+    core.  Inputs that a scan cuts into enough parts by itself are not moved.
     """
-    ship(df.sparkSession)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    ship(spark)
+    cores = spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    size = int(str(plan.optimizedPlan().stats().sizeInBytes()))
+    if plan.executedPlan().nodeName() != "AdaptiveSparkPlan":  # no shuffle before: counting the parts of a scan runs nothing
+        enough = df.rdd.getNumPartitions() >= cores
+    else:
+        enough = size >= cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() // 2
+    return df if enough else df.repartition(max(2 * cores, size // PART_BYTES))
 
 
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The shared folder for checkpoints, as the cluster names it.
 
-    ``spark.checkpoint.dir`` of the session wins; a folder of our own is set
-    only where the cluster names none and ``fallback`` is given (tests).
+    ``spark.checkpoint.dir`` of the session wins.  Where the cluster names none,
+    ``fallback`` is taken (tests, and local sessions of the command line); on a
+    cluster there is no folder of our own that all executors would see.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -84,8 +101,10 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc.getCheckpointDir() is None:
-        if fallback is None:
+        if fallback is None and sc.master.startswith("local"):
             fallback = os.path.join(tempfile.gettempdir(), "graphlens-checkpoint")
+        if fallback is None:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(fallback)
     return sc.getCheckpointDir()
 

@@ -56,6 +56,53 @@ def _log(rng, n=300):
     return out + out[:20]
 
 
+def test_replay_is_what_one_run_after_another_finds(spark, tmp_path):
+    rng = random.Random(12)
+    log = _log(rng, 120)
+    runs = [(k, "r", "p", rng.choice(["succeeded", "succeeded", "failed", None]), dt.datetime(2025, 1, 1) + dt.timedelta(hours=40 * k + 7)) for k in range(8)]
+    d, r = spark.createDataFrame(log, LOG), spark.createDataFrame(runs, RUN)
+    store, want = incremental.ManifestStore(spark, str(tmp_path / "m")), set()
+    for run_id, _, _, outcome, at in runs:
+        found = incremental.listing(d.where("repo = 'r'"), str(at)).select(F.col("path").alias("key"), F.lit(None).cast("bigint").alias("size"), F.col("blob").alias("checksum"))
+        if outcome != "succeeded":
+            with pytest.raises(RuntimeError):
+                store.run(f"b{run_id}", found, fail_before_commit=True)
+            continue
+        assert store.run(f"b{run_id}", found) and not store.run(f"b{run_id}", found)
+        want |= {(run_id, x["key"], x["checksum"]) for x in store.records().where(F.col("batch") == f"b{run_id}").collect()}
+    assert rows(incremental.replay(d, r)) == want and len(want) > 3
+
+
+def test_a_series_beyond_a_broadcast_is_split(spark, monkeypatch):
+    rng = random.Random(13)
+    d = spark.createDataFrame(_log(rng, 300), LOG)
+    r = spark.createDataFrame([(k, rng.choice("rs"), "p", "succeeded", dt.datetime(2025, 1, 1) + dt.timedelta(hours=9 * k)) for k in range(40)], RUN)
+    want = rows(incremental.replay(d, r))
+    monkeypatch.setattr(incremental, "fits", lambda *a: False)
+    assert rows(incremental.replay(d, r)) == want and want
+
+
+def test_a_batch_and_its_manifest_come_from_one_evaluation(spark, tmp_path):
+    store = incremental.ManifestStore(spark, str(tmp_path / "m"))
+    moving = spark.range(4).select(F.concat(F.lit("k"), "id").alias("key"), F.lit(1).cast("bigint").alias("size"), F.uuid().alias("checksum"))
+    store.run("a", moving, process=lambda w: w.withColumn("n", F.length("key")))
+    assert rows(store.records().select("key", "checksum")) == rows(store.manifest().select("key", "checksum"))
+
+
+def test_two_runs_that_read_one_manifest_do_not_both_commit(spark, tmp_path):
+    store = incremental.ManifestStore(spark, str(tmp_path / "m"))
+    f = spark.createDataFrame([("k", 1, "c")], "key string, size bigint, checksum string")
+
+    def late(w):
+        if not store.committed():
+            incremental.ManifestStore(spark, store.root).run("other", f)
+        return w
+
+    with pytest.raises(RuntimeError, match="run it again"):
+        store.run("first", f, process=late)
+    assert store.committed() == ["other"] and store.run("first", f) and store.records().count() == 1
+
+
 def _current(log, series, moment):
     best = {}
     for i, r, s, p, b, at, land in log:
