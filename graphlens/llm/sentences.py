@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -19,8 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
-from .common import spread
+from ..session import cut, spread
 
 #: Thresholds of the log-likelihood ratios.
 ABBREVIATION, STARTER, COLLOCATION = 0.3, 25.0, 7.88
@@ -28,15 +27,21 @@ ABBREVIATION, STARTER, COLLOCATION = 0.3, 25.0, 7.88
 EVIDENCE = 2.0
 #: Keys that a worker counts before it hands partial counts on.
 _FLUSH = 300_000
+#: Most learned rows that every worker holds; beyond it they are joined to the tokens that ask for them.
+MAX_HELD = 500_000
+#: Parts of a word's requests in that join.
+_SALT = 8
 
 _CJK = r"\p{Han}\p{Hiragana}\p{Katakana}ー々"
 _OPEN = "\"'“”„‚‘’«»‹›「『（(［[{〈《【*_`"
 _CLOSE = "\"'”’“«»‹›」』）)］]}〉》】*_`"
+_CLOSERS, _LEAD = frozenset(_CLOSE), frozenset(_OPEN + "¿¡…")
 #: A mark that can end a sentence, what closes behind it, and whether white space follows.
 _CANDIDATE = regex.compile(rf"(?:(?<wide>[。！？｡]+|[！？?!…]+(?=[”」』）〉》】]))|(?<mark>[.!?‼⁇⁈⁉؟۔।॥…]+|(?<=\s)[!?]+))(?<close>[{re.escape(_CLOSE)}]*)")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}](?:[\p{L}\p{M}\p{N}'’\-]|\.(?=[\p{L}\p{M}\p{N}]))*")
 _NUMBER = regex.compile(r"[\p{N}]+(?:[.,:][\p{N}]+)*$")
-_BEFORE = regex.compile(r"(?:[\p{L}\p{M}\p{N}'’\-_º°ª]|\.(?=[\p{L}\p{M}\p{N}]))+$")
+_BEFORE = regex.compile(r"(?r)(?:[\p{L}\p{M}\p{N}'’\-_º°ª]|\.(?=[\p{L}\p{M}\p{N}]))+")
+_WIDE_NEXT = regex.compile(rf"[{_CJK}「『（]")
 _FENCE = re.compile(r"[ \t]*(```+|~~~+)")
 _HEADING = re.compile(r"[ \t]{0,3}#{1,6}(?:[ \t]|$)")
 _ITEM = re.compile(r"[ \t]*(?:[-*+•‣◦–]|\d{1,9}[.)]|[A-Za-z][)])[ \t]+\S")
@@ -114,107 +119,141 @@ def blocks(text: str) -> list[tuple[int, int, bool]]:
 
 @dataclass
 class Model:
-    """What was learned: by language, the sets that the classifier asks for."""
+    """What was learned: by language, the sets that the classifier asks for.
 
-    abbreviations: dict[str, dict[str, bool]] = field(default_factory=dict)  # type -> whether it can end a sentence
-    starters: dict[str, set[str]] = field(default_factory=dict)
-    lower: dict[str, set[str]] = field(default_factory=dict)  # types also seen in lower case within sentences
-    collocations: dict[str, set[tuple[str, str]]] = field(default_factory=dict)
-    numbered: dict[str, set[str]] = field(default_factory=dict)  # types whose period mostly stands before a number
-    known: dict[str, set[str]] = field(default_factory=dict)  # types seen often enough for their language to decide
+    Under None stands what any language says.
+    """
+
+    abbreviations: dict = field(default_factory=dict)  # lang -> type -> whether it can end a sentence
+    starters: dict = field(default_factory=dict)  # lang -> types
+    lower: dict = field(default_factory=dict)  # lang -> types also seen in lower case within sentences
+    collocations: dict = field(default_factory=dict)  # lang -> second types of pairs with a number
+    numbered: dict = field(default_factory=dict)  # lang -> types whose period mostly stands before a number
+    known: dict = field(default_factory=dict)  # lang -> types seen often enough for their language to decide
 
     def abbreviation(self, lang: str, t: str) -> bool | None:
         """None if ``t`` is none, else whether it can end a sentence."""
-        own = self.abbreviations.get(lang, {})
-        if t in own:
+        own = self.abbreviations.get(lang)
+        if own is not None and t in own:
             return own[t]
         if t in self.known.get(lang, ()):
             return None
-        found = [a[t] for a in self.abbreviations.values() if t in a]
-        return any(found) if found else None
+        return self.abbreviations.get(None, {}).get(t)
 
     def starter(self, lang: str, t: str) -> bool:
-        return t in self.starters.get(lang, ()) or (t not in self.known.get(lang, ()) and any(t in s for s in self.starters.values()))
+        return t in self.starters.get(lang, ()) or (t not in self.known.get(lang, ()) and t in self.starters.get(None, ()))
+
+    def lowered(self, t: str) -> bool:
+        return t in self.lower.get(None, ())
+
+    def after_number(self, lang: str, t: str) -> bool:
+        return t in self.collocations.get(lang, ()) or (t not in self.known.get(lang, ()) and t in self.collocations.get(None, ()))
+
+    def before_number(self, t: str) -> bool:
+        return t in self.numbered.get(None, ())
 
-    def lowered(self, lang: str, t: str) -> bool:
-        return t in self.lower.get(lang, ()) or any(t in s for s in self.lower.values())
 
-    def together(self, lang: str, a: str, b: str) -> bool:
-        return (a, b) in self.collocations.get(lang, ()) or (b not in self.known.get(lang, ()) and any((a, b) in c for c in self.collocations.values()))
+_TYPES: dict[str, str] = {}
 
 
 def _type(word: str) -> str:
-    w = word.lower().strip("'’-")
-    return "##" if _NUMBER.fullmatch(w) else w
+    """A word in lower case without marks at its ends; every number is one type."""
+    if (got := _TYPES.get(word)) is None:
+        w = word.lower().strip("'’-")
+        if len(_TYPES) > _FLUSH:
+            _TYPES.clear()
+        got = _TYPES[word] = "##" if _NUMBER.fullmatch(w) else w
+    return got
 
 
 def _next_word(text: str, at: int, end: int):
-    m = _WORD.search(text, at, end)
-    return m if m and m.start() - at <= 12 else None
+    """The word that begins at most twelve characters after ``at``."""
+    if m := _WORD.match(text, at, end):
+        return m
+    m = _WORD.search(text, at, min(end, at + 13))
+    return m and _WORD.match(text, m.start(), end)
 
 
-def candidates(text: str, a: int, b: int) -> Iterator[tuple]:
-    """Marks of a block that may end a sentence: (match, gap)."""
-    for m in _CANDIDATE.finditer(text, a, b):
-        if m["wide"]:
-            yield m, True
-            continue
-        nxt = text[m.end() : m.end() + 1] if m.end() < b else ""
-        if nxt == "" or nxt.isspace():
-            yield m, True
-        elif m["mark"][0] in "।॥؟۔" or regex.match(rf"[{_CJK}「『（]", nxt) and m["mark"][0] in "!?":
-            yield m, False
+def _skip(text: str, at: int, end: int, chars: str | frozenset) -> int:
+    while at < end and text[at] in chars:
+        at += 1
+    return at
+
+
+def _skip_space(text: str, at: int, end: int) -> int:
+    while at < end and text[at].isspace():
+        at += 1
+    return at
 
 
-def count(text: str, lang: str, into: Counter) -> None:
+_KINDS = ("t", "d", "dl", "dn", "de", "dw", "s", "l", "f")
+
+
+def count(text: str, into: dict[str, Counter]) -> None:
     """Add a text's counts of types, their periods and what stands beside them.
 
-    Keys: (lang, kind, type, next) with kind t a type, d one with a period,
-    dl/dn/de such a one before lower case, a number, a block's end, s one that
-    begins a block, l one in lower case within a sentence, f one in upper case
-    after the end mark of a word, c a pair around a
-    number's or an initial's period, p a period, N a token.
+    ``into``: a counter for each kind: t a type, d one with a period,
+    dl/dn/de such a one before lower case, a number, a block's end, dw one that
+    ends a list item, s one that begins a block, l one in lower case within a
+    sentence, f one in upper case after the end mark of a word, c a pair around
+    a number's or an initial's period, p a period, N a token, S a block.
     """
+    types, low, after_mark = [], [], []
+    known = _TYPES.get
+    tokens = 0
     for a, b, whole in blocks(text):
         if whole and _FENCE.match(text, a):
             continue
-        first = True
-        fresh = True
+        fresh, first = True, not whole
         before = ""
         for m in _WORD.finditer(text, a, b):
-            t = _type(m[0])
-            into[lang, "N", "", ""] += 1
-            if first and not whole:
-                into[lang, "s", t, ""] += 1
-                into[lang, "S", "", ""] += 1
-            if not fresh and m[0][:1].islower():
-                into[lang, "l", t, ""] += 1
-            elif fresh and len(before) > 2 and m[0][:1].isupper():
-                into[lang, "f", t, ""] += 1
+            w, end = m[0], m.end()
+            t = known(w) or _type(w)
+            ch = w[0]
+            tokens += 1
+            if first:
+                into["s"][t] += 1
+                into["S"][""] += 1
+                first = False
+            if fresh:
+                if len(before) > 2 and ch.isupper():
+                    after_mark.append(t)
+            elif ch.islower():
+                low.append(t)
             before = "" if t == "##" else t
-            first = False
-            nxt = text[m.end() : m.end() + 1] if m.end() < b else ""
-            after = text[m.end() + 1 : m.end() + 2] if m.end() + 1 < b else ""
-            fresh = nxt in (".", "!", "?", "。")
-            dotted = nxt == "." and (after == "" or after.isspace() or after in ",;:)")
-            if dotted and whole:
-                into[lang, "dw", t, ""] += not text[m.end() + 1 : b].strip()
-                continue  # an item's last word says little
-            into[lang, "t", t, ""] += 1
-            if dotted:
-                into[lang, "p", "", ""] += 1
-                into[lang, "d", t, ""] += 1
-                rest = text[m.end() + 1 : b].lstrip(_CLOSE).lstrip()
-                if not rest:
-                    into[lang, "de", t, ""] += 1
-                    continue
-                k = _kind(rest[0])
-                if k == "l" or after in (",", ";", ":"):
-                    into[lang, "dl", t, ""] += 1
-                elif k == "n":
-                    into[lang, "dn", t, ""] += 1
-                if not whole and (t == "##" or len(t) == 1) and (n := _next_word(text, m.end() + 1, b)):
-                    into[lang, "c", t, _type(n[0])] += 1
+            nxt = text[end] if end < b else ""
+            fresh = nxt != "" and nxt in ".!?。"
+            if nxt == ".":
+                after = text[end + 1] if end + 1 < b else ""
+                if after == "" or after.isspace() or after in ",;:)":
+                    _dotted(text, t, end + 1, b, after, whole, into)
+                    if whole:
+                        continue  # an item's last word says little
+            types.append(t)
+    into["N"][""] += tokens
+    into["t"].update(types)
+    into["l"].update(low)
+    into["f"].update(after_mark)
+
+
+def _dotted(text: str, t: str, at: int, b: int, after: str, whole: bool, into: dict[str, Counter]) -> None:
+    """Count a type with a period that ends before ``at``."""
+    if whole:
+        into["dw"][t] += _skip_space(text, at, b) >= b
+        return
+    into["p"][""] += 1
+    into["d"][t] += 1
+    rest = _skip_space(text, _skip(text, at, b, _CLOSERS), b)
+    if rest >= b:
+        into["de"][t] += 1
+        return
+    k = _kind(text[rest])
+    if k == "l" or after in (",", ";", ":"):
+        into["dl"][t] += 1
+    elif k == "n":
+        into["dn"][t] += 1
+    if (t == "##" or len(t) == 1) and (n := _next_word(text, at, b)):
+        into["c"][t, _type(n[0])] += 1
 
 
 def _llr(a: float, b: float, ab: float, n: float) -> float:
@@ -251,39 +290,37 @@ def abbreviation_score(t: str, total: int, dotted: int, lower: int, digits: int,
     return score if evidence > EVIDENCE else min(score, 0.0)
 
 
-def learn(rows: list[tuple]) -> Model:
-    """The model from rows of per-type statistics (see ``statistics``)."""
+def learn(rows: Iterable[tuple]) -> Model:
+    """The model from learned rows (lang, kind, a, b, flag); see ``learned``."""
     m = Model()
-    for r in rows:
-        lang, kind, a, b, flag = r["lang"], r["kind"], r["a"], r["b"], r["flag"]
-        if kind == "abbr":
-            m.abbreviations.setdefault(lang, {})[a] = bool(flag)
-        elif kind == "start":
-            m.starters.setdefault(lang, set()).add(a)
-        elif kind == "lower":
-            m.lower.setdefault(lang, set()).add(a)
-        elif kind == "num":
-            m.numbered.setdefault(lang, set()).add(a)
-        elif kind == "known":
-            m.known.setdefault(lang, set()).add(a)
-        elif kind == "pair":
-            m.collocations.setdefault(lang, set()).add((a, b))
+    sets = {"start": m.starters, "lower": m.lower, "num": m.numbered, "known": m.known, "pair": m.collocations}
+    for lang, kind, a, b, flag in rows:
+        for at in (lang, None):
+            if kind == "abbr":
+                of = m.abbreviations.setdefault(at, {})
+                of[a] = bool(flag) or of.get(a, False)
+            else:
+                sets[kind].setdefault(at, set()).add(b if kind == "pair" else a)
     return m
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    into: Counter = Counter()
+    by_lang: dict[str, dict[str, Counter]] = {}
 
     def out() -> pa.RecordBatch:
-        keys = list(zip(*into)) or [[], [], [], []]
-        got = pa.RecordBatch.from_arrays([*(pa.array(k, pa.string()) for k in keys), pa.array(list(into.values()), pa.int64())], names=["lang", "kind", "a", "b", "n"])
-        into.clear()
-        return got
+        rows = [(lang, kind, *(k if kind == "c" else (k, "")), n) for lang, kinds in by_lang.items() for kind, of in kinds.items() for k, n in of.items()]
+        by_lang.clear()
+        cols = list(zip(*rows)) or [[], [], [], [], []]
+        return pa.RecordBatch.from_arrays([*(pa.array(k, pa.string()) for k in cols[:4]), pa.array(cols[4], pa.int64())], names=["lang", "kind", "a", "b", "n"])
 
+    seen = 0
     for b in batches:
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-            count(text, lang or "", into)
-            if len(into) > _FLUSH:
+            if (into := by_lang.get(lang or "")) is None:
+                into = by_lang[lang or ""] = {k: Counter() for k in (*_KINDS, "c", "p", "N", "S")}
+            count(text, into)
+            seen += 1
+            if seen % 256 == 0 and sum(len(c) for kinds in by_lang.values() for c in kinds.values()) > _FLUSH:
                 yield out()
     yield out()
 
@@ -294,8 +331,12 @@ def statistics(docs: DataFrame) -> DataFrame:
     return raw.groupBy("lang", "kind", "a", "b").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame) -> Model:
-    """Learn from all documents; only types above a threshold that the classifier asks for leave the cluster."""
+def learned(docs: DataFrame) -> DataFrame:
+    """``lang, kind, a, b, flag``: what all documents teach and the classifier can ask for.
+
+    Kinds: abbr (flag: it can end a sentence), start, lower, num, known, and
+    pair, a word ``b`` that belongs to a number before it.
+    """
     counts = cut(statistics(docs))
     pick = lambda kind, name: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0)).alias(name)
     totals = {r["lang"]: r for r in counts.where("kind in ('N', 'p', 'S', 'de', 'd')").groupBy("lang").agg(pick("N", "n"), pick("p", "p"), pick("S", "s"), pick("de", "de"), pick("d", "d")).collect()}
@@ -340,7 +381,12 @@ def train(docs: DataFrame) -> Model:
             cols = list(zip(*out)) or [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:4]), pa.array(cols[4], pa.bool_())], names=["lang", "kind", "a", "b", "flag"])
 
-    return learn(_asked(cut(lists.unionByName(joined.mapInArrow(pairs, schema)))).collect())
+    return cut(_asked(cut(lists.unionByName(joined.mapInArrow(pairs, schema)))).distinct())
+
+
+def train(docs: DataFrame) -> Model:
+    """The model of all documents as one object, for lists that fit memory."""
+    return learn(map(tuple, learned(docs).collect()))
 
 
 def _asked(rows: DataFrame) -> DataFrame:
@@ -373,46 +419,69 @@ def ends(text: str | None, lang: str | None, model: Model) -> list[int]:
     return sorted(set(out))
 
 
+def candidates(text: str, a: int, b: int) -> Iterator[tuple]:
+    """Marks of a block that may end a sentence and have text behind them: (match, gap)."""
+    last = a + len(text[a:b].rstrip())
+    for m in _CANDIDATE.finditer(text, a, b):
+        end = m.end()
+        if end >= last:
+            continue
+        mark = m["mark"]
+        if mark is None or text[end].isspace():
+            yield m, True
+        elif mark[0] in "।॥؟۔" or mark[0] in "!?" and _WIDE_NEXT.match(text[end]):
+            yield m, False
+
+
 def _breaks(text: str, a: int, b: int, lang: str, model: Model) -> list[int]:
     out = []
-    start = a
+    inside = _Inside(text, a, b)
     for m, gap in candidates(text, a, b):
-        if m.start() < start or m.end() >= b or not text[m.end() : b].strip():
-            continue
-        if _is_break(text, start, m, gap, b, lang, model):
+        if m.start() >= inside.start and _is_break(text, inside, m, gap, b, lang, model):
             out.append(m.end())
-            start = m.end()
+            inside.restart(m.end())
     for m in _THAI.finditer(text, a, b):
         out.append(m.start())
     return sorted(set(out))
 
 
-def _is_break(text: str, start: int, m, gap: bool, b: int, lang: str, model: Model) -> bool:
-    rest_at = m.end()
-    while rest_at < b and (text[rest_at].isspace() or text[rest_at] in "​﻿⁠"):
-        rest_at += 1
+def _rest_at(text: str, m, b: int) -> int:
+    """Where the text behind a mark goes on."""
+    at = m.end()
+    broken = False
+    while at < b and (text[at].isspace() or text[at] in "\u200b\ufeff\u2060"):
+        broken = broken or text[at] in "\r\n"
+        at += 1
     # Marks at the start of the next line are no part of the text.
-    if "\n" in text[m.end() : rest_at] or "\r" in text[m.end() : rest_at]:
-        q = _LINE_MARK.match(text, rest_at, b)
-        if q and q.end() > rest_at and q.end() < b:
-            rest_at = q.end()
-    rest = text[rest_at:b]
-    lead = rest.lstrip("".join(_OPEN) + "¿¡…")
-    ch = lead[:1]
-    kind = _kind(ch)
+    if broken and (q := _LINE_MARK.match(text, at, b)) and at < q.end() < b:
+        return q.end()
+    return at
+
+
+def _before(text: str, start: int, at: int):
+    """The token that ends at a period."""
+    return _BEFORE.match(text, max(start, at - 60), at)
+
+
+def _is_break(text: str, inside: _Inside, m, gap: bool, b: int, lang: str, model: Model) -> bool:
+    rest_at = _rest_at(text, m, b)
+    rest = text[rest_at] if rest_at < b else ""
+    lead = _skip(text, rest_at, b, _LEAD)
+    kind = _kind(text[lead] if lead < b else "")
     closers = m["close"]
     mark = m["mark"] or m["wide"]
-    if not closers.strip("*_`") and _inside(text, start, m.start(), b):
+    quoted = closers.strip("*_`")
+    if not quoted and inside.at(m.start()):
         return False
     if m["wide"]:
         if not closers:
             return True
-        if not (rest_at > m.end()) and _CONTINUES.match(rest):
+        if not (rest_at > m.end()) and _CONTINUES.match(text, rest_at, b):
             return False
-        return not rest[:1] or rest[0] not in "，、；：,;:"
+        return not rest or rest not in "，、；：,;:"
     if mark[0] in "।॥؟۔":
         return kind != "l" or not closers
-    if rest[:1] in "—–-,;:" and (rest[:1] in ",;:" or closers or rest[1:2].isspace()) and (closers or mark[0] not in ".…" or rest[:1] in ",;:"):
+    if rest and rest in "—–-,;:" and (rest in ",;:" or closers or text[rest_at + 1 : min(rest_at + 2, b)].isspace()) and (closers or mark[0] not in ".…" or rest in ",;:"):
         return False
     if "…" in mark or mark.count(".") >= 2 and set(mark) == {"."}:
         if kind == "l" or not gap:
@@ -420,78 +489,141 @@ def _is_break(text: str, start: int, m, gap: bool, b: int, lang: str, model: Mod
         return kind != "n" or closers != ""
     if mark[0] in "!?‼⁇⁈⁉":
         if not gap:
-            return not _CONTINUES.match(rest) or not closers
-        if kind == "l" and (closers.strip("*_`") or m.start() > 0 and text[m.start() - 1] in "   "):
+            return not _CONTINUES.match(text, rest_at, b) or not closers
+        if kind == "l" and (quoted or m.start() > 0 and text[m.start() - 1] in " \u00a0\u202f"):
             return False
         return not (kind == "l" and closers)
     # A period.
-    if closers.strip("*_`"):
-        quoted = closers.strip("*_`")
-        if kind == "l" and quoted[-1] not in ")]}" :
+    if quoted:
+        if kind == "l" and quoted[-1] not in ")]}":
             return False
         if kind == "l":
-            return text[start:m.start()].lstrip()[:1] in "([{"
+            return text[inside.first] in "([{"
         return True
-    w = _BEFORE.search(text, max(start, m.start() - 60), m.start())
-    token = w[0] if w else ""
-    t = _type(token) if token else ""
-    nxt = _next_word(text, rest_at, b)
-    nt = _type(nxt[0]) if nxt else ""
-    if not t:
+    start = inside.start
+    w = _before(text, start, m.start())
+    if w is None:
         return True
-    glued = w.start() > start and token[:1] != "-" and text[w.start() - 1] in ".:/\\`@#$(" and not text[w.start() - 1].isspace() and text[w.start() - 1] != "("
-    if glued:
+    token, at = w[0], w.start()
+    t = _type(token)
+    if not t:
         return True
+    if at > start and token[:1] != "-" and text[at - 1] in ".:/\\`@#$":
+        return True  # the end of a name from code
     if t == "##":
-        if kind == "l" and nt and model.together(lang, "##", nt):
-            return False
-        if kind in ("u", "o") and nt and model.together(lang, "##", nt) and not model.starter(lang, nt) and not model.lowered(lang, nt):
-            return False
-        return True
+        if kind not in ("l", "u", "o") or not (nxt := _next_word(text, rest_at, b)):
+            return True
+        nt = _type(nxt[0])
+        if not model.after_number(lang, nt):
+            return True
+        return kind != "l" and (model.starter(lang, nt) or model.lowered(nt))
     single = len(t) == 1 and token.isalpha() and (token.isupper() or not token.islower())
-    if kind == "n" and (t in model.numbered.get(lang, ()) or any(t in x for x in model.numbered.values())):
+    if kind == "n" and model.before_number(t):
         return False
     can_end = model.abbreviation(lang, t)
     if can_end is None and not single:
         return True
-    if kind in ("l", "n") and not (kind == "l" and _code_ahead(lead) and can_end):
+    if kind in ("l", "n") and not (kind == "l" and _code_ahead(text, lead, b) and can_end):
         return False
     if kind == "x" or kind == "":
         return bool(can_end)
-    if single:
+    if single or not can_end or kind != "u":
         return False
-    if can_end:
-        return kind == "u" and model.starter(lang, nt)
-    return False
+    nxt = _next_word(text, rest_at, b)
+    return model.starter(lang, _type(nxt[0]) if nxt else "")
+
+
+def asked(text: str) -> set[str]:
+    """The types of a text that its classification may ask the learned lists for."""
+    out: set[str] = set()
+    for a, b, whole in blocks(text):
+        if whole:
+            continue
+        begins: list[int] = []  # where a sentence may begin
+        for m, _ in candidates(text, a, b):
+            if m["mark"] and m["mark"][0] == ".":
+                if nxt := _next_word(text, _rest_at(text, m, b), b):
+                    out.add(_type(nxt[0]))
+                if w := _before(text, a, m.start()):
+                    out.add(_type(w[0]))
+                    for at in reversed(begins):
+                        if at <= w.start():
+                            break
+                        out.add(_type(text[at : m.start()]))
+            begins.append(m.end())
+    return out - {""}
 
 
 _PAIRS = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "‚": "‘"}
+_BRACKET = re.compile("[" + re.escape("".join(_PAIRS) + "".join(_PAIRS.values()) + '"') + "]")
 
 
-def _inside(text: str, start: int, at: int, b: int) -> bool:
-    """Whether ``at`` lies in a quotation or bracket that began within the sentence and is closed later."""
-    first = start
-    while first < at and text[first].isspace():
-        first += 1
-    opened = -1
-    stack: list[tuple[str, int]] = []
-    for k in range(first, at):
-        c = text[k]
-        if stack and c in stack[-1][0]:
-            stack.pop()
-        elif c in _PAIRS:
-            stack.append((_PAIRS[c], k))
-        elif c == '"':
-            opened = -1 if opened >= 0 else k
-    if opened > first and text.find('"', at, b) >= 0:
-        return True
-    return any(k > first and any(text.find(x, at, b) >= 0 for x in close) for close, k in stack)
+class _Inside:
+    """Whether a place lies in a quotation or bracket that began within its sentence and is closed later.
+
+    Places are asked in order, and every character is looked at once: open
+    brackets are kept from one place to the next.
+    """
 
+    def __init__(self, text: str, a: int, b: int):
+        self.text, self.a, self.b = text, a, b
+        self.ends: dict[str, int] = {}
+        self.restart(a)
+
+    def restart(self, start: int) -> None:
+        """A new sentence begins at ``start``."""
+        self.start = start
+        self.first = _skip_space(self.text, start, self.b)
+        self.upto = self.first
+        self.quote = -1
+        self.stack: list[tuple[str, int]] = []
+        self.open: dict[str, int] = {}  # by what closes them, without one at the very start
+
+    def _closes_after(self, c: str, at: int) -> bool:
+        if c not in self.ends:
+            self.ends[c] = self.text.rfind(c, self.a, self.b)
+        return self.ends[c] >= at
+
+    def at(self, at: int) -> bool:
+        for m in _BRACKET.finditer(self.text, self.upto, at):
+            c, k = m[0], m.start()
+            if self.stack and c in self.stack[-1][0]:
+                close, opened = self.stack.pop()
+                if opened > self.first:
+                    self.open[close] -= 1
+            elif c in _PAIRS:
+                self.stack.append((_PAIRS[c], k))
+                if k > self.first:
+                    self.open[_PAIRS[c]] = self.open.get(_PAIRS[c], 0) + 1
+            elif c == '"':
+                self.quote = -1 if self.quote >= 0 else k
+        self.upto = max(at, self.upto)
+        if self.quote > self.first and self._closes_after('"', at):
+            return True
+        return bool(self.open) and any(n and any(self._closes_after(x, at) for x in close) for close, n in self.open.items())
 
-def _code_ahead(s: str) -> bool:
+
+_CODE = re.compile(r"[\w./:]*(?:\(\))?")
+_CODE_SIGN = re.compile(r"[_/]|\.\w|::|\(\)")
+
+
+def _code_ahead(text: str, at: int, end: int) -> bool:
     """Whether a name from code stands here, which says nothing by its case."""
-    m = re.match(r"[\w./:]*", s)
-    return bool(m and re.search(r"[_/]|\.\w|::|\(\)", m[0]))
+    m = _CODE.match(text, at, end)
+    return bool(m and _CODE_SIGN.search(m[0]))
+
+
+_OUT = "doc_id bigint, end_char int"
+
+
+def _unit_rows(ids: list, langs: list, texts: list, model) -> pa.RecordBatch:
+    """The units of some documents; ``model``: a model for each by its position."""
+    out, at = [], []
+    for k, (i, lang, text) in enumerate(zip(ids, langs, texts)):
+        e = ends(text, lang, model(k))
+        out += [i] * len(e)
+        at += e
+    return pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(at, pa.int32())], names=["doc_id", "end_char"])
 
 
 def units(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -499,17 +631,44 @@ def units(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     ``docs``: doc_id, lang, text.  Null or blank texts have no units; a null or
     wrong language falls back on what all languages together say of a token; an
-    empty table has none.  The whole text is read.
+    empty table has none.  The whole text is read.  Learned lists that fit
+    ``MAX_HELD`` rows are held by the workers, others are joined.
     """
-    fitted = model or train(docs)
+    if model is None:
+        lists = learned(docs)
+        if lists.count() > MAX_HELD:
+            return _units_joined(docs, lists)
+        model = learn(map(tuple, lists.collect()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _unit_rows(*(b.column(n).to_pylist() for n in ("doc_id", "lang", "text")), lambda _: model)
+
+    return spread(docs.select("doc_id", "lang", "text")).mapInArrow(run, _OUT)
+
+
+def _units_joined(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """``units`` with lists of any size: each document gets what its own tokens ask for."""
+    texts = cut(spread(docs.select("doc_id", "lang", "text").where("length(trim(text)) > 0")).withColumn("at", F.monotonically_increasing_id()))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, words = [], []
+            for k, text in zip(b.column("at").to_pylist(), b.column("text").to_pylist()):
+                found = asked(text)
+                at += [k] * len(found)
+                words += found
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(words, pa.string())], names=["at", "word"])
+
+    # One row a word with what every language says of it, which is a few entries; a word that very many documents ask for is split by salt.
+    said = lists.groupBy(F.when(F.col("kind") == "pair", F.col("b")).otherwise(F.col("a")).alias("word")).agg(F.collect_list(F.struct("lang", "kind", "a", "b", "flag")).alias("said"))
+    salted = said.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALT - 1))))
+    wanted = texts.select("at", "text").mapInArrow(ask, "at bigint, word string").withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(_SALT)).cast("int"))
+    got = wanted.join(salted, ["word", "salt"]).groupBy("at").agg(F.flatten(F.collect_list("said")).alias("said"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, at = [], []
-            for i, lang, text in zip(*(b.column(n).to_pylist() for n in ("doc_id", "lang", "text"))):
-                e = ends(text, lang, fitted)
-                ids += [i] * len(e)
-                at += e
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32())], names=["doc_id", "end_char"])
-
-    return spread(docs.select("doc_id", "lang", "text")).mapInArrow(run, "doc_id bigint, end_char int")
+            own = b.column("said").to_pylist()
+            yield _unit_rows(*(b.column(n).to_pylist() for n in ("doc_id", "lang", "text")), lambda k: learn(tuple(x.values()) for x in own[k] or ()))
+
+    return texts.join(got, "at", "left").select("doc_id", "lang", "text", "said").mapInArrow(run, _OUT)
