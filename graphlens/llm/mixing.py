@@ -20,14 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
-from .common import spread
+from ..session import broadcast_if_small, cut, spread
 
 TOKENIZER = os.environ.get("GRAPHLENS_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 #: Bits of the random order, and bits that one round of the selection resolves.
 ORDER_BITS, ROUND_BITS = 62, 10
-#: Texts in a block, on average.
-BLOCK = 64
+#: Texts in a block, on average, and the blocks from which on blocks grow instead of their number.
+BLOCK, BLOCKS = 64, 1 << 28
+#: Upper estimates of a target's and a source's plan in memory.
+_TARGET_ROW, _PLAN_ROW = 300, 400
+#: Sums that one round of the selection may bring to the driver.
+_SUMS = 1 << 20
 
 
 def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -56,7 +59,7 @@ def distinct_texts(docs: DataFrame, targets: DataFrame, seed: int, tokenizer: st
     """
     wanted = targets.where("source is not null and target_weight > 0 and max_repeats > 0").select("source").distinct()
     usable = spread(docs.select("doc_id", "text", "source").where("source is not null and length(trim(text)) > 0"))
-    sized = token_counts(usable.join(F.broadcast(wanted), "source", "left_semi"), tokenizer).where("tokens > 0")
+    sized = token_counts(usable.join(broadcast_if_small(wanted, _TARGET_ROW), "source", "left_semi"), tokenizer).where("tokens > 0")
     key = F.md5("text")
     return (
         sized.select(key.alias("key"), F.struct("source", "doc_id", "tokens").alias("d"))
@@ -106,20 +109,21 @@ def select_cuts(texts: DataFrame, plan: list[Quota]) -> None:
 
     Radix selection: each round sums the tokens by the next bits of the place
     under the prefix found so far, which are at most 2**ROUND_BITS numbers a
-    source, and narrows to the digit in which the rest ends.  The text at the
+    source and fewer if there are many sources, and narrows to the digit in
+    which the rest ends.  The text at the
     edge is taken if that comes nearer to the quota.
     """
     open_ = {q.source: [q.quota - q.passes * q.supply, 0] for q in plan if q.passes < q.max_repeats and q.quota - q.passes * q.supply > 0}
     by = {q.source: q for q in plan}
     shift = ORDER_BITS
     while open_ and shift > 0:
-        step = min(ROUND_BITS, shift)
+        step = min(ROUND_BITS, shift, max(1, (_SUMS // len(open_)).bit_length() - 1))
         shift -= step
         spark = texts.sparkSession
         at = spark.createDataFrame([(s, p) for s, (_, p) in open_.items()], "source string, prefix bigint")
         digit = F.shiftright("place", shift).bitwiseAND((1 << step) - 1)
         rows = (
-            texts.join(F.broadcast(at), "source").where(F.shiftright("place", shift + step) == F.col("prefix"))
+            texts.join(broadcast_if_small(at, _TARGET_ROW), "source").where(F.shiftright("place", shift + step) == F.col("prefix"))
             .groupBy("source", digit.alias("digit")).agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.min("place").alias("first")).collect()
         )
         found: dict[str, list] = {}
@@ -144,6 +148,34 @@ def select_cuts(texts: DataFrame, plan: list[Quota]) -> None:
         by[s].cut = prefix << shift  # texts of one place stay out together
 
 
+def draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` draws without replacement from ``good + bad`` are good.
+
+    The generator's own hypergeometric draw where it takes the numbers; beyond
+    that ratio-of-uniforms rejection about the mode, the same distribution.
+    """
+    if good + bad < 1_000_000_000:
+        return int(rng.hypergeometric(good, bad, n))
+    total = good + bad
+    low, high = max(0, n - bad), min(n, good)
+    if low == high:
+        return low
+    mean = n * good / total
+    spread_ = math.sqrt(mean * (bad / total) * ((total - n) / (total - 1)) + 0.5)
+    width = 2 * math.sqrt(2 / math.e) * spread_ + 3 - 2 * math.sqrt(3 / math.e)
+    mode = (n + 1) * (good + 1) // (total + 2)
+
+    def log_weight(k: int) -> float:
+        return -(math.lgamma(k + 1) + math.lgamma(good - k + 1) + math.lgamma(n - k + 1) + math.lgamma(bad - n + k + 1))
+
+    top = log_weight(mode)
+    while True:
+        u = 1.0 - rng.random()
+        x = mean + 0.5 + width * (rng.random() - 0.5) / u
+        if low <= x < high + 1 and 2 * math.log(u) <= log_weight(int(x)) - top:
+            return int(x)
+
+
 def split_tree(counts: list[int], shards: int, seed: int) -> np.ndarray:
     """Block quotas of every source (columns) in every shard (rows).
 
@@ -164,8 +196,7 @@ def split_tree(counts: list[int], shards: int, seed: int) -> np.ndarray:
         left, rest, open_ = np.zeros_like(have), int(sizes[a:mid].sum()), int(have.sum())
         for k, n in enumerate(have):
             open_ -= int(n)
-            got = int(rng.hypergeometric(int(n), open_, rest)) if rest and n + open_ < 1_000_000_000 else (min(rest, int(round(rest * int(n) / max(1, int(n) + open_)))) if rest else 0)
-            got = max(got, rest - open_)
+            got = draw(rng, int(n), open_, rest) if rest else 0
             left[k], rest = got, rest - got
         down(a, mid, left)
         down(mid, b, have - left)
@@ -202,14 +233,15 @@ def mix(docs: DataFrame, targets: DataFrame, shards: int = 16, seed: int = 1, to
     sums = texts.groupBy("source").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()
     plan = quotas([(r["source"], r["t"], r["n"]) for r in sums], wish, total)
     select_cuts(texts, plan)
-    width = [max(1, -(-q.texts // BLOCK)) for q in plan]
+    block_size = max(BLOCK, -(-sum(q.texts * (q.passes + 1) for q in plan) // BLOCKS))
+    width = [max(1, -(-q.texts // block_size)) for q in plan]
     last = [-(-(q.cut * w) // (1 << ORDER_BITS)) for q, w in zip(plan, width)]
     uses = [q.passes * w + k for q, w, k in zip(plan, width, last)]
     tree = split_tree(uses, shards, seed)
     ends = np.cumsum(tree, axis=0)
     rows = [(q.source, q.passes, q.cut, w, max(1, u), _coprime(max(1, u), seed + k), ends[:, k].tolist()) for k, (q, w, u) in enumerate(zip(plan, width, uses)) if u]
     spark = docs.sparkSession
-    dim = F.broadcast(spark.createDataFrame(rows, "source string, passes int, cut bigint, width bigint, blocks bigint, step bigint, ends array<bigint>"))
+    dim = broadcast_if_small(spark.createDataFrame(rows, "source string, passes int, cut bigint, width bigint, blocks bigint, step bigint, ends array<bigint>"), _PLAN_ROW + 8 * shards)
     used = texts.join(dim, "source").withColumn("n", F.col("passes") + (F.col("place") < F.col("cut")).cast("int")).where("n > 0")
     each = used.withColumn("use", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     block = F.floor(F.col("place").cast("decimal(38,0)") * F.col("width") / F.lit(1 << ORDER_BITS).cast("decimal(38,0)")).cast("bigint")
