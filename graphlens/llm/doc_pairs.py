@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from ..parse import LANGUAGES
 from ..parse.base import Lines
-from ..session import cut
-from .common import spread
+from ..session import cut, spread
 from .syntax import checked
 
 # What stands in place of documentation, in several languages.
@@ -86,18 +85,26 @@ def _body(text: str) -> list[str]:
 
 
 def _parts(name: str) -> set[str]:
-    return {w.lower() for x in re.split(r"[_\W\d]+", name) for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_]+", x)}
+    """The words of a name and the name itself without separators."""
+    words = [w.lower() for x in re.split(r"[_\W\d]+", name) for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_]+", x)]
+    return {*words, "".join(words)} - {""}
 
 
-def _with_endings(words: set[str]) -> set[str]:
-    return words | {w + s for w in words for s in ("s", "es", "ed", "ing")}
-
-
-_WEAK_FORMS = frozenset(_with_endings(set(_WEAK)))
+def _stem(word: str) -> str:
+    """A word without the endings that a sentence gives the words of a name."""
+    for end in ("ing", "ed", "es", "s", "e"):
+        if word.endswith(end) and len(word) - len(end) >= 3:
+            return word[: -len(end)]
+    return word
 
 
 def informative(doc: str | None, name: str = "", params: tuple[str, ...] = (), signature: str | None = None) -> bool:
-    """Whether documentation says something beyond name, parameters and signature."""
+    """Whether documentation says something beyond name, parameters and signature.
+
+    That is any word, however short the text, that is neither a word of theirs
+    in any ending nor one that carries nothing of its own; or text in a script
+    without spaces.
+    """
     if not doc or doc.isspace():
         return False
     text = _BRACES.sub(" ", "\n".join(_body(clean_doc(doc))))
@@ -113,16 +120,16 @@ def informative(doc: str | None, name: str = "", params: tuple[str, ...] = (), s
                 continue
             if "(" in s:
                 s = _CALL.sub(" ", s)
+            if name and s.startswith(name) and re.fullmatch(r"\s*:\s*\w+(?:\s*,\s*\w+)*", s[len(name) :]):
+                continue  # the signature once more
             if not s.isascii():
                 wide += len(_CJK.findall(s))
             found.update(_WORD.findall(s.lower()))
-    if wide >= 6:
+    if wide > 1:
         return True
-    found -= _WEAK_FORMS
-    if len(found) < 3:
-        return False
     known = _parts(name) | {w for x in params for w in _parts(x)} | (_parts(signature) if signature else set())
-    return len({w for w in found - _with_endings(known) if not _CJK.search(w)}) >= 3
+    stems = {_stem(w) for w in known | _WEAK}
+    return any(len(w) > 1 and w not in known and w not in _WEAK and _stem(w) not in stems for w in found)
 
 
 _SCHEMA = "file_id bigint, repo string, path string, line_start int, name_at int, name string, owner string, bases array<string>, signature string, params array<string>, doc string, informative boolean, language string, body string"
@@ -132,11 +139,12 @@ _ARROW = pa.schema([
 ])
 
 
-def functions_of(path: str | None, content: bytes | None) -> list[tuple]:
+def functions_of(path: str | None, content: bytes | None, whole: bool = True) -> list[tuple]:
     """Every function of one valid file: the fields of ``_SCHEMA`` after ``path``.
 
     A class with bases is a row without a name, as one without methods still
-    passes documentation on.
+    passes documentation on.  Without ``whole`` signature and body stay null, as
+    do documentation that says nothing and rows that neither have nor seek any.
     """
     language, unit, text, errors = checked(path, content)
     if errors or not language:
@@ -154,29 +162,41 @@ def functions_of(path: str | None, content: bytes | None) -> list[tuple]:
             out.append((lines.of(it.name_at), it.name_at, None, it.name, list(it.bases), None, [], None, False, language, None))
         if it.kind != "function":
             continue
+        if not whole:
+            says = bool(it.doc) and informative(it.doc, it.name, it.params)
+            above = bases.get(it.parent or "", [])
+            if says or above:
+                out.append((lines.of(it.name_at), it.name_at, it.name, it.parent, above, None, [], it.doc if says and it.parent else None, says, language, None))
+            continue
         signature = " ".join(text[it.start if it.start >= 0 else it.name_at : it.body if it.body > 0 else it.end].split())
         body = text[it.body if it.body > 0 else it.name_at : it.end]
         out.append((lines.of(it.name_at), it.name_at, it.name, it.parent, bases.get(it.parent or "", []), signature, list(it.params), it.doc, informative(it.doc, it.name, it.params), language, body))
     return out
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        ids, repos, paths, contents = (b.column(n) for n in ("file_id", "repo", "display_path", "content"))
-        for k in range(b.num_rows):
-            path = paths[k].as_py()
-            rows += [(ids[k].as_py(), repos[k].as_py(), path, *f) for f in functions_of(path, contents[k].as_py())]
-            if len(rows) >= 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
+def extract_functions(files: DataFrame, whole: bool = True) -> DataFrame:
+    """Every function of the files that parse, documented or not, and their classes with bases (``name`` null).
+
+    Without ``whole`` only what the resolution of documentation needs.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
 
-def extract_functions(files: DataFrame) -> DataFrame:
-    """Every function of the files that parse, documented or not, and their classes with bases (``name`` null)."""
-    return spread(files.select("file_id", "repo", "display_path", "content")).mapInArrow(_extract, _SCHEMA)
+        for b in batches:
+            rows = []
+            ids, repos, paths, contents = (b.column(n) for n in ("file_id", "repo", "display_path", "content"))
+            for k in range(b.num_rows):
+                path = paths[k].as_py()
+                rows += [(ids[k].as_py(), repos[k].as_py(), path, *f) for f in functions_of(path, contents[k].as_py(), whole)]
+                if len(rows) >= 5000:
+                    yield out(rows)
+                    rows = []
+            if rows:
+                yield out(rows)
+
+    return spread(files.select("file_id", "repo", "display_path", "content")).mapInArrow(run, _SCHEMA)
 
 
 def latest_atoms(atoms: DataFrame, *more: str) -> DataFrame:
@@ -207,35 +227,54 @@ def documented_atoms(atoms: DataFrame) -> DataFrame:
     return latest_atoms(atoms).mapInArrow(_judge, "file_id bigint, line_start int")
 
 
-def documented_lines(path: str | None, content: bytes | None) -> list[int]:
-    """Lines of the names of a valid file's documented functions."""
-    _, unit, text, errors = checked(path, content)
-    if errors:
-        return []
-    at = [it.name_at for it in unit.items if it.kind == "function" and it.doc and informative(it.doc, it.name, it.params)]
-    lines = Lines(text) if at else None
-    return [lines.of(x) for x in at]
+def resolved(fns: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Documentation of every function: (own, inherited).
+
+    ``fns``: rows of ``extract_functions`` with ``at``, which names a row.  Both
+    have ``at``, ``d`` (path, line, name_at and doc of the function that said it)
+    and ``origin``, own also ``file_id`` and ``line_start``.  A method without own documentation takes that of the
+    nearest method of the same name it overrides, in the same repo and language:
+    its class is joined with its base classes level by level until nothing is
+    left to resolve.  A base name that several classes of a repo carry is
+    followed through each; the nearest level wins, ties by path and line.  A
+    method meets each base once, so that a cycle of classes ends.
+    """
+    said = F.struct("path", F.col("line_start").alias("line"), "name_at", "doc").alias("d")
+    own = fns.where("informative").select("at", "file_id", "line_start", said, F.lit("own").alias("origin"))
+    owner = F.regexp_replace("owner", r".* for |<.*", "")
+    docs = fns.where("informative and owner is not null").select("repo", "language", "name", owner.alias("base"), said).groupBy("repo", "language", "name", "base").agg(F.min("d").alias("d"))
+    up = fns.where("owner is not null and size(bases) > 0").select("repo", "language", owner.alias("base"), F.explode("bases").alias("next")).distinct()
+    key = ["repo", "language", "name", "base"]
+    # ``at``: a row of ``fns``, so that two methods of one line stay apart; text joins at the end only.
+    open_ = cut(fns.where("name is not null and not informative and owner is not null and size(bases) > 0").select("at", "repo", "language", "name", F.explode("bases").alias("base")).distinct())
+    seen = open_.select("at", "base")
+    hits = None
+    while not open_.isEmpty():
+        hit = cut(open_.join(docs, key).groupBy("at").agg(F.min("d").alias("d")))
+        hits = hit if hits is None else hits.unionByName(hit)
+        left = open_.join(hit.select("at"), "at", "left_anti")
+        above = left.join(up, ["repo", "language", "base"]).drop("base").withColumnRenamed("next", "base").distinct()
+        open_ = cut(above.join(seen, ["at", "base"], "left_anti"))
+        seen = cut(seen.unionByName(open_.select("at", "base")))
+    return own, None if hits is None else hits.withColumn("origin", F.lit("inherited"))
 
 
-def _documented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, lines = [], []
-        for i, p, c in zip(*(b.column(n) for n in ("file_id", "display_path", "content"))):
-            got = documented_lines(p.as_py(), c.as_py())
-            ids += [i.as_py()] * len(got)
-            lines += got
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int32())], names=["file_id", "line_start"])
+def documented(files: DataFrame) -> DataFrame:
+    """``file_id, line_start, origin``: every function of ``files`` that has documentation in the end."""
+    fns = cut(extract_functions(files, whole=False).withColumn("at", F.monotonically_increasing_id()))
+    own, inherited = resolved(fns)
+    out = own.select("file_id", "line_start", "origin")
+    return out if inherited is None else out.unionByName(fns.join(inherited, "at").select("file_id", "line_start", "origin"))
 
 
 def found(files: DataFrame, atoms: DataFrame) -> DataFrame:
-    """``file_id, line_start`` of every function with documentation of its own.
+    """``file_id, line_start`` of every function whose documentation is its own.
 
     Null docs, names and signatures are allowed; a file that does not parse has
     no cases; of repeated atoms the highest ``seq`` counts, whether or not it is
     still a documented function.
     """
-    own = spread(files.select("file_id", "display_path", "content")).mapInArrow(_documented, "file_id bigint, line_start int")
-    return own.unionByName(documented_atoms(atoms))
+    return documented(files).where("origin = 'own'").select("file_id", "line_start").unionByName(documented_atoms(atoms))
 
 
 def _informative(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,37 +294,13 @@ def atom_pairs(atoms: DataFrame) -> DataFrame:
 def pairs(files: DataFrame, atoms: DataFrame | None = None) -> DataFrame:
     """Code and description pairs of files and atoms, with inherited documentation resolved.
 
-    A method without own documentation takes that of the nearest method of the
-    same name it overrides, in the same repo and language: its class is joined
-    with its base classes level by level until nothing is left to resolve.
-    Methods that stay without are dropped.  A base name that several classes of
-    a repo carry is followed through each; the nearest level wins, ties by path
-    and line.  A method meets each base once, so that a cycle of classes ends.
+    Methods that stay without documentation are dropped (see ``resolved``).
     ``origin`` tells own from inherited.  Atoms have no bases and no ``body``.
     """
     fns = cut(extract_functions(files).withColumn("at", F.monotonically_increasing_id()))
     result = ["file_id", "line_start", "repo", "language", "name", "signature", "body", "doc", "origin"]
+    _, inherited = resolved(fns)
     out = fns.where("informative").withColumn("origin", F.lit("own")).select(*result)
-    if atoms is not None:
-        out = out.unionByName(atom_pairs(atoms))
-    owner = F.regexp_replace("owner", r".* for |<.*", "")
-    docs = fns.where("informative and owner is not null").select(
-        "repo", "language", "name", owner.alias("base"), F.struct("path", F.col("line_start").alias("line"), "name_at", "doc").alias("d")
-    ).groupBy("repo", "language", "name", "base").agg(F.min("d").alias("d"))
-    up = fns.where("owner is not null and size(bases) > 0").select("repo", "language", owner.alias("base"), F.explode("bases").alias("next")).distinct()
-    key = ["repo", "language", "name", "base"]
-    # ``at``: a row of ``fns``, so that two methods of one line stay apart; text joins at the end only.
-    open_ = cut(fns.where("name is not null and not informative and owner is not null and size(bases) > 0").select("at", "repo", "language", "name", F.explode("bases").alias("base")).distinct())
-    seen = open_.select("at", "base")
-    hits = None
-    while not open_.isEmpty():
-        hit = cut(open_.join(docs, key).groupBy("at").agg(F.min("d").alias("d")))
-        hits = hit if hits is None else hits.unionByName(hit)
-        left = open_.join(hit.select("at"), "at", "left_anti")
-        above = left.join(up, ["repo", "language", "base"]).drop("base").withColumnRenamed("next", "base").distinct()
-        open_ = cut(above.join(seen, ["at", "base"], "left_anti"))
-        seen = cut(seen.unionByName(open_.select("at", "base")))
-    if hits is None:
-        return out
-    inherited = fns.drop("doc").join(hits, "at").withColumns({"doc": F.col("d.doc"), "origin": F.lit("inherited")})
-    return out.unionByName(inherited.select(*result))
+    if inherited is not None:
+        out = out.unionByName(fns.drop("doc").join(inherited, "at").withColumn("doc", F.col("d.doc")).select(*result))
+    return out if atoms is None else out.unionByName(atom_pairs(atoms))

@@ -6,8 +6,6 @@ errors are kept, in order, with the first as the cause.
 
 from __future__ import annotations
 
-import ast
-import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,35 +14,19 @@ from pyspark.sql import functions as F
 
 from .. import parse
 from ..parse.base import Lines
-from .common import spread
+from ..session import spread
 
 _SCHEMA = "file_id bigint, repo string, language string, valid boolean, n_errors int, first_line int, cause string, errors array<string>"
 
 
-def _confirmed(text: str) -> bool:
-    """Whether the interpreter's own grammar rejects the text as well."""
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return True
-    return False
-
-
 def checked(path: str | None, content: bytes | None) -> tuple[str, parse.Unit, str, list[tuple[int, str]]]:
     """Language, unit, text and errors (offset, message) of one file, parsed once.
 
-    Null or empty content and unknown extensions are valid.  An error found in
-    Python must also be one for the running interpreter, so that a gap of our
-    grammar raises no false alarm.
+    Null or empty content and unknown extensions are valid.
     """
     unit, text = parse.parse_file(path, content)
     language = parse.LANGUAGES.get(parse.extension(path), ("", None))[0]
-    errors = sorted(set(unit.errors))
-    if errors and language == "python" and errors[0][1] != "not UTF-8" and not _confirmed(text):
-        errors = []
-    return language, unit, text, errors
+    return language, unit, text, sorted(set(unit.errors))
 
 
 def check(path: str | None, content: bytes | None) -> tuple[str, list[tuple[int, str]]]:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,13 +42,13 @@ def test_a_long_file_is_parsed_whole(spark):
 # -- documentation ------------------------------------------------------------
 @pytest.mark.parametrize(
     "doc",
-    [None, "", "  ", "///", "TODO", "TODO write the docs for this", "@param x\n@return", "# Arguments\n\n* `x` - x", "Args:\n    x: x", "See above.", "Since 1.2", "Author: build bot", "noqa: D103", "-----", "load frame method", "Signature: load_frame(x)", "{@nodoc}", "待补充", "Parameters\n----------\nx : int", ":param x:\n:return:", "<description>", "tbd\nT.B.D."],
+    [None, "", "  ", "///", "TODO", "TODO write the docs for this", "@param x\n@return", "# Arguments\n\n* `x` - x", "Args:\n    x: x", "See above.", "Since 1.2", "Author: build bot", "noqa: D103", "-----", "load frame method", "Signature: load_frame(x)", "{@nodoc}", "待补充", "Parameters\n----------\nx : int", ":param x:\n:return:", "<description>", "tbd\nT.B.D.", "Loads frames.", "loading the frame", "load_frame: x, x", "loadFrame"],
 )
 def test_trivial(doc):
     assert not doc_pairs.informative(doc, "load_frame", ("x",))
 
 
-@pytest.mark.parametrize("doc", ["Walks the tree once before its children are seen.", "TODO(perf): revisit. Builds a lease from raw bytes.", "遍历整个调用图，并返回没有任何调用者的节点。", "/// Keeps both in step,\n/// so that nobody reads twice.", "Hot path.\n\nSums the weight of all edges.\n\n@param x the edge"])
+@pytest.mark.parametrize("doc", ["Closes socket.", "Retries on timeout.", "关闭连接。", "Walks the tree once before its children are seen.", "TODO(perf): revisit. Builds a lease from raw bytes.", "遍历整个调用图，并返回没有任何调用者的节点。", "/// Keeps both in step,\n/// so that nobody reads twice.", "Hot path.\n\nSums the weight of all edges.\n\n@param x the edge"])
 def test_informative(doc):
     assert doc_pairs.informative(doc, "load_frame", ("x",))
 
@@ -87,6 +88,8 @@ def test_inherited_documentation(spark):
     sub = b'class B(A):\n    def h(self): pass\nclass C(B):\n    def f(self):\n        """TODO"""\n        return 2\n    def g(self): return 3\n'
     got = rows(doc_pairs.pairs(spark.createDataFrame([(1, "r", "a.py", base, None), (2, "r", "b.py", sub, None), (3, "s", "c.py", sub, None)], SRC)).select("file_id", "line_start", "origin"))
     assert got == {(1, 2, "own"), (2, 4, "inherited")}
+    got = rows(doc_pairs.documented(spark.createDataFrame([(1, "r", "a.py", base, None), (2, "r", "b.py", sub, None), (3, "s", "c.py", sub, None)], SRC)))
+    assert got == {(1, 2, "own"), (2, 4, "inherited")}
 
 
 def test_pairs_of_atoms(spark):
@@ -155,6 +158,21 @@ def test_authorship_finds_what_nobody_wrote(spark):
     assert authorship.not_hand_written(df.limit(0)).count() == 0
 
 
+def test_notices_decide_through_a_classifier_only():
+    data = _files()
+    m = authorship.fit([(r[1], r[2], r[3]) for r in data])
+    notice = next(r for r in data if r[3].startswith(b"# Copied verbatim"))
+    assert authorship.judge(m, notice[2], notice[3])[0] and authorship.judge(m, notice[2], notice[3])[3] > 0
+    m.note[:] = 0
+    assert not authorship.judge(m, notice[2], notice[3])[0]
+    assert m.report["rows"] == len(data)
+
+
+def test_a_long_file_adds_a_bounded_number_of_lines_to_the_fit():
+    s = authorship.sample("r", "a.py", "".join(f"# note {'x' * k}\n" for k in range(900)).encode())
+    assert len(s.lines) == authorship.SAMPLE_LINES and not s.notice
+
+
 def test_classifiers_hold_on_repositories_they_never_saw():
     data = _files()
     m = authorship.fit([(r[1], r[2], r[3]) for r in data if int(r[1][4:]) < 9])
@@ -164,6 +182,27 @@ def test_classifiers_hold_on_repositories_they_never_saw():
 
 
 # -- leakage ---------------------------------------------------------------------
+def test_many_texts_at_once_have_the_same_fingerprints():
+    rng = np.random.default_rng(3)
+    for _ in range(100):
+        texts = [rng.integers(0, 9, rng.integers(0, 40)).astype(np.uint64) for _ in range(rng.integers(1, 9))]
+        k, w = int(rng.integers(1, 8)), int(rng.integers(1, 12))
+        who, f = leakage.winnow_all(texts, k, w)
+        assert all(set(f[who == i].tolist()) == set(leakage.winnow(t, k, w).tolist()) for i, t in enumerate(texts))
+        for t in texts:
+            n = len(t) - k + 1
+            grams = [leakage._k_grams(t[i : i + k], k)[0] for i in range(max(n, 0))]
+            windows = [min(grams[i : i + w]) for i in range(max(1, n - w + 1))] if grams else []
+            assert set(np.array(windows, np.uint64).view(np.int64).tolist()) == set(leakage.winnow(t, k, w).tolist())
+
+
+def test_plain_text_is_read_as_any_other():
+    rng = random.Random(2)
+    for _ in range(300):
+        t = "".join(chr(rng.randrange(128)) for _ in range(60))
+        assert leakage.words(t) == leakage._WORD.findall(leakage.normal(t))
+
+
 def test_winnowing_equals_brute_force(spark):
     rng = random.Random(4)
     vocab = [f"w{k}" for k in range(60)]
@@ -186,7 +225,14 @@ def test_winnowing_equals_brute_force(spark):
             docs.append((k, " ".join(noise) + " " + part + " tail " + " ".join(noise[:5])))
     d = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("item_id", F.lit("clash"))
     it = spark.createDataFrame(items, "item_id bigint, lang string, text string")
-    want = {(i, j) for i, t in docs if t for j, g, x in items if leakage.shares_span(t, x, g in leakage.LETTER_LANGS)}
+
+    def shared(text, item, by_letters):
+        a, b = (leakage._WORD.findall(leakage.normal(x)) for x in (text, item))
+        n = leakage.LETTERS if by_letters else leakage.WORDS
+        a, b = ("".join(a), "".join(b)) if by_letters else (a, b)
+        return any(a[i : i + n] == b[j : j + n] for i in range(len(a) - n + 1) for j in range(len(b) - n + 1))
+
+    want = {(i, j) for i, t in docs if t for j, g, x in items if shared(t, x, g in leakage.LETTER_LANGS)}
     assert rows(leakage.leaks(d, it)) == want and len(want) > 50
     assert leakage.leaks(d.limit(0), it).count() == 0 and leakage.leaks(d, it.limit(0)).count() == 0
     held, leakage.MAX_HELD = leakage.MAX_HELD, 0  # the way beyond the held fingerprints
@@ -217,7 +263,19 @@ def test_mixing_reaches_the_weights(spark):
     assert mixing.mix(d.limit(0), t).allocation.count() == 0
 
 
+def test_draws_beyond_the_generator_have_the_same_distribution():
+    rng = np.random.default_rng(5)
+    good, bad, n = 3 * 10**9, 5 * 10**9, 10**9
+    x = np.array([mixing.draw(rng, good, bad, n) for _ in range(1500)], float)
+    total = good + bad
+    sd = (n * (good / total) * (bad / total) * (total - n) / (total - 1)) ** 0.5
+    assert abs(x.mean() - n * good / total) < 5 * sd / len(x) ** 0.5 and 0.9 < x.std() / sd < 1.1
+    assert mixing.draw(rng, 0, 2 * 10**9, 5) == 0 and mixing.draw(rng, 2 * 10**9, 0, 5) == 5
+
+
 def test_splitting_tree_keeps_every_count():
+    huge = mixing.split_tree([3 * 10**9, 10**9, 7], 3, 4)
+    assert huge.sum(axis=0).tolist() == [3 * 10**9, 10**9, 7] and huge.min() >= 0
     for shards in (1, 5, 16):
         x = mixing.split_tree([100, 3, 0, 77], shards, 4)
         assert x.sum(axis=0).tolist() == [100, 3, 0, 77] and x.min() >= 0
@@ -260,6 +318,30 @@ def test_units_of_a_table(spark, trained):
     assert sentences.units(d.limit(0)).count() == 0
 
 
+def test_lists_of_any_size_give_the_same_units(spark):
+    rng = random.Random(3)
+    parts = ["Mr. Smith saw it. ", "Dr. J. Brown left (e.g. in 3. May). ", "It grew by 3.14 units. The rest, etc. stays! ", "Im 2. Mai kam Nr. 12 an. ", "“Is it so?” he said. ", "报告。", "see a.b_c. Then go. "]
+    docs = [(k, rng.choice(["en", "de", None]), "".join(rng.choice(parts) for _ in range(rng.randrange(1, 12)))) for k in range(300)] + [(900, "en", None), (901, "en", " ")]
+    d = spark.createDataFrame(docs, "doc_id bigint, lang string, text string")
+    want = rows(sentences.units(d))
+    held, sentences.MAX_HELD = sentences.MAX_HELD, 0
+    try:
+        assert rows(sentences.units(d)) == want and len(want) > 300
+    finally:
+        sentences.MAX_HELD = held
+
+
+def test_brackets_take_linear_time(trained):
+    import time
+
+    took = []
+    for n in (2000, 16000):
+        began = time.perf_counter()
+        assert len(sentences.ends("See (" + "One two. " * n + ") there.", "en", trained)) == 1
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * max(took[0], 0.005)
+
+
 def test_learned_lists_keep_only_what_decides(spark):
     learned = [("en", "abbr", "dr", "", True), ("en", "start", "the", "", None), ("de", "pair", "##", "mai", None), ("de", "pair", "j", "bach", None), ("de", "num", "nr", "", None)]
     asked = [("de", "known", "dr", "", None), ("fr", "lower", "the", "", None), ("de", "known", "mai", "", None)]
