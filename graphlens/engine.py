@@ -36,22 +36,38 @@ def analyze(files: DataFrame, kept: DataFrame | None = None) -> Analysis:
         rows = cut(same.drop("blob_sha").unionByName(parsing.parse_files(todo)))
     else:
         rows = cut(parsing.parse_files(files))
-    atoms = graph.upsert(parsing.atoms_of(rows)).drop("seq_first")
-    inner = parsing.edges_of(rows)
-    sites = parsing.call_sites_of(rows)
-    calls, externs = resolve.resolve_calls(atoms, inner, sites, resolve.package_reexports(parsing.imports_of(rows)))
-    calls, externs = cut(calls), cut(externs)
+    return resolved(rows)
+
+
+def resolved(rows: DataFrame) -> Analysis:
+    """The whole graph of parsed rows.
+
+    Edges keep the order of a sequential run: those of the parser by path and
+    place, then those of each pass by their caller's path and place.
+    """
+    atoms = cut(graph.upsert(parsing.atoms_of(rows)).drop("seq_first"))
+    inner, sites, imports = parsing.edges_of(rows), parsing.call_sites_of(rows), parsing.imports_of(rows)
+    calls, externs = resolve.resolve_calls(atoms, inner, sites, imports)
+    externs = cut(externs)
     modules = atoms.where("kind = 'module'").select("id", "file_path")
-    types = atoms.where(F.col("kind").isin("struct", "enum", "trait", "union", "type_alias"))
-    plain = lambda df, kind: df.select("src", "dst", F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("array<int>").alias("sites"), F.lit(None).cast("bigint").alias("seq"))
-    edges = (
-        inner.unionByName(calls).unionByName(plain(resolve.implement_edges(atoms, inner), "implements"))
-        .unionByName(plain(resolve.import_edges(parsing.imports_of(rows), modules), "imports"))
-        .unionByName(plain(resolve.type_targets(parsing.type_refs_of(rows), types).select(F.col("atom_id").alias("src"), F.col("target").alias("dst")), "uses"))
-    )
-    blank = {c: F.lit("") for c in ("file_path", "doc", "content_hash", "scope")} | {c: F.lit(0) for c in ("line_start", "line_end")} | {"parent": F.lit(None).cast("string"), "seq": F.lit(None).cast("bigint")}
+    items = atoms.where("kind <> 'module' and parent is null").select("file_path", "scope", "name")
+    types = atoms.where(F.col("kind").isin(*resolve.TYPE_KINDS))
+    tree = cut(resolve.module_tree(atoms))
+    uses = resolve.type_targets(parsing.type_refs_of(rows), types, tree, cut(resolve.rust_reexports(imports, tree))).select(F.col("atom_id").alias("src"), F.col("target").alias("dst"))
+    plain = lambda df, kind: df.select("src", "dst", F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("array<int>").alias("sites"))
+    passes = [calls, plain(resolve.implement_edges(atoms, inner), "implements"), plain(resolve.import_edges(imports, modules, items), "imports"), plain(uses, "uses")]
+    late = None
+    for n, e in enumerate(passes, 1):
+        e = e.withColumn("phase", F.lit(n))
+        late = e if late is None else late.unionByName(e)
+    # Of one caller the calls come as it first makes them, all else by its target.
+    place = atoms.select(F.col("id").alias("src"), F.col("seq.path").alias("path"), F.col("seq.pos").alias("at"))
+    order = F.struct("phase", "path", (F.col("at") * F.lit(65536).cast("bigint") + F.coalesce(F.try_element_at("sites", F.lit(1)), F.lit(0))).alias("pos"))
+    late = late.join(place, "src", "left").withColumn("seq", order).select("src", "dst", "kind", "role", "sites", "seq")
+    blank = {c: F.lit("") for c in ("file_path", "doc", "content_hash", "scope")} | {c: F.lit(0) for c in ("line_start", "line_end")} | {"parent": F.lit(None).cast("string"), "seq": F.lit(None).cast(atoms.schema["seq"].dataType)}
     all_atoms = atoms.unionByName(externs.withColumns(blank).select(*atoms.columns))
-    return Analysis(cut(all_atoms), cut(edges), sites, rows)
+    early = inner.withColumn("seq", F.struct("seq.phase", "seq.path", F.col("seq.pos").cast("bigint").alias("pos")))
+    return Analysis(cut(all_atoms), cut(early.unionByName(late)), sites, rows)
 
 
 def project(g: graph.CodeGraph) -> tuple[DataFrame, DataFrame]:
@@ -87,7 +103,7 @@ def function(g: graph.CodeGraph, target: str) -> tuple[DataFrame, DataFrame]:
 
 def impact(g: graph.CodeGraph, target: str, hops: int = 3) -> tuple[DataFrame, DataFrame]:
     entity = resolve.lookup(g.atoms, target)
-    e, _ = traverse.impact(g.edges.where("kind = 'calls'").select("src", "dst", F.coalesce("seq", F.xxhash64("src", "dst")).alias("seq")), entity, hops)
+    e, _ = traverse.impact(g.edges.where("kind = 'calls'").select("src", "dst", "seq"), entity, hops)
     return _named(g, e, entity), e
 
 

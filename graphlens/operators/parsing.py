@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +19,13 @@ from ..parse.base import TYPED, Item, Lines, Unit
 from ..session import spread
 
 _OUT = "file_path string, what string, id string, kind string, name string, line_start int, line_end int, doc string, signature string, content_hash string, parent string, scope string, pos int, target string, rank int, flags int, is_method boolean, extra string"
-_COLS = [x.split()[0] for x in _OUT.split(", ")]
+_TYPES = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+_ARROW = pa.schema([(c, _TYPES[t]) for c, t in (x.split() for x in _OUT.split(", "))])
+
+
+def _row(path: str, pos: int, what: str, id=None, kind=None, name=None, line_start=None, line_end=None, doc=None, signature=None, content_hash=None, parent=None, scope=None, target=None, rank=None, flags=None, is_method=None, extra=None) -> tuple:  # noqa: A002
+    """A row of ``_OUT``."""
+    return path, what, id, kind, name, line_start, line_end, doc, signature, content_hash, parent, scope, pos, target, rank, flags, is_method, extra
 
 
 def _item_id(path: str, it: Item) -> str:
@@ -82,84 +88,98 @@ def _call(it: Item, unit: Unit, names: dict[str, str], language: str, name: str,
     return last, flags, True
 
 
+def _outward(scope: str) -> Iterator[str]:
+    """A scope and all that enclose it."""
+    while scope:
+        yield scope
+        scope = scope.rpartition("::")[0]
+    yield ""
+
+
 def unit_rows(path: str, content: bytes | None) -> list[tuple]:
-    """Every row of one file in order; an unreadable file gives one error row."""
-    unit, text = parse.parse_file(path, content)
+    """Every row of one file in order; an unreadable file gives one error row.
+
+    Names are looked up in maps of the file that are filled once, so that the
+    time grows with the file and not with the square of a class.
+    """
     language = parse.LANGUAGES.get(parse.extension(path), ("", None))[0]
     if not language:
         return []
-    blank = dict.fromkeys(_COLS)
-    rows: list[dict] = []
-
-    def add(what: str, **k) -> None:
-        rows.append({**blank, "file_path": path, "what": what, "pos": len(rows), **k})
-
+    unit, text = parse.parse_file(path, content)
+    rows: list[tuple] = []
+    add = rows.append
     if unit.errors and not unit.items and unit.errors[0][1] == "not UTF-8":
-        add("error", name=unit.errors[0][1])
-        return [tuple(r[c] for c in _COLS) for r in rows]
+        return [_row(path, 0, "error", name=unit.errors[0][1], extra="first")]
     lines = Lines(text)
     module = f"code:{path}"
     stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-    add("atom", id=module, kind="module", name=stem, line_start=1, line_end=max(1, len(lines.starts)), doc="", signature="", content_hash=hashlib.sha256(text.encode("utf-8", "replace")).hexdigest(), scope="")
-    for at, what in unit.errors:
-        add("error", id=module, name=what, line_start=lines.of(at))
+    add(_row(path, 0, "atom", module, "module", stem, 1, max(1, len(lines.starts)), "", "", hashlib.sha256(text.encode("utf-8", "replace")).hexdigest(), None, ""))
+    for n, (at, what) in enumerate(unit.errors):
+        add(_row(path, len(rows), "error", module, name=what, line_start=lines.of(at), extra=None if n else "first"))
     names = _imports(unit, language)
     for n, (local, target, glob, public) in enumerate(unit.imports):
-        add("import", id=module, name=local, target=target, rank=n, extra=("glob " if glob else "") + ("public" if public else ""))
+        add(_row(path, len(rows), "import", module, name=local, target=target, rank=n, extra=("glob " if glob else "") + ("public " if public else "") + ("inner" if n in unit.inner_imports else "")))
     owners = {it.name: _item_id(path, it) for it in unit.items if it.kind in ("struct", "trait", "impl", "enum") and not it.inner}
-    free: dict[str, str] = {}
+    free: dict[tuple[str, str], str] = {}
+    siblings: dict[str, dict[str, str]] = {}
     made: list[tuple[Item, str]] = []
     for it in unit.items:
         if it.kind == "constructor" or it.inner and language == "python":
             continue
-        made.append((it, _item_id(path, it)))
+        entity = _item_id(path, it)
+        made.append((it, entity))
         if it.kind != "function" or not it.parent:
-            free[it.name] = _item_id(path, it)
+            free[it.scope or "", it.name] = entity
+        if it.parent:
+            siblings.setdefault(it.parent, {})[it.name] = entity
     for it, entity in made:
         end = it.end if it.end >= 0 else it.name_at + len(it.name)
         body = text[it.start : end]
         sig = " ".join(text[it.start : it.body if it.body > 0 else end].split("\n", 1)[0].split())
-        add("atom", id=entity, kind=it.kind, name=it.name, line_start=lines.of(it.start), line_end=lines.of(max(end - 1, it.start)), doc=it.doc or "", signature=sig.rstrip(" {:"),
-            content_hash="sha256:" + hashlib.sha256(body.encode("utf-8", "replace")).hexdigest(), parent=it.parent, scope=it.scope)
+        add(_row(path, len(rows), "atom", entity, it.kind, it.name, lines.of(it.start), lines.of(max(end - 1, it.start)), it.doc or "", sig.rstrip(" {:"), "sha256:" + hashlib.sha256(body.encode("utf-8", "replace")).hexdigest(), it.parent, it.scope))
         if it.parent and it.parent in owners:
-            add("edge", id=owners[it.parent], kind="contains", target=entity)
+            add(_row(path, len(rows), "edge", owners[it.parent], "contains", target=entity))
         elif not it.parent and not it.scope:
-            add("edge", id=module, kind="contains", target=entity)
+            add(_row(path, len(rows), "edge", module, "contains", target=entity))
         for n, written in enumerate(dict.fromkeys(it.types)):
             head, _, rest = written.partition("::")
             full = (f"{names[head]}::{rest}" if rest else names[head]) if head in names else written
-            add("type", id=entity, name=full, rank=n)
+            add(_row(path, len(rows), "type", entity, name=full, rank=n, scope=it.scope))
         for base in it.bases:
-            add("base", id=entity, name=base)
-        siblings = {x.name: e for x, e in made if x.parent and x.parent == it.parent}
+            add(_row(path, len(rows), "base", entity, name=base))
+        beside = siblings.get(it.parent or "", {}) if it.parent else {}
         owner = (it.parent or "").rsplit(" for ", 1)[-1].split("<")[0].strip()
         local: dict[str, list[int]] = {}
         for rank, (name, _, flags, method) in enumerate(sorted(it.calls, key=lambda c: c[1])):
             called, flags, only = _call(it, unit, names, language, name, flags, method)
             rank = min(rank, 65535)
-            add("call", id=entity, name=called, rank=rank, flags=flags, is_method=only)
+            add(_row(path, len(rows), "call", entity, name=called, rank=rank, flags=flags, is_method=only))
             if only:
                 continue
             prefix, _, last = called.rpartition("::")
-            to = siblings.get(last) if it.parent and prefix in ("", "Self", owner) else None
+            to = beside.get(last) if it.parent and prefix in ("", "Self", owner) else None
             if to is None and not prefix:
-                to = free.get(last)
+                to = next((free[s, last] for s in _outward(it.scope or "") if (s, last) in free), None)
             if to and to != entity:
                 local.setdefault(to, []).append(rank)
         for to, ranks in local.items():
-            add("edge", id=entity, kind="calls", target=to, extra=",".join(map(str, ranks)))
-    return [tuple(r[c] for c in _COLS) for r in rows]
+            add(_row(path, len(rows), "edge", entity, "calls", target=to, extra=",".join(map(str, ranks))))
+    return rows
 
 
-def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
+
     for b in batches:
         rows: list[tuple] = []
-        for path, content in zip(b["path"], b["content"]):
-            rows += unit_rows(path, content)
-        out = pd.DataFrame(rows, columns=_COLS)
-        for c in ("line_start", "line_end", "pos", "rank", "flags"):
-            out[c] = out[c].astype("Int32")
-        yield out
+        for path, content in zip(b.column("path"), b.column("content")):
+            rows += unit_rows(path.as_py(), content.as_py())
+            if len(rows) >= 20_000:
+                yield out(rows)
+                rows = []
+        if rows:
+            yield out(rows)
 
 
 def parse_files(files: DataFrame) -> DataFrame:
@@ -167,7 +187,7 @@ def parse_files(files: DataFrame) -> DataFrame:
 
     Null paths and unknown extensions give nothing; null content is empty.
     """
-    return spread(files.where("path is not null").select("path", "content")).mapInPandas(_run, _OUT)
+    return spread(files.where("path is not null").select("path", "content")).mapInArrow(_run, _OUT)
 
 
 def atoms_of(rows: DataFrame) -> DataFrame:
@@ -175,8 +195,11 @@ def atoms_of(rows: DataFrame) -> DataFrame:
 
 
 def _seq(rows: DataFrame):
-    """A number that orders rows by file and place within it."""
-    return (F.shiftleft(F.xxhash64("file_path").bitwiseAND((1 << 42) - 1), 20) + F.col("pos")).alias("seq")
+    """What orders rows as a sequential scan meets them: by path, then by place in the file.
+
+    ``phase`` 0 is what the parser finds; what later passes add comes after it.
+    """
+    return F.struct(F.lit(0).alias("phase"), F.col("file_path").alias("path"), "pos").alias("seq")
 
 
 def edges_of(rows: DataFrame) -> DataFrame:
@@ -189,11 +212,11 @@ def call_sites_of(rows: DataFrame) -> DataFrame:
 
 
 def imports_of(rows: DataFrame) -> DataFrame:
-    return rows.where("what = 'import'").select(F.col("id").alias("module_id"), "file_path", F.col("name").alias("local"), "target", F.contains("extra", F.lit("glob")).alias("is_glob"), F.contains("extra", F.lit("public")).alias("is_public"), F.col("rank").alias("pos"))
+    return rows.where("what = 'import'").select(F.col("id").alias("module_id"), "file_path", F.col("name").alias("local"), "target", F.contains("extra", F.lit("glob")).alias("is_glob"), F.contains("extra", F.lit("public")).alias("is_public"), F.contains("extra", F.lit("inner")).alias("is_inner"), F.col("rank").alias("pos"))
 
 
 def type_refs_of(rows: DataFrame) -> DataFrame:
-    return rows.where("what = 'type'").select(F.col("id").alias("atom_id"), "file_path", F.col("name").alias("written"), F.col("rank").alias("pos"))
+    return rows.where("what = 'type'").select(F.col("id").alias("atom_id"), "file_path", "scope", F.col("name").alias("written"), F.col("rank").alias("pos"))
 
 
 def call_ranks(sites: DataFrame) -> DataFrame:
@@ -217,10 +240,15 @@ def scan_filter(files: DataFrame, exclude: tuple[str, ...] = (), include_generat
 
 
 def parse_report(rows: DataFrame) -> DataFrame:
-    """One row: files, atoms, edges, failures."""
+    """One row: files, atoms, edges, failures.
+
+    A file has one module atom, and the first row of one that has none is its
+    error; so files need no shuffle to be counted.
+    """
+    what, kind = F.col("what"), F.col("kind")
     return rows.agg(
-        F.countDistinct(F.when(F.col("what") == "atom", F.col("file_path"))).alias("files"), F.count_if(F.col("what") == "atom").alias("atoms"),
-        F.count_if(F.col("what") == "edge").alias("edges"), F.countDistinct(F.when(F.col("what") == "error", F.col("file_path"))).alias("failures"),
+        F.count_if((what == "atom") & (kind == "module")).alias("files"), F.count_if(what == "atom").alias("atoms"),
+        F.count_if(what == "edge").alias("edges"), F.count_if((what == "error") & (F.col("extra") == "first")).alias("failures"),
     )
 
 

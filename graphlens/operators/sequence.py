@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +17,25 @@ from .parsing import _item_id
 STEPS = "fn_id string, fn_name string, ord int, depth int, op string, src string, dst string, label string, is_await boolean"
 #: Nesting of blocks beyond which a single note stands for the rest.
 MAX_DEPTH = 256
-# Macros that only panic or test, and constructors that only wrap.
-NOISE = frozenset("panic assert assert_eq assert_ne debug_assert todo unimplemented unreachable println eprintln print format vec write writeln dbg Some Ok Err None".split())
+# Macros that only panic or test, and Rust's constructors that only wrap.
+QUIET_MACROS = frozenset("assert assert_eq assert_ne debug_assert debug_assert_eq debug_assert_ne panic unreachable todo unimplemented matches".split())
+WRAPPERS = frozenset("Some None Ok Err".split())
 
 
-def _steps(it: Item, entity: str, most: int) -> list[tuple]:
+def _call_step(name: str, method: bool, root: str, rust: bool) -> tuple[str, str] | None:
+    """(participant, label) of a call; None for one that is no step."""
+    if method:
+        return root or "self", name.rpartition(".")[2]
+    if name.endswith("!"):
+        return None if name[:-1] in QUIET_MACROS else ("self", name)
+    head, _, last = name.rpartition("::")
+    if rust and not head and name in WRAPPERS:
+        return None
+    root = head.split("::", 1)[0]
+    return ("self" if root in ("", "Self") else root), last
+
+
+def _steps(it: Item, entity: str, most: int, rust: bool) -> list[tuple]:
     """A function's steps; blocks without any call are dropped."""
     rows: list[list] = []
     opened: list[int] = []
@@ -29,11 +43,8 @@ def _steps(it: Item, entity: str, most: int) -> list[tuple]:
     for e in it.events:
         if e[0] == "call":
             name, _, flags, method = it.calls[e[1]]
-            recv, _, last = name.rpartition("." if method else "::")
-            if last.rstrip("!") in NOISE:
-                continue
-            to = recv.split(".")[-1].split("::")[-1] if recv and recv not in ("self", "this", "Self", "cls") else "self"
-            rows.append(["call", to, last, bool(flags & AWAIT), len(opened)])
+            if step := _call_step(name, method, e[2], rust):
+                rows.append(["call", *step, bool(flags & AWAIT), len(opened)])
         elif e[0] == "end":
             if not opened:
                 continue
@@ -77,28 +88,41 @@ def _steps(it: Item, entity: str, most: int) -> list[tuple]:
 
 def file_steps(path: str, content: bytes | None, most: int = MAX_DEPTH) -> list[tuple]:
     unit, _ = parse.parse_file(path, content)
-    last = {}
+    first: dict[str, Item] = {}
     for it in unit.items:
         if it.kind == "function":
-            last[_item_id(path, it)] = it  # of several with one id the last counts
-    return [row for entity, it in last.items() for row in _steps(it, entity, most)]
+            first.setdefault(_item_id(path, it), it)  # of several with one id the first counts
+    rust = parse.extension(path) == "rs"
+    return [row for entity, it in first.items() for row in _steps(it, entity, most, rust)]
 
 
-def steps(files: DataFrame, most: int = MAX_DEPTH) -> DataFrame:
-    """Steps of every function of ``files`` (path, content); files that fail give what could be read."""
+def _over_files(files: DataFrame, rows_of: Callable[[str, bytes | None], list[tuple]], out: str) -> DataFrame:
+    types = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    schema = pa.schema([(c, types[t]) for c, t in (x.split() for x in out.split(", "))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in STEPS.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [r for p, c in zip(b["path"], b["content"]) for r in file_steps(p, c, most)]
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({"ord": "Int32", "depth": "Int32", "is_await": "boolean"})
+            rows = [r for p, c in zip(b.column("path"), b.column("content")) for r in rows_of(p.as_py(), c.as_py())]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    return spread(files.where("path is not null").select("path", "content")).mapInPandas(run, STEPS)
+    return spread(files.where("path is not null").select("path", "content")).mapInArrow(run, out)
+
+
+def steps(files: DataFrame, most: int = MAX_DEPTH) -> DataFrame:
+    """Steps of every function of ``files`` (path, content); files that fail give what could be read."""
+    return _over_files(files, lambda p, c: file_steps(p, c, most), STEPS)
 
 
 def list_functions(files: DataFrame) -> DataFrame:
-    return steps(files).select("fn_id").distinct()
+    """``file_path, place, fn_id, fn_name``: every function in the order of its source, with or without steps."""
+
+    def listed(path: str, content: bytes | None) -> list[tuple]:
+        unit, _ = parse.parse_file(path, content)
+        found = dict.fromkeys((_item_id(path, it), f"{it.parent}::{it.name}" if it.parent else it.name) for it in sorted(unit.items, key=lambda x: x.name_at) if it.kind == "function")
+        return [(path, k, entity, name) for k, (entity, name) in enumerate(found)]
+
+    return _over_files(files, listed, "file_path string, place int, fn_id string, fn_name string")
 
 
 def participants(step: DataFrame) -> DataFrame:

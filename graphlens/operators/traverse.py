@@ -16,41 +16,60 @@ from ..session import cut
 def bounded_bfs(edges: DataFrame, root: str, hops: int = 3, reverse: bool = False) -> tuple[DataFrame, DataFrame]:
     """(edges, nodes) reached from ``root`` in at most ``hops`` steps.
 
-    ``edges``: src, dst, seq.  Edges come out as they are stored, nodes with
-    their ``depth``.  A neighbour that lies on the walk's tree path to a node is
-    skipped, any other edge is reported even if it was seen; a node's parent is
-    its first discoverer in the order of the frontier and of ``seq``.
+    ``edges``: src, dst, seq (of any type that has an order).  Edges come out as
+    they are stored, nodes with their ``depth``.  A neighbour that lies on the
+    walk's tree path to a node is skipped, any other edge is reported even if it
+    was seen; a node's parent is its first discoverer in the order of the
+    frontier and of ``seq``, equal ones by id.
     """
-    near, far = ("dst", "src") if reverse else ("src", "dst")
-    adj = edges.select(F.col(near).alias("node"), F.col(far).alias("m"), "seq")
-    spark = edges.sparkSession
+    e, n = _levels(_adjacency(edges, (not reverse,)), root, hops)
+    return e.select("src", "dst").distinct(), n.select("id", "depth")
+
+
+def impact(edges: DataFrame, root: str, hops: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Both directions, walked side by side: (edges caller to callee, nodes)."""
+    e, n = _levels(_adjacency(edges, (False, True)), root, hops)
+    return e.select("src", "dst").distinct(), n.select("id").distinct()
+
+
+def _adjacency(edges: DataFrame, directions: tuple[bool, ...]) -> DataFrame:
+    """``onward, node, m, seq``, written once: what every level of a walk is joined with."""
+    sides = [edges.select(F.lit(on).alias("onward"), F.col("src" if on else "dst").alias("node"), F.col("dst" if on else "src").alias("m"), "seq") for on in directions]
+    return cut(sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1]))
+
+
+def _levels(adj: DataFrame, root: str, hops: int) -> tuple[DataFrame, DataFrame]:
+    """Breadth-first levels in all directions of ``adj``: (src, dst, ...), (id, onward, depth).
+
+    Each level is one join and one folder: its steps, marked with whether they
+    found their neighbour first.  Frontier and nodes are read from those.
+    """
+    spark = adj.sparkSession
+    kind = adj.schema["seq"].dataType.simpleString()
+    onward = adj.select("onward").distinct()
     # ``key``: the ``seq`` of every step to a node.  Keys of one level are equally long, and their
     # order is that of a sequential walk, so that no level has to be numbered.
-    frontier = spark.createDataFrame([(root, [], [root])], "node string, key array<bigint>, path array<string>")
-    seen = spark.createDataFrame([(root, 0)], "id string, depth int")
-    found = None
+    frontier = onward.select("onward", F.lit(root).alias("node"), F.array().cast(f"array<{kind}>").alias("key"), F.array(F.lit(root)).alias("path"))
+    found = old = None
     for depth in range(1, hops + 1):
-        step = cut(frontier.join(adj, "node").where((F.col("m") != root) & ~F.array_contains("path", F.col("m"))))
-        if step.isEmpty():
+        step = frontier.join(adj, ["onward", "node"]).where((F.col("m") != root) & ~F.array_contains("path", F.col("m")))
+        if old is not None:
+            step = step.join(old, ["onward", "m"], "left")
+        else:
+            step = step.withColumn("known", F.lit(None).cast("boolean"))
+        nth = F.row_number().over(Window.partitionBy("onward", "m").orderBy("key", "seq", "node"))
+        step = cut(step.withColumn("first", F.col("known").isNull() & (nth == 1)).drop("known").withColumn("depth", F.lit(depth)))
+        found = step if found is None else found.unionByName(step)
+        frontier = step.where("first").select("onward", F.col("m").alias("node"), F.concat("key", F.array("seq")).alias("key"), F.concat("path", F.array("m")).alias("path"))
+        if depth < hops and frontier.isEmpty():
             break
-        got = step.select("node", "m")
-        found = got if found is None else found.unionByName(got)
-        new = step.join(seen.select(F.col("id").alias("m")), "m", "left_anti")
-        first = Window.partitionBy("m").orderBy("key", "seq")
-        parents = new.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-        frontier = cut(parents.select(F.col("m").alias("node"), F.concat("key", F.array(F.col("seq").cast("bigint"))).alias("key"), F.concat("path", F.array("m")).alias("path")))
-        seen = cut(seen.unionByName(frontier.select(F.col("node").alias("id"), F.lit(depth).alias("depth"))))
+        old = found.where("first").select("onward", "m", F.lit(True).alias("known"))
+    start = spark.createDataFrame([(root, 0)], "id string, depth int")
     if found is None:
-        found = spark.createDataFrame([], "node string, m string")
-    a, b = ("m", "node") if reverse else ("node", "m")
-    return found.select(F.col(a).alias("src"), F.col(b).alias("dst")).distinct(), seen
-
-
-def impact(edges: DataFrame, root: str, hops: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Both directions: (edges caller to callee, nodes)."""
-    back, nb = bounded_bfs(edges, root, hops, reverse=True)
-    on, nf = bounded_bfs(edges, root, hops)
-    return back.unionByName(on).distinct(), nb.select("id").unionByName(nf.select("id")).distinct()
+        return adj.limit(0).select(F.col("node").alias("src"), F.col("m").alias("dst")), start
+    on = F.col("onward")
+    edges = found.select(F.when(on, F.col("node")).otherwise(F.col("m")).alias("src"), F.when(on, F.col("m")).otherwise(F.col("node")).alias("dst"))
+    return edges, start.unionByName(found.where("first").select(F.col("m").alias("id"), "depth"))
 
 
 def shortest_path(edges: DataFrame, start: str, root: str) -> DataFrame:

@@ -50,6 +50,7 @@ class Item:
     types: list[str] = field(default_factory=list)
     calls: list[tuple[str, int, int, bool]] = field(default_factory=list)  # name, offset, flags, is_method
     local: dict[str, str | None] = field(default_factory=dict)  # declared types of names
+    held: dict[str, str | None] = field(default_factory=dict)  # what the optional values among them hold
     inner: bool = False  # inside a function
     events: list[tuple] = field(default_factory=list)  # calls and the blocks around them, in order
 
@@ -61,6 +62,7 @@ class Unit:
     errors: list[tuple[int, str]] = field(default_factory=list)
     items: list[Item] = field(default_factory=list)
     imports: list[tuple[str, str, bool, bool]] = field(default_factory=list)  # local name, path, glob, public
+    inner_imports: set[int] = field(default_factory=set)  # places of those that stand in an inner module or a block
     fields: dict[str, dict[str, str]] = field(default_factory=dict)
 
 
@@ -117,6 +119,10 @@ class Lines:
         return bisect_right(self.starts, at)
 
 
+#: Kinds of tokens that are values by themselves.
+LITERALS = frozenset(("lit", "num", "str", "fstr", "bytes", "None", "True", "False", "true", "false", "null"))
+
+
 class Parser:
     """Cursor over tokens ``kinds``, ``texts``, ``ats`` (ending in ``eof``)."""
 
@@ -149,11 +155,24 @@ class Parser:
             return True
         return False
 
-    def call(self, name: str, at: int, is_method: bool) -> None:
-        """Record a call of the innermost function."""
+    def call(self, name: str, at: int, is_method: bool, first: int = -1) -> None:
+        """Record a call of the innermost function; ``first``: the token that a method's receiver begins with."""
         if self.functions:
             self.functions[-1].calls.append((name, at, self.flags[-1], is_method))
-            self.functions[-1].events.append(("call", len(self.functions[-1].calls) - 1))
+            self.functions[-1].events.append(("call", len(self.functions[-1].calls) - 1, self.root_of(first) if first >= 0 else ""))
+
+    def root_of(self, first: int) -> str:
+        """The leftmost name of a receiver; a literal is a value of the function itself."""
+        kinds = self.kinds
+        while kinds[first] in ("(", "-", "!", "*", "&", "await", "new", "const"):
+            first += 1
+        if kinds[first] in LITERALS:
+            return "self"
+        name = self.texts[first]
+        while kinds[first + 1] == "::" and kinds[first + 2] in ("id", "self", "super", "crate"):
+            first += 2
+            name += "::" + self.texts[first]
+        return name + "!" if kinds[first + 1] == "!" and kinds[first + 2] in ("(", "[", "{") else name
 
     def awaited(self, before: int) -> None:
         """Mark the last call recorded since ``before`` calls as awaited."""

@@ -1267,11 +1267,12 @@ class DartParser(Parser):
 
     # -- expressions --------------------------------------------------------
     def expr(self) -> None:
+        first = self.i
         self.conditional_cascade()
         kinds = self.kinds
         while kinds[self.i] in ("..", "?.."):
             self.i += 1
-            self.cascade()
+            self.cascade(first)
 
     def conditional_cascade(self) -> None:
         """An expression without cascades: throw, assignment, condition."""
@@ -1291,7 +1292,8 @@ class DartParser(Parser):
             self.conditional_cascade()
         return None
 
-    def cascade(self) -> None:
+    def cascade(self, first: int) -> None:
+        """A link of a cascade on the expression that begins at token ``first``."""
         kinds = self.kinds
         if kinds[self.i] == "[":
             self.i += 1
@@ -1300,8 +1302,8 @@ class DartParser(Parser):
         else:
             tok = self.name()
             if kinds[self.i] == "(":
-                self.call(f".{self.texts[tok]}", self.ats[tok], True)
-        self.selectors()
+                self.call(f".{self.texts[tok]}", self.ats[tok], True, first)
+        self.selectors(first)
         if kinds[self.i] in ASSIGN:
             self.i += 1
             self.conditional_cascade()
@@ -1356,12 +1358,13 @@ class DartParser(Parser):
             self.unary()
             self.awaited(before)
             return
+        first = self.i
         self.primary()
-        self.selectors()
+        self.selectors(first)
         if kinds[self.i] in ("++", "--"):
             self.i += 1
 
-    def selectors(self) -> None:
+    def selectors(self, first: int) -> None:
         kinds = self.kinds
         while True:
             k = kinds[self.i]
@@ -1380,7 +1383,7 @@ class DartParser(Parser):
                     nk = kinds[self.i]
                     if nk == "(" or nk == "<" and (e := self.skip_type_args(self.i)) > 0 and kinds[e] == "(":
                         recv = self.texts[tok - 2] if kinds[tok - 2] in ("id", "this", "super") and kinds[tok - 3] not in (".", "?.") else ""
-                        self.call(f"{recv}.{self.texts[tok]}", self.ats[tok], True)
+                        self.call(f"{recv}.{self.texts[tok]}", self.ats[tok], True, first)
             elif k == "[":
                 self.i += 1
                 self.expr()

@@ -1023,7 +1023,7 @@ class PythonParser(Parser):
                 self.target = "attr"
             elif k == "(":
                 if chain:
-                    self.call(chain, self.ats[self.i - 1] if "." in chain else self.ats[first], "." in chain)
+                    self.call(chain, self.ats[self.i - 1] if "." in chain else self.ats[first], "." in chain, first if "." in chain else -1)
                 self.arguments()
                 chain = ""
                 self.target = "call"

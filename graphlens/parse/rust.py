@@ -53,6 +53,10 @@ def _doc_text(raw: str) -> str:
     return raw[3:][1:] if raw[3:4] == " " else raw[3:]
 
 
+# Traits whose bound says nothing about a value's own methods.
+MARKERS = frozenset("Send Sync Sized Unpin Clone Copy Debug Default Eq PartialEq Ord PartialOrd Hash Display".split())
+
+
 class RustParser(Parser):
     """One file; ``parse`` gives its ``Unit``."""
 
@@ -60,6 +64,7 @@ class RustParser(Parser):
         super().__init__(text)
         self.docs: dict[int, str] = {}
         self.scope: list[str] = []
+        self.bound: dict[str, str] = {}  # generic parameters in scope and the trait that each is bound by
         self.owner: list[str] = []
 
     # -- tokens ---------------------------------------------------------
@@ -332,7 +337,10 @@ class RustParser(Parser):
             return self.module(doc, at)
         if k == "use":
             self.i += 1
+            before = len(self.unit.imports)
             self.use_tree("", pub)
+            if where != "file" or self.scope:
+                self.unit.inner_imports.update(range(before, len(self.unit.imports)))
             self.expect(";")
             return None
         if k == "const" or k == "static":
@@ -421,6 +429,22 @@ class RustParser(Parser):
         it.is_method = where in ("impl", "trait")
         if where not in ("impl", "trait"):
             it.parent = None
+        outer = self.bound
+        own = self.bound = dict(outer) if where in ("impl", "trait") else {}
+        try:
+            self.rest_of_function(it, doc, where)
+        finally:
+            self.apply_bounds(own, it.local)
+            self.bound = outer
+
+    @staticmethod
+    def apply_bounds(bound: dict[str, str], types: dict[str, str | None]) -> None:
+        """A name typed by a generic parameter has the methods of the parameter's trait."""
+        if bound:
+            for name, ty in types.items():
+                types[name] = bound.get(ty, ty)
+
+    def rest_of_function(self, it: Item, doc: str | None, where: str) -> None:
         if self.angle_ahead():
             self.generics()
         self.expect("(")
@@ -444,7 +468,9 @@ class RustParser(Parser):
                     ty = self.i
                     self.type_()
                     if self.i - 1 >= a and self.kinds[a] in ("id", "mut"):
-                        it.local[self.texts[a + (self.kinds[a] == "mut")]] = self.type_name(ty)
+                        local = self.texts[a + (self.kinds[a] == "mut")]
+                        it.local[local] = self.type_name(ty)
+                        it.held[local] = self.held_name(ty)
                         it.types.extend(self.type_idents(ty, self.i))
             first = False
             if not self.accept(","):
@@ -506,6 +532,28 @@ class RustParser(Parser):
             return self.type_name(i + 2)
         return name
 
+    def held_name(self, i: int) -> str | None:
+        """The plain name of what an ``Option`` or ``Result`` that starts at token ``i`` holds."""
+        while self.kinds[i] in ("&", "&&", "life", "mut"):
+            i += 1
+        return self.type_name(i + 2) if self.texts[i] in ("Option", "Result") and self.kinds[i + 1] == "<" else None
+
+    def unwrapped(self, pat: int, value: int) -> None:
+        """Type the name of ``Some(name) = value`` or ``Ok(name) = value``; both begin at the tokens given."""
+        kinds, texts = self.kinds, self.texts
+        if texts[pat] not in ("Some", "Ok") or kinds[pat + 1] != "(" or not self.functions:
+            return
+        at = pat + 2 + (kinds[pat + 2] == "mut")
+        if kinds[at] != "id" or kinds[at + 1] != ")":
+            return
+        it = self.functions[-1]
+        while kinds[value] in ("&", "mut"):
+            value += 1
+        alone = kinds[value] == "id" and kinds[value + 1] not in (".", "(", "::", "[", "?", "!")
+        ty = it.held.get(texts[value]) if alone else self.constructed(value) if kinds[value] in ("id", "Self") else None
+        if ty:
+            it.local[texts[at]] = ty if it.local.get(texts[at], ty) == ty else None
+
     def type_idents(self, a: int, b: int) -> list[str]:
         out, j = [], a
         while j < b:
@@ -523,11 +571,13 @@ class RustParser(Parser):
         self.i += 1
         name = self.expect("id")
         it = self.record(kind, self.texts[name], name, at, doc)
+        self.bound = {}
         if self.angle_ahead():
             self.generics()
         self.where_()
         if self.kinds[self.i] == "{":
             self.fields(it)
+            self.apply_bounds(self.bound, self.unit.fields.get(it.name, {}))
         elif self.kinds[self.i] == "(" and kind == "struct":
             self.tuple_fields(it)
             self.where_()
@@ -593,6 +643,7 @@ class RustParser(Parser):
         self.i += 1
         name = self.expect("id")
         it = self.record("trait", self.texts[name], name, at, doc)
+        self.bound = {}
         if self.angle_ahead():
             self.generics()
         if self.accept(":"):
@@ -609,6 +660,7 @@ class RustParser(Parser):
 
     def impl(self, doc, at) -> None:
         self.i += 1
+        self.bound = {}
         if self.kinds[self.i] == "<" and (self.kinds[self.i + 1] in ("life", "id", ">", "const", "#")):
             self.generics()
         self.accept("const")
@@ -730,16 +782,23 @@ class RustParser(Parser):
                         self.accept("-")
                         self.i += 1
             else:
-                self.expect("id")
+                name = self.texts[self.expect("id")]
                 if self.accept(":"):
-                    self.bounds()
+                    self.bind(name, self.bounds())
                 if self.accept("="):
                     self.type_()
             if not self.accept(","):
                 break
         self.closing_angle()
 
-    def bounds(self) -> None:
+    def bind(self, name: str, trait: str | None) -> None:
+        """A parameter keeps its first bound that has methods of its own."""
+        if trait:
+            self.bound.setdefault(name, trait)
+
+    def bounds(self) -> str | None:
+        """The first bound that is no marker."""
+        found = None
         while self.kinds[self.i] in ("id", "life", "?", "(", "for", "::", "<", "self", "super", "crate", "Self", "~", "async", "const", "use", "!"):
             if self.accept("life"):
                 pass
@@ -752,13 +811,17 @@ class RustParser(Parser):
                 if self.accept("for"):
                     self.generics()
                 self.accept("async")
+                at = self.i
                 self.path_type()
+                if found is None and (name := self.type_name(at)) and name.rsplit("::", 1)[-1] not in MARKERS:
+                    found = name
                 if paren:
                     self.expect(")")
             if not self.accept("+"):
                 break
             if self.kinds[self.i] == "+":
                 self.fail("expected a bound")
+        return found
 
     def where_(self) -> None:
         if not self.accept("where"):
@@ -772,9 +835,11 @@ class RustParser(Parser):
             else:
                 if self.accept("for"):
                     self.generics()
+                at = self.i
                 self.type_()
+                name = self.texts[at] if self.i == at + 1 else ""
                 self.expect(":")
-                self.bounds()
+                self.bind(name, self.bounds())
             if not self.accept(","):
                 break
 
@@ -1060,9 +1125,12 @@ class RustParser(Parser):
                 t = self.i
                 self.type_()
                 ty = self.type_name(t)
+                if name and self.functions:
+                    self.functions[-1].held[name] = self.held_name(t)
             if self.accept("="):
                 v = self.i
                 self.expr()
+                self.unwrapped(pat, v)
                 if ty is None and kinds[v] in ("id", "Self"):
                     ty = self.constructed(v)
                 if kinds[self.i] == "else":
@@ -1129,9 +1197,10 @@ class RustParser(Parser):
         nxt = self.kinds[self.i + 1]
         if k in ("if", "match", "while", "loop", "for", "{") or k == "unsafe" and nxt == "{" or k == "const" and nxt == "{" or k == "async" and (nxt == "{" or nxt == "move" and self.kinds[self.i + 2] == "{"):
             before = self.calls_so_far()
+            first = self.i
             self.expr_prefix(False)
-            if self.kinds[self.i] in (".", "?") :
-                self.postfix(False, before)
+            if self.kinds[self.i] in (".", "?"):
+                self.postfix(False, before, first)
                 self.binary_rest(0, False)
                 return False
             return True
@@ -1144,10 +1213,10 @@ class RustParser(Parser):
                 j += 2
             if self.kinds[j] == "id" and self.kinds[j + 1] == "!" and self.kinds[j + 2] == "{":
                 self.call(self.text[self.ats[self.i] : self.ats[j]] + self.texts[j] + "!", self.ats[j], False)
-                self.i = j + 2
+                first, self.i = self.i, j + 2
                 self.balanced()
                 if self.kinds[self.i] in (".", "?"):
-                    self.postfix(False, 0)
+                    self.postfix(False, 0, first)
                     self.binary_rest(0, False)
                     return False
                 return True
@@ -1213,14 +1282,14 @@ class RustParser(Parser):
                 self.accept("mut")
             self.unary(ns)
             return
-        before = self.calls_so_far()
+        before, first = self.calls_so_far(), self.i
         self.expr_prefix(ns)
-        self.postfix(ns, before)
+        self.postfix(ns, before, first)
         while self.kinds[self.i] == "as":
             self.i += 1
             self.type_(False)
 
-    def postfix(self, ns: bool, before: int) -> None:
+    def postfix(self, ns: bool, before: int, first: int) -> None:
         kinds = self.kinds
         while True:
             k = kinds[self.i]
@@ -1256,7 +1325,7 @@ class RustParser(Parser):
                         recv = self.texts[name - 2] if kinds[name - 2] in ("id", "self") and kinds[name - 3] != "." and kinds[name - 3] != "::" else ""
                         if kinds[name - 2] == "id" and kinds[name - 3] == "." and kinds[name - 4] == "self" :
                             recv = "self." + self.texts[name - 2]
-                        self.call(f"{recv}.{self.texts[name]}", self.ats[name], True)
+                        self.call(f"{recv}.{self.texts[name]}", self.ats[name], True, first)
                         self.arguments()
                 else:
                     self.fail("expected a field or method")
@@ -1390,9 +1459,12 @@ class RustParser(Parser):
             self.under(REPEATED, self.block)
         elif k == "let" and self.conditional:
             self.i += 1
+            pat = self.i
             self.pattern()
             self.expect("=")
+            value = self.i
             self.binary(5, True)
+            self.unwrapped(pat, value)
         elif k in ("return", "break", "continue"):
             self.i += 1
             if k != "return":
@@ -1475,7 +1547,7 @@ class RustParser(Parser):
         if self.kinds[self.i] == "{":
             self.block()
             if self.kinds[self.i] in (".", "?"):
-                self.postfix(False, 0)
+                self.postfix(False, 0, -1)
                 self.binary_rest(0, False)
                 return False
             return True

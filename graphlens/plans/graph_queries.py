@@ -237,22 +237,43 @@ def call_path(spark, d):
 
 
 # -- resolution ----------------------------------------------------------------------
-_RESOLVED = f"""{P.PARTS}, k as (select st.site, count(f.id) n, count(*) filter (f.crate = st.crate) ns, min(f.id) one, min(f.id) filter (f.crate = st.crate) mine
-from st left join f on f.name = st.name and f.lang = st.lang group by 1)"""
+def _decided(spark, d):
+    sites = P.code_sites(spark, d)
+    return resolve.decide_calls(P.code_atoms(spark, d), P.code_edges(sites), sites, P.code_imports(spark, d))
 
 
-@query(f"with {_RESOLVED} select site, case when ns = 1 then mine when ns = 0 and n = 1 then one end target, case when ns = 1 then 'same_crate' when ns = 0 and n = 1 then 'sole' when n = 0 then 'none' else 'ambiguous' end reason from k")
+def _resolved(spark, d):
+    sites = P.code_sites(spark, d)
+    return resolve.resolve_calls(P.code_atoms(spark, d), P.code_edges(sites), sites, P.code_imports(spark, d))
+
+
+@query(f"with recursive {P.CODE} select caller caller_id, prefix, fn, target, reason from rs")
 def resolve_calls(spark, d):
-    return resolve.resolve_names(P.part_sites(spark, d), P.part_functions(spark, d))
+    return _decided(spark, d).drop("lang")
 
 
-@query(f"with {_RESOLVED} select case when ns = 1 then 'same_crate' when ns = 0 and n = 1 then 'sole' when n = 0 then 'none' else 'ambiguous' end reason, count(*) n from k group by 1")
+@query(f"with recursive {P.CODE} select reason, count(*) n from rs group by 1")
 def resolve_reasons(spark, d):
-    return resolve.resolve_names(P.part_sites(spark, d), P.part_functions(spark, d)).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return _decided(spark, d).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with recursive {P.CODE}, al as (select caller src, target dst, rank from sx where target is not null union all select caller, entity, rank from ex) select src, dst, string_agg(rank::varchar, ',' order by rank) sites from al group by all")
+def resolved_edges(spark, d):
+    return _resolved(spark, d)[0].select("src", "dst", F.array_join(F.col("sites").cast("array<string>"), ",").alias("sites"))
+
+
+@query(f"with recursive {P.CODE} select distinct entity id, 'extern' kind, fn as name, prefix||'::'||fn signature from ex")
+def extern_atoms(spark, d):
+    return _resolved(spark, d)[1]
+
+
+@query(f"with {P.FILE_IMPORTS} select 'code:'||src src, 'code:'||dst dst from ie where dst is not null and src <> dst")
+def import_edges(spark, d):
+    return resolve.import_edges(*P.file_imports(spark, d))
 
 
 @query(f"""with {P.ENTITY_FILES}, i as (select repo||'/'||file importer, repo root, split_part(path, '/', -1) wanted from ep), c as (select repo||'/'||file file, repo root, split_part(path, '/', -1) b from ep),
-k as (select i.importer, i.wanted, count(c.file) n, min(c.file) one, count(*) filter (c.root = i.root) ns, min(c.file) filter (c.root = i.root) mine from i left join c on c.b = i.wanted and c.file <> i.importer group by all)
+k as (select i.importer, i.wanted, count(c.file) n, min(c.file) one, count(*) filter (c.root = i.root) ns, min(c.file) filter (c.root = i.root) mine from i left join c on c.b = i.wanted group by all)
 select importer, wanted, case when n = 1 then one when ns = 1 then mine end target, n viable from k""")
 def resolve_imports_suffix(spark, d):
     f = P.entity_files(spark, d)
@@ -282,28 +303,29 @@ def type_refs(spark, d):
 
 
 @query(f"""with recursive {P.EVENTS}, rx as (select src, dst from e where seq % 5 = 1), df as (select id from v where right(id, 1) in ('3', '7')),
-c(m, t, h) as (select src, dst, 1 from rx where src not in (select id from df) union select c.m, rx.dst, h + 1 from c join rx on rx.src = c.t where c.t not in (select id from df) and h < 6)
-select id as module, 'x' as name, 'D'||id target from df union select m, 'x', 'D'||t from c where t in (select id from df)""")
+c(m, t, h) as (select src, src, 0 from e union select c.m, rx.dst, h + 1 from c join rx on rx.src = c.t where c.t not in (select id from df) and h < 6)
+select distinct 'k' krate, m as module, 'x' as name, 'D'||t target from c where t in (select id from df)""")
 def reexport_closure(spark, d):
-    rx = P.event_edges(spark, d).where("seq % 5 = 1").select(F.col("src").alias("module"), F.lit("x").alias("name"), F.col("dst").alias("to_module"), F.lit("x").alias("to_name"))
-    df = P.event_vertices(spark, d).where(F.right("id", F.lit(1)).isin("3", "7")).select(F.col("id").alias("module"), F.lit("x").alias("name"), F.concat(F.lit("D"), "id").alias("target"))
-    return resolve.reexport_closure(rx, df)
+    edges = P.event_edges(spark, d)
+    again = edges.where("seq % 5 = 1").select(F.lit("k").alias("krate"), F.col("src").alias("module"), F.lit("x").alias("name"), F.col("dst").alias("to_module"), F.lit("x").alias("to_name"))
+    defined = P.event_vertices(spark, d).where(F.right("id", F.lit(1)).isin("3", "7")).select(F.lit("k").alias("krate"), F.col("id").alias("module"), F.lit("x").alias("name"), F.concat(F.lit("D"), "id").alias("target"))
+    return resolve.module_members(edges.select(F.lit("k").alias("krate"), F.col("src").alias("module"), F.lit("x").alias("name")), defined, again)
 
 
-_MODULES = f"""{P.ENTITY_FILES}, r0 as (select repo, left(file, length(file) - 3) r from ef where file like '%.rs'), r1 as (select repo k, case when r like 'src/%' then substr(r, 5) else r end r from r0),
-md as (select distinct k, replace(r, '/', '::') p from r1), tr as (select distinct k, array_to_string(l[1:n], '::') p from (select k, string_split(p, '::') l from md), unnest(range(1, len(l) + 1)) u(n))"""
+_MODULES = f"""{P.ENTITY_FILES}, r0 as (select repo, left(file, length(file) - 3) r from ef where file like '%.rs'), r1 as (select distinct repo k, case when r like 'src/%' then substr(r, 5) else r end r from r0),
+md as (select distinct k, case when r in ('lib', 'main', 'mod') then '' else replace(case when r like '%/mod' then left(r, -4) else r end, '/', '::') end p from r1)"""
 
 
-@query(f"""with {_MODULES}, want as (select distinct k krate, p||case when length(p) % 2 = 0 then '' else '::missing' end path from md),
-g as (select krate, path, array_to_string(l[1:n], '::') p from (select *, string_split(path, '::') l from want), unnest(range(1, len(l) + 1)) u(n))
-select krate, path, bool_and(tr.p is not null) found from g left join tr on tr.k = krate and tr.p = g.p group by all""")
+@query(f"""with {_MODULES}, want as (select distinct k krate, 'crate::'||p||case when length(p) % 2 = 0 then '' else '::missing' end path, p||case when length(p) % 2 = 0 then '' else '::missing' end w from md where p <> ''),
+g as (select krate, path, w, array_to_string(l[1:n], '::') p from (select *, string_split(w, '::') l from want), unnest(range(1, len(l) + 1)) u(n))
+select g.krate, path, case when bool_and(md.p is not null) then w end as module from g left join md on md.k = g.krate and md.p = g.p group by g.krate, path, w""")
 def module_path_exists(spark, d):
     f = P.entity_files(spark, d).where("file like '%.rs'")
     rel = F.regexp_replace(F.regexp_replace("file", r"\.rs$", ""), "^src/", "")
-    tree = f.select(F.concat("repo", F.lit("/src/"), rel, F.lit(".rs")).alias("file_path"), F.lit("").alias("scope"))
-    path = F.replace(rel, F.lit("/"), F.lit("::"))
-    want = f.select(F.col("repo").alias("krate"), F.concat(path, F.when(F.length(path) % 2 == 0, "").otherwise("::missing")).alias("path"))
-    return resolve.paths_exist(want, resolve.module_tree(tree))
+    atoms = f.select(F.concat("repo", F.lit("/src/"), rel, F.lit(".rs")).alias("file_path"), F.lit("").alias("scope"))
+    tree = resolve.module_tree(atoms)
+    want = tree.where("path <> ''").select("krate", F.lit("").alias("here"), F.concat(F.lit("crate::"), "path", F.when(F.length("path") % 2 == 0, "").otherwise("::missing")).alias("path"), F.lit(False).alias("apart"))
+    return resolve.resolve_paths(want, tree).select("krate", "path", "module")
 
 
 # -- differences, storage, catalogs ------------------------------------------------
@@ -431,28 +453,25 @@ def _module_files(spark, d):
     return best.select(F.concat("repo", F.lit("/"), "path").alias("path"), "b.content")
 
 
-@query()
-def resolved_edges(spark, d):
+def _whole(spark, d):
+    from ..engine import resolved
     from ..session import cut
 
-    rows = cut(parsing.parse_files(_module_files(spark, d)))
-    atoms = graph.upsert(parsing.atoms_of(rows)).drop("seq_first")
-    packages = resolve.package_reexports(parsing.imports_of(rows))
-    return resolve.resolve_calls(atoms, parsing.edges_of(rows), parsing.call_sites_of(rows), packages)[0].select("src", "dst", F.array_join(F.col("sites").cast("array<string>"), ",").alias("sites"))
+    return resolved(cut(parsing.parse_files(_module_files(spark, d))))
 
 
 @query()
-def resolved_type_uses(spark, d):
-    from ..session import cut
+def resolved_sources(spark, d):
+    """The whole graph of the sources, one module a path of its repo: edges of every kind."""
+    return _whole(spark, d).edges.select("src", "dst", "kind", F.array_join(F.col("sites").cast("array<string>"), ",").alias("sites"))
 
-    rows = cut(parsing.parse_files(_module_files(spark, d)))
-    types = graph.upsert(parsing.atoms_of(rows)).where("kind in ('struct', 'enum', 'trait', 'union', 'type_alias')")
-    return resolve.type_targets(parsing.type_refs_of(rows), types)
 
-
-@query()
+@query(r"""with a as (select repo, replace(file, '\', '/') file from index_entities), r as (select distinct repo, left(file, -3) r from a where file like '%.rs'), x as (select repo, case when r like 'src/%' then substr(r, 5) else r end r, r like 'src/%' or r like '%/src/%' own from r)
+select distinct case when r like '%/src/%' then repo||'/'||left(r, instr(r, '/src/') - 1) when own then repo else '' end krate, case when rel in ('lib', 'main', 'mod') then '' else replace(case when rel like '%/mod' then left(rel, -4) else rel end, '/', '::') end as path
+from (select *, case when r like '%/src/%' then substr(r, instr(r, '/src/') + 5) when own then r else repo||'/'||r end rel from x)""")
 def module_tree(spark, d):
-    return resolve.module_tree(parsing.atoms_of(parsing.parse_files(_module_files(spark, d))))
+    f = P.entity_files(spark, d)
+    return resolve.module_tree(f.select(F.concat("repo", F.lit("/"), "file").alias("file_path"), F.lit("").alias("scope")))
 
 
 @query(f"""with {P.TRADE} select src, dst from e where src = 'C1'""")

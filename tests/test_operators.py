@@ -320,10 +320,118 @@ def test_sequence(spark):
     assert "self-)p: go (await)" in text and text.startswith("sequenceDiagram\n    autonumber\n    participant self as self")
 
 
-def test_reexport_shadowing(spark):
-    r = spark.createDataFrame([("a", "x", "b", "x"), ("b", "x", "c", "y"), ("d", "x", "a", "x"), ("c", "y", "d", "x"), ("e", "x", "e", "x")], "module string, name string, to_module string, to_name string")
-    d = spark.createDataFrame([("c", "y", "T")], "module string, name string, target string")
-    assert rows(resolve.reexport_closure(r, d)) == {("c", "y", "T"), ("b", "x", "T"), ("a", "x", "T"), ("d", "x", "T")}
+def _told(path, src):
+    return [(r[6], r[7]) for r in sequence.file_steps(path, src.encode()) if r[4] == "call"]
+
+
+def test_steps_go_to_the_root_of_their_receiver():
+    assert _told("a.rs", "fn f(a: A) { x::y::zed(); a.b.go(); self.p.q(); Self::z(); foo().bar(); (a).k(); \"s\".len(); m::n!(h()); }") == [("x", "zed"), ("a", "go"), ("self", "q"), ("self", "z"), ("self", "foo"), ("foo", "bar"), ("a", "k"), ("self", "len"), ("self", "m::n!"), ("self", "h")]
+    assert _told("a.dart", "void f(A b) { b..x()..y(); b.c.go(); b?.z(); StringBuffer()..write(build()); }") == [("b", "x"), ("b", "y"), ("b", "go"), ("b", "z"), ("self", "StringBuffer"), ("StringBuffer", "write"), ("self", "build")]
+    assert _told("a.py", "def f(a):\n    a.b.go()\n    self.p.q()\n    ', '.join(a)\n") == [("a", "go"), ("self", "q"), ("self", "join")]
+
+
+def test_only_quiet_macros_and_wrappers_are_no_steps():
+    assert _told("a.rs", "fn f() { assert_eq!(a(), 1); debug_assert_ne!(1, 2); matches!(b(), X); todo!(); println!(\"{}\", c()); vec![d()]; out.write(1); out.format(2); Some(e()); x.ok(); m::Ok(1); }") == [
+        ("self", "a"), ("self", "b"), ("self", "println!"), ("self", "c"), ("self", "vec!"), ("self", "d"), ("out", "write"), ("out", "format"), ("self", "e"), ("x", "ok"), ("m", "Ok")]
+    assert _told("a.py", "def f(s):\n    print(2)\n    s.format(1)\n    Ok(3)\n") == [("self", "print"), ("s", "format"), ("self", "Ok")]
+
+
+def test_functions_are_listed_in_the_order_of_their_source(spark):
+    src = spark.createDataFrame([("a.py", b"def b(): pass\ndef a(): pass\nclass C:\n    def a(self): x()\ndef b(): y()\n")], "path string, content binary")
+    assert [r["fn_name"] for r in sequence.list_functions(src).orderBy("place").collect()] == ["b", "a", "C::a"]
+    assert [r[7] for r in sequence.file_steps("a.py", b"def b(): x()\ndef b(): y()\n")] == ["x"]  # the first of one name counts
+
+
+IMPORTS = "file_path string, module_id string, local string, target string, is_glob boolean, is_public boolean, is_inner boolean, pos int"
+
+
+def _graph(spark, files):
+    return engine.analyze(spark.createDataFrame([(p, t.encode()) for p, t in files], "path string, content binary"))
+
+
+def _calls(g):
+    short = lambda x: x.replace("code:", "").replace("::function::", "#")
+    return {(short(r["src"]), short(r["dst"])) for r in g.edges.where("kind = 'calls'").collect()}
+
+
+def test_rust_paths_and_reexports(spark):
+    g = _graph(spark, [
+        ("c/src/lib.rs", "pub mod a;\npub mod b;\nmod main2;\n"), ("c/src/a/mod.rs", "pub use self::deep::inner as outer;\npub use crate::b::*;\npub mod deep;\npub fn twin() {}\n"),
+        ("c/src/a/deep.rs", "pub fn inner() {}\npub fn twin() {}\n"), ("c/src/b.rs", "pub fn star() {}\nmod sub { pub fn low() { super::star(); } }\n"),
+        ("c/src/main2.rs", "use crate::a;\nfn f() { a::outer(); crate::a::star(); crate::a::twin(); a::nowhere(); crate::b::sub::low(); serde::load(); }\n"),
+        ("c/src/bin/tool.rs", "fn main() { c::a::outer(); rand::a::outer(); std::a::outer(); }\n"),
+    ])
+    got = _calls(g)
+    assert {("c/src/main2.rs#f", "c/src/a/deep.rs#inner"), ("c/src/main2.rs#f", "c/src/b.rs#star"), ("c/src/main2.rs#f", "c/src/a/mod.rs#twin"), ("c/src/main2.rs#f", "c/src/b.rs#sub::low"), ("c/src/b.rs#sub::low", "c/src/b.rs#star"),
+            ("c/src/main2.rs#f", "extern:serde::load"), ("c/src/bin/tool.rs#main", "c/src/a/deep.rs#inner")} <= got, got
+    assert not any("nowhere" in d or d == "c/src/a/deep.rs#twin" for _, d in got)
+
+
+def test_python_reexports_go_four_hops(spark):
+    chain = [(f"p{k}/__init__.py", f"from .p{k + 1} import f\n") for k in range(6)]
+    g = _graph(spark, [*chain, ("x/p4.py", "def f(): pass\n"), ("x/p9.py", "def f(): pass\n"), ("m0.py", "from p0 import f\ndef a(): f()\n"), ("q/__init__.py", "from .p4 import f\n"), ("n.py", "from q import f\ndef b(): f()\n")])
+    assert ("n.py#b", "x/p4.py#f") in _calls(g) and ("m0.py#a", "x/p4.py#f") in _calls(g)
+
+
+def test_a_question_is_not_answered_by_its_caller_or_what_is_linked(spark):
+    atoms = [("f1", "run", "a/src/x.rs", None), ("f2", "run", "a/src/y.rs", None), ("f3", "go", "a/src/z.rs", None), ("m1", "act", "a/src/x.rs", "T<U>"), ("m2", "act", "b/src/x.rs", "T")]
+    a = spark.createDataFrame([(i, "function", n, p, "", o) for i, n, p, o in atoms], "id string, kind string, name string, file_path string, scope string, parent string")
+    sites = spark.createDataFrame([("f3", "run", 0, 0, False), ("f1", "run", 1, 0, False), ("f3", "T::act", 2, 0, False), ("m2", "T::act", 3, 0, False), ("f3", "new", 4, 0, False), ("f3", "ext::call", 5, 0, False), ("f3", "Vec::make", 6, 8, False)], "caller_id string, name string, rank int, flags int, is_method boolean")
+    none = spark.createDataFrame([], "src string, dst string, kind string, sites array<int>")
+    linked = spark.createDataFrame([("f3", "f2", "calls", [9])], "src string, dst string, kind string, sites array<int>")
+    say = lambda e: {(r["caller_id"], r["fn"]): (r["target"], r["reason"]) for r in resolve.decide_calls(a, e, sites).collect()}
+    assert say(none) == {("f3", "run"): (None, "unresolved"), ("f1", "run"): (None, "unresolved"), ("f3", "act"): ("m1", "owner"), ("m2", "act"): ("m1", "owner"), ("f3", "call"): (None, "unresolved"), ("f3", "make"): (None, "unresolved")}
+    assert say(linked)["f3", "run"] == ("f1", "bare")
+    edges, externs = resolve.resolve_calls(a, none, sites)
+    assert rows(externs.select("id")) == {("extern:ext::call",)} and rows(edges.select("src", "dst")) == {("f3", "m1"), ("m2", "m1"), ("f3", "extern:ext::call")}
+    assert resolve.decide_calls(a.limit(0), none, sites.limit(0)).count() == 0
+
+
+def test_bounds_type_their_parameters(spark):
+    src = "pub trait Store { fn get(&self); }\npub struct Disk;\nimpl Disk { fn read(&self) {} }\n"
+    use = "use crate::st::{Store, Disk};\nstruct W<S: Store> { s: S }\nimpl<S> W<S> where S: Store { fn a(&self) { self.s.get(); } }\nfn f<T: Clone + Store>(a: T) { a.get() }\nfn g(o: Option<Disk>) { if let Some(d) = o { d.read(); } }\nfn h(o: &Option<Disk>) { let Some(d) = o else { return }; d.read(); }\n"
+    g = _graph(spark, [("src/st.rs", src), ("src/u.rs", use)])
+    sites = {(r["caller_id"].rsplit("::", 1)[-1], r["name"]) for r in g.call_sites.collect()}
+    assert {("f", "crate::st::Store::get"), ("g", "crate::st::Disk::read"), ("h", "crate::st::Disk::read")} <= sites, sites
+    assert {("src/u.rs#f", "src/st.rs#Store::get"), ("src/u.rs#g", "src/st.rs#Disk::read"), ("src/u.rs#W<S>::a", "src/st.rs#Store::get")} <= _calls(g), _calls(g)
+
+
+def test_inner_names_are_looked_up_outward(spark):
+    g = _graph(spark, [("src/a.rs", "fn top() {}\nmod m { fn near() {} fn twin() {} mod n { fn f() { near(); top(); twin(); } fn twin() {} } }\nfn twin() {}\n")])
+    assert {("src/a.rs#m::n::f", "src/a.rs#m::near"), ("src/a.rs#m::n::f", "src/a.rs#top"), ("src/a.rs#m::n::f", "src/a.rs#m::n::twin")} == _calls(g)
+
+
+def test_a_large_class_takes_linear_time():
+    import time
+
+    took = []
+    for n in (500, 4000):
+        src = ("class A:\n" + "".join(f"    def m{k}(self): self.m{k + 1}()\n" for k in range(n))).encode()
+        began = time.perf_counter()
+        parsing.unit_rows("a.py", src)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 20 * took[0]
+
+
+def test_imports_of_every_language(spark):
+    g = _graph(spark, [("pkg/__init__.py", ""), ("pkg/m.py", "from . import n\nfrom .n import x\nimport far.lib\n"), ("pkg/n.py", "x = 1\n"), ("src/far/lib.py", ""), ("d/a/b.dart", "import '../c.dart';\nimport 'package:kit/a/z.dart';\nimport '../../../up.dart';\n"), ("d/c.dart", ""), ("d/a/z.dart", ""),
+                       ("k/src/lib.rs", "mod a;\nmod b;\n"), ("k/src/a.rs", "use crate::b::Thing;\nmod t { use super::*; }\n"), ("k/src/b.rs", "pub use crate::c::Thing;\n"), ("k/src/c.rs", "pub struct Thing;\n")])
+    got = {(a[5:], b[5:]) for a, b in rows(g.edges.where("kind = 'imports'").select("src", "dst"))}
+    assert got == {("pkg/m.py", "pkg/__init__.py"), ("pkg/m.py", "pkg/n.py"), ("pkg/m.py", "src/far/lib.py"), ("d/a/b.dart", "d/c.dart"), ("d/a/b.dart", "d/a/z.dart"), ("k/src/a.rs", "k/src/c.rs"), ("k/src/b.rs", "k/src/c.rs")}
+
+
+def test_impact_follows_the_order_of_the_files(spark):
+    rng = random.Random(4)
+    names = [f"f{k}" for k in range(24)]
+    files = [(f"src/{c}.rs", "".join(f"pub fn {n}() {{ " + " ".join(f"{m}();" for m in rng.sample(names, 2)) + " }\n" for n in names[k::4])) for k, c in enumerate("dacb")]
+    g = _graph(spark, files)
+    edges = [(r["src"], r["dst"], r["seq"]) for r in g.edges.where("kind = 'calls'").collect()]
+    root = next(s for s, _, _ in sorted(edges))
+    assert sorted({e[2]["path"] for e in edges}) == sorted(p for p, _ in files)
+    for reverse in (False, True):
+        e, n = traverse.bounded_bfs(g.edges.where("kind = 'calls'").select("src", "dst", "seq"), root, 3, reverse)
+        want = _walk(edges, root, 3, reverse)
+        assert rows(e) == want[0] and {r["id"] for r in n.collect()} == want[1]
 
 
 def test_git_source_and_files(spark, tmp_path):
