@@ -128,31 +128,84 @@ def flow(g: graph.CodeGraph, target: str, depth: int = 3, external: str = "near"
     return {"nodes": nodes, "edges": drawn, "cycle": got["cycle"], "skipped": skipped}
 
 
-def knowledge_graph(g: graph.CodeGraph, max_nodes: int = 150, kinds: tuple[str, ...] = ("function", *schema.STRUCT_KINDS), edge_kinds: tuple[str, ...] = ("calls", "uses", "contains", "implements", "imports"), include_private: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The best connected items within a node budget, their files, and typed edges."""
+# Names that select kinds of edges, and what is drawn by default.
+EDGE_NAMES = {"calls": "calls", "imports": "imports", "references": "references", "uses": "references", "implements": "implements", "defines": "defines", "contains": "defines", "extern": "depends on", "deps": "depends on"}
+GRAPH_KINDS = ("function", "struct", "enum", "trait", "type_alias")
+GRAPH_EDGES = ("calls", "imports", "references", "implements", "depends on")
+
+
+def _candidates(g: graph.CodeGraph, kinds: tuple[str, ...], include_private: bool) -> DataFrame:
     d = graph.degrees(g.atoms, g.edges)
     a = g.atoms.where((F.col("kind") != "module") & (F.col("kind") != "extern") & (F.col("file_path") != "") & F.col("kind").isin(*kinds)).join(d, "id")
-    if not include_private:
-        a = a.where(S.is_public(F.col("signature"), F.col("name"), F.col("file_path")) | (F.col("cross_degree") > 0))
-    kept = cut(graph.budget_best(a, max_nodes).join(g.atoms.drop("file_path"), "id"))
-    items = kept.select("id", S.item_label(F.col("kind"), F.col("name"), F.col("parent"), F.col("file_path")).alias("label"), "kind")
-    files = kept.select(F.concat(F.lit("code:"), "file_path").alias("id"), F.col("file_path").alias("label"), F.lit("module").alias("kind")).distinct()
-    nodes = items.unionByName(files)
-    typed = graph.typed_edges(nodes, g.edges.where(F.col("kind").isin(*edge_kinds)))
-    place = kept.select("id", F.concat(F.lit("code:"), "file_path").alias("f"))
-    links = typed.where("label not in ('imports', 'defines')").join(place.select(F.col("id").alias("src"), F.col("f").alias("fs")), "src").join(place.select(F.col("id").alias("dst"), F.col("f").alias("fd")), "dst").select(F.col("fs").alias("src"), F.col("fd").alias("dst")).distinct()
-    imports = typed.where("label = 'imports'").join(links, ["src", "dst"], "left_anti")
-    return nodes, typed.where("label <> 'imports'").unionByName(imports)
+    if include_private:
+        return a
+    return a.where(S.is_public(F.col("signature"), F.col("name"), F.col("file_path")) | (F.col("cross_degree") > 0))
 
 
-def sequences(files: DataFrame, target: str | None = None) -> DataFrame:
+def knowledge_graph(g: graph.CodeGraph, max_nodes: int = 150, kinds: tuple[str, ...] = GRAPH_KINDS, edges: tuple[str, ...] = GRAPH_EDGES, include_private: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The best connected items within a node budget, their files and dependencies, and typed edges.
+
+    nodes: id, label, cls, file_path, line_start; edges: src, label, dst.
+    Dependencies come on top of the budget.  ``edges``: names as drawn, see
+    ``EDGE_NAMES``.
+    """
+    kept = cut(graph.budget_best(_candidates(g, kinds, include_private), max_nodes).select("id", "rank").join(g.atoms, "id"))
+    start = F.col("line_start") if "line_start" in kept.columns else F.lit(0)
+    items = kept.select("id", S.item_label(F.col("kind"), F.col("name"), F.col("parent"), F.col("file_path")).alias("label"), F.when(F.col("kind") == "function", "functionNode").otherwise("classNode").alias("cls"), "file_path", start.alias("line_start"))
+    held = kept.select("file_path").distinct()
+    files = held.select(F.concat(F.lit("code:"), "file_path").alias("id"), S.basename(F.col("file_path")).alias("label"), F.lit("fileNode").alias("cls"), "file_path", F.lit(0).alias("line_start"))
+    nodes = items.unionByName(files)
+    found = graph.typed_edges(nodes, g.edges).where("src <> dst and label in ('calls', 'references')").where(F.col("label").isin(*edges))
+    place = kept.select("id", "file_path", "kind", "name", "parent")
+    ends = lambda e: e.join(place.select(F.col("id").alias("src")), "src", "left_semi").join(place.select(F.col("id").alias("dst")), "dst", "left_semi")
+    if "implements" in edges:
+        types = place.where(F.col("parent").isNull() & F.col("kind").isin(*resolve.TYPE_KINDS))
+        found = found.unionByName(ends(graph.implement_owners(g.atoms, g.edges, types)).select("src", F.lit("implements").alias("label"), "dst")).unionByName(ends(graph.dispatches(g.atoms, g.edges)).select("src", F.lit("dispatches to").alias("label"), "dst"))
+    if "defines" in edges:
+        found = found.unionByName(place.select(F.concat(F.lit("code:"), "file_path").alias("src"), F.lit("defines").alias("label"), F.col("id").alias("dst")))
+    found = cut(found.distinct())
+    if "imports" in edges:
+        at = lambda c, n: place.select(F.col("id").alias(c), F.col("file_path").alias(n))
+        linked = found.join(at("src", "src_file"), "src").join(at("dst", "dst_file"), "dst").select("src_file", "dst_file")
+        modules = g.atoms.where("kind = 'module'").select("id", "file_path").join(held, "file_path", "left_semi")
+        imports = g.edges.where("kind = 'imports' and src <> dst").join(modules.select(F.col("id").alias("src"), F.col("file_path").alias("src_file")), "src").join(modules.select(F.col("id").alias("dst"), F.col("file_path").alias("dst_file")), "dst").select("src_file", "dst_file")
+        found = found.unionByName(graph.suppressed_imports(imports, linked).select(F.concat(F.lit("code:"), "src_file").alias("src"), F.lit("imports").alias("label"), F.concat(F.lit("code:"), "dst_file").alias("dst")))
+    if "depends on" in edges:
+        deps = cut(graph.dependencies(g.atoms, g.edges).join(held, "file_path", "left_semi"))
+        entity = F.concat(F.lit("dep:"), "head")
+        nodes = nodes.unionByName(deps.select(entity.alias("id"), F.col("head").alias("label"), F.lit("dependencyNode").alias("cls"), F.lit(None).cast("string").alias("file_path"), F.lit(0).alias("line_start")).distinct())
+        found = found.unionByName(deps.select(F.concat(F.lit("code:"), "file_path").alias("src"), F.lit("depends on").alias("label"), entity.alias("dst")))
+    return nodes, found
+
+
+def graph_text(g: graph.CodeGraph, max_nodes: int = 150, kinds: tuple[str, ...] = GRAPH_KINDS, edges: tuple[str, ...] = GRAPH_EDGES, group_depth: int = 2, include_private: bool = False, fmt: str = "mermaid") -> str:
+    """The knowledge graph as a diagram with nested groups; what did not fit is counted."""
+    nodes, found = knowledge_graph(g, max_nodes, kinds, edges, include_private)
+    nodes = cut(nodes)
+    n = {r["cls"]: r["n"] for r in nodes.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).collect()}
+    items = n.get("functionNode", 0) + n.get("classNode", 0)
+    head = render.graph_head(n.get("fileNode", 0), items, n.get("dependencyNode", 0), _candidates(g, kinds, include_private).count() - items, fmt)
+    return render.document(render.graph_lines(nodes, found, group_depth, fmt), head, "}" if fmt == "dot" else "").first()["text"]
+
+
+def sequences(files: DataFrame, target: str | None = None, most: int = sequence.MAX_DEPTH) -> DataFrame:
     """``fn_id, diagram`` of every function, or of the one called ``target``."""
-    s = sequence.steps(files)
+    s = sequence.steps(files, most)
     if target:
         s = s.where((F.col("fn_id") == target) | (F.col("fn_name") == target) | F.endswith("fn_id", F.lit("::" + target)))
     return sequence.text(s)
 
 
+def documents(g: graph.CodeGraph, source_root: str, generated_at: str, files: DataFrame | None = None) -> DataFrame:
+    """``path, content`` of a bundle; with ``files`` also the sequences of their functions."""
+    drawn = None
+    if files is not None:
+        fn = sequences(files).select(F.col("fn_id").alias("id"), "diagram").join(g.atoms.select("id", "file_path"), "id")
+        drawn = fn.select("file_path", S.qualified_fn_name(F.col("id")).alias("fn_name"), "diagram")
+    n, e = overview(g)
+    return catalog.documents(g.atoms.where("kind <> 'extern'"), g.edges, render.mermaid(n, e), source_root, generated_at, drawn)
+
+
 def bundle(g: graph.CodeGraph, root: str, snapshot: str, force: bool = False) -> bool:
     return catalog.write(catalog.rows(g.atoms, g.edges), root, snapshot, force)
 
@@ -165,6 +218,15 @@ def compare(spark, root: str, old: str, new: str) -> tuple[DataFrame, DataFrame]
     return c, diff.blast_radius(c, edges)
 
 
+def difference_text(spark, root: str, old: str, new: str) -> str:
+    """The differences of two bundled snapshots as a flowchart."""
+    a, b = catalog.read(spark, root, old), catalog.read(spark, root, new)
+    c, _ = compare(spark, root, old, new)
+    about = b.select("id", "kind", "name", "file").unionByName(a.join(b.select("id"), "id", "left_anti").select("id", "kind", "name", "file"))
+    edges = b.select(F.col("id").alias("src"), F.explode("edges_out").alias("dst"))
+    return render.document(diff.lines(c.join(about, "id", "left"), edges), diff.head(old, new)).first()["text"]
+
+
 def text(nodes: DataFrame, edges: DataFrame, fmt: str = "mermaid") -> str:
     df = render.dot(nodes, edges) if fmt == "dot" else render.mermaid(nodes, edges)
     return df.first()["text"]

@@ -26,6 +26,10 @@ class CodeGraph:
     def atoms_in_file(self, path: str) -> DataFrame:
         return self.atoms.where(F.col("file_path") == path)
 
+    def items_in_order(self, path: str) -> DataFrame:
+        """The items of a file by line, then by id."""
+        return self.atoms_in_file(path).where("kind <> 'module'").orderBy("line_start", "id")
+
     def atom(self, entity: str) -> DataFrame:
         return self.atoms.where(F.col("id") == entity)
 
@@ -259,3 +263,38 @@ def typed_edges(atoms: DataFrame, edges: DataFrame) -> DataFrame:
     e = edges.where(F.col("kind").isin("calls", "uses", "contains", "implements", "imports"))
     e = e.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
     return e.select("src", label[F.col("kind")].alias("label"), "dst").distinct()
+
+
+def dependencies(atoms: DataFrame, edges: DataFrame) -> DataFrame:
+    """``file_path, head``: which files call into which dependency outside the graph."""
+    ext = atoms.where("kind = 'extern' and signature is not null").select(F.col("id").alias("dst"), F.substring_index("signature", "::", 1).alias("head")).where(S.is_dependency_name(F.col("head")))
+    by = atoms.where("kind = 'function' and file_path <> ''").select(F.col("id").alias("src"), "file_path")
+    return edges.where("kind = 'calls'").select("src", "dst").join(ext, "dst").join(by, "src").select("file_path", "head").distinct()
+
+
+def implement_owners(atoms: DataFrame, edges: DataFrame, types: DataFrame) -> DataFrame:
+    """``src, dst``: from the implementing type to the trait, drawn instead of from the impl.
+
+    ``types``: id, name, file_path of the types that may own an impl.  The type
+    is looked for in the impl's file, then in the files that it imports, then
+    anywhere; each place decides if it has exactly one, and the next is asked
+    only if it has none.
+    """
+    impl = atoms.where((F.col("kind") == "impl") & (F.instr("name", " for ") > 0)).select(F.col("id").alias("impl_id"), F.col("file_path").alias("file"), F.element_at(F.split(S.strip_generics(F.substring("name", F.instr("name", " for ") + 5, F.lit(1 << 30))), "::"), -1).alias("t"))
+    of = types.select(F.col("id").alias("type_id"), F.col("name").alias("t"), F.col("file_path").alias("type_file"))
+    one = [F.count(F.lit(1)).alias("n"), F.min("type_id").alias("type_id")]
+    here = of.groupBy("t", F.col("type_file").alias("file")).agg(*one)
+    anywhere = of.groupBy("t").agg(F.count(F.lit(1)).alias("n_any"), F.min("type_id").alias("any"))
+    files = atoms.where("kind = 'module'").select("id", "file_path")
+    imported = edges.where("kind = 'imports'").select("src", "dst").distinct().join(files.select(F.col("id").alias("src"), F.col("file_path").alias("file")), "src").join(files.select(F.col("id").alias("dst"), F.col("file_path").alias("type_file")), "dst").select("file", "type_file")
+    near = impl.join(imported, "file").join(here.withColumnRenamed("file", "type_file"), ["t", "type_file"]).groupBy("impl_id").agg(F.sum("n").alias("n_near"), F.min("type_id").alias("near"))
+    found = impl.join(here.select("t", "file", F.col("n").alias("n_here"), F.col("type_id").alias("here")), ["t", "file"], "left").join(near, "impl_id", "left").join(anywhere, "t", "left")
+    pick = F.when(F.col("n_here").isNotNull(), F.when(F.col("n_here") == 1, F.col("here"))).when(F.col("n_near").isNotNull(), F.when(F.col("n_near") == 1, F.col("near"))).when(F.col("n_any") == 1, F.col("any"))
+    owner = found.select("impl_id", pick.alias("owner")).where("owner is not null")
+    return edges.where("kind = 'implements'").select(F.col("src").alias("impl_id"), "dst").join(owner, "impl_id").select(F.col("owner").alias("src"), "dst").distinct()
+
+
+def dispatches(atoms: DataFrame, edges: DataFrame) -> DataFrame:
+    """``src, dst``: from a trait's method to the methods that implement it."""
+    fns = atoms.where("kind = 'function'").select("id")
+    return edges.where("kind = 'implements'").select(F.col("dst").alias("src"), F.col("src").alias("dst")).join(fns.withColumnRenamed("id", "src"), "src", "left_semi").join(fns.withColumnRenamed("id", "dst"), "dst", "left_semi").distinct()

@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import subprocess
@@ -61,6 +62,29 @@ def revision(repo: str, ref: str) -> str:
     return subprocess.run(_git(repo, "rev-parse", "--verify", "--end-of-options", f"{ref}^{{commit}}"), check=True, capture_output=True, text=True, env=_env()).stdout.strip()
 
 
+def toplevel(repo: str) -> str:
+    """The root folder of a working tree."""
+    return subprocess.run(_git(repo, "rev-parse", "--show-toplevel"), check=True, capture_output=True, text=True, env=_env()).stdout.strip()
+
+
+def subdirectory(repo: str) -> str:
+    """A folder's place below its working tree, empty for the root."""
+    below = os.path.relpath(os.path.realpath(repo), os.path.realpath(toplevel(repo)))
+    return "" if below == "." else below
+
+
+def tracked_files(folder: str) -> int:
+    """How many files below ``folder`` git tracks; 0 outside a repository."""
+    got = subprocess.run(_git(folder, "ls-files", "-z", "--", "."), capture_output=True, env=_env())
+    return got.stdout.count(b"\0") if got.returncode == 0 else 0
+
+
+def snapshot_id(repo: str, ref: str) -> str:
+    """The commit of a ref, with eight hex digits of the subdirectory's hash if ``repo`` is one."""
+    below = subdirectory(repo)
+    return revision(repo, ref) + (f"-{hashlib.sha1(below.encode()).hexdigest()[:8]}" if below else "")
+
+
 def read_blobs(repo: str, shas: list[str]) -> Iterator[bytes]:
     """Contents in order, from one ``cat-file`` process."""
     if bad := [s for s in shas if not _SHA.fullmatch(s)]:

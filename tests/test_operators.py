@@ -1,6 +1,9 @@
 """Core operators on small tables: properties, nulls, ties, empty input."""
 
 import datetime as dt
+import hashlib
+import json
+import os
 import random
 import subprocess
 
@@ -293,8 +296,14 @@ def test_views(analysis):
     assert ("code:src/beta.rs::function::second", "code:src/beta.rs::function::third") in rows(edges)
     f = engine.flow(analysis, "ready")
     assert f["edges"].count() > 0 and f["nodes"].count() > 0
-    kn, ke = engine.knowledge_graph(analysis, 40)
-    assert kn.count() > 3 and "calls" in {r["label"] for r in ke.collect()}
+    kn, ke = engine.knowledge_graph(analysis, 60, include_private=True)
+    drawn = {(r["src"].replace("code:", ""), r["label"], r["dst"].replace("code:", "")) for r in ke.collect()}
+    assert {("src/alpha.rs::struct::Store", "implements", "src/alpha.rs::trait::Run"), ("src/alpha.rs::function::Run::run", "dispatches to", "src/alpha.rs::function::Run for Store::run"), ("src/alpha.rs", "depends on", "dep:missing"), ("lib/a.dart::function::f", "calls", "lib/b.dart::function::g")} <= drawn, drawn
+    assert not any(x == ("lib/a.dart", "imports", "lib/b.dart") for x in drawn)  # an item edge says it already
+    for fmt, first, last in (("mermaid", "graph TD", ""), ("dot", "digraph g {", "}")):
+        text = engine.graph_text(analysis, 40, fmt=fmt)
+        assert text.startswith(first) and text.endswith(last) and text.count("subgraph") == text.count("\n" + " " * 4 + ("}" if fmt == "dot" else "end")) + sum(text.count("\n" + " " * k + ("}" if fmt == "dot" else "end")) for k in (8, 12))
+        assert "depends on" in text and "missing" in text
     assert engine.module(analysis, "src/beta.rs")[1].count() > 2
     assert engine.function(analysis, "third")[1].count() == 2
     with pytest.raises(LookupError):
@@ -434,6 +443,116 @@ def test_impact_follows_the_order_of_the_files(spark):
         assert rows(e) == want[0] and {r["id"] for r in n.collect()} == want[1]
 
 
+def test_differences_as_text(spark, tmp_path):
+    cat = "id string, kind string, name string, file string, content_hash string, edges_out array<string>, edges_in array<string>"
+    row = lambda i, h, out=(): (f"code:a.rs::function::{i}", "function", i, "a.rs", h, [f"code:a.rs::function::{x}" for x in out], [])
+    old = spark.createDataFrame([row("a", "1"), row("b", "2"), row("c", "3"), row("e", "5")], cat)
+    new = spark.createDataFrame([row("a", "9", ["d"]), row("d", "4"), row("c2", "3"), row("e", "5")], cat)
+    catalog.write(old, str(tmp_path), "o")
+    catalog.write(new, str(tmp_path), "n")
+    text = engine.difference_text(spark, str(tmp_path), "o", "n").splitlines()
+    assert text[0] == "graph TD" and "o → n" in text[1] and [x.strip() for x in text[6:]] == [
+        "%% added (1)", 'n0["fn d (a.rs)"]:::added', "%% removed (1)", 'n1["fn b (a.rs)"]:::removed', "%% modified (1)", 'n2["fn a (a.rs)"]:::modified', "%% renamed (1)",
+        'n3["a.rs::function::c ↪ a.rs::function::c2"]:::renamed', "%% blast-radius edges (both ends changed)", "n2 --> n0"]
+    assert rows(diff.unchanged(old, new)) == {("code:a.rs::function::e",)}
+
+
+def test_bundles_are_reconciled(spark, tmp_path, analysis):
+    from graphlens.operators import store
+
+    s = store.Store(spark, str(tmp_path / "s"))
+    src = spark.createDataFrame([("src/beta.rs", B_RS.encode())], "path string, content binary")
+    docs = engine.documents(analysis, "root", "2025-01-01T00:00:00Z", src)
+    first = s.put_bundle("w", docs)
+    assert first["written"] == docs.count() and first["pruned"] == first["kept"] == 0
+    by = {r["path"]: r["content"] for r in s.bundle("w").collect()}
+    assert any(p.startswith("sequences/") for p in by) and "graph LR" in next(c for p, c in by.items() if p.endswith(".mmd") and p.startswith("entities/"))
+    import json
+
+    index = json.loads(by["index.json"])
+    assert index["schema"] == 2 and index["source_root"] == "root" and index["entities"] == sorted(index["entities"], key=lambda e: e["id"])
+    again = s.put_bundle("w", engine.documents(analysis, "root", "2026-01-01T00:00:00Z", src))
+    assert again == {"written": 0, "pruned": 0, "kept": len(by)}
+    keep = [(p, c) for p, c in by.items() if not p.startswith("sequences/")]
+    keep[0] = (keep[0][0], "changed")
+    less = s.put_bundle("w", spark.createDataFrame(keep, "path string, content string"))
+    assert less["written"] == 1 and less["pruned"] == len(by) - len(keep)
+    assert {(r["path"], r["content"]) for r in s.bundle("w").collect()} == set(keep)
+    assert s.put_bundle("w", docs.limit(0))["kept"] == len(keep)
+    assert s.put_bundle("w", docs.limit(0), allow_empty=True)["pruned"] == len(keep) and s.bundle("w").count() == 0
+    out = tmp_path / "out"
+    assert store.export(docs, str(out))["written"] == len(by) and store.export(docs, str(out))["written"] == 0
+    assert store.export(docs.where("path not like 'sequences/%'"), str(out))["pruned"] > 0
+    (out / "overview.mmd").unlink()
+    (out / "overview.mmd").symlink_to(tmp_path / "elsewhere")
+    with pytest.raises(ValueError):
+        store.export(docs, str(out))
+
+
+def test_the_store_is_kept_small(spark, tmp_path):
+    from graphlens.operators import store
+
+    s = store.Store(spark, str(tmp_path / "s"))
+    one = spark.createDataFrame([("a.mmd", "x" * 50)], "path string, content string")
+    for k in range(3):
+        s.put_bundle(f"b{k}", one)
+        os.utime(tmp_path / "s/bundles" / f"b{k}", (1000 + k, 1000 + k))
+    size = {r["key"]: r["size"] for r in s.entries().collect()}
+    dry = s.collect_garbage(size["bundles/b2"], dry_run=True, now=2000)
+    assert dry["evicted"] == 2 and len(size) == s.entries().count() == 3
+    (tmp_path / "s/bundles/.tmp-x").mkdir()
+    assert s.collect_garbage(10**9, older_than=998, now=2000) == {"entries": 3, "bytes_before": sum(size.values()), "evicted": 2, "bytes_after": size["bundles/b2"], "failed": 0}
+    assert {r["key"] for r in s.entries().collect()} == {"bundles/b2"} and not (tmp_path / "s/bundles/.tmp-x").exists()
+    assert store.Policy.from_env({"GRAPHLENS_AUTO_GC": "0"}) is None
+    assert store.Policy.from_env({"GRAPHLENS_AUTO_GC_MAX_BYTES": "7", "GRAPHLENS_AUTO_GC_MAX_AGE_SECS": "x"}) == store.Policy(7, 30 * 86400)
+    assert s.auto_collect(None) is None and s.auto_collect(store.Policy(0, 10**9), now=2000)["evicted"] == 1
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from graphlens import cli
+
+    src, st = tmp_path / "src", str(tmp_path / "st")
+    src.mkdir()
+    (src / "a.py").write_text("from b import g\ndef f(): g()\n")
+    (src / "b.py").write_text("def g(): pass\n")
+
+    def call(*args):
+        code = cli.main([*args, "--store", st])
+        return code, capsys.readouterr().out
+
+    code, out = call("index", str(src))
+    assert code == 0 and out.startswith("wt-") and "written" in out
+    assert "kept" in call("index", str(src))[1]
+    old = out.split("\t")[0]
+    (src / "b.py").write_text("def g(): h()\ndef h(): pass\n")
+    new = call("index", str(src))[1].split("\t")[0]
+    code, out = call("diff", f"{old}..{new}")
+    assert code == 0 and ":::added" in out and ":::modified" in out
+    assert json.loads(call("diff", f"{old}..{new}", "--format", "json")[1])["counts"]["added"] == 1
+    code, out = call("graph", str(src), "--kinds", "function", "--edges", "calls,deps", "--include-private")
+    assert code == 0 and '--"calls"-->' in out and "%% analyzed 2 files" in out
+    assert json.loads(call("bundle", str(src), "--with-sequences", "--out", str(tmp_path / "o"))[1])["written"] > 4 and (tmp_path / "o/index.json").exists()
+    assert json.loads(call("sequence", str(src), "--out", str(tmp_path / "q"))[1])["written"] == 2
+    assert "graph LR" in call("impact", str(src), "--target", "g")[1] and call("impact", str(src))[0] == 1
+    assert json.loads(call("gc", st, "--max-size", "0", "--dry-run")[1])["evicted"] > 1 and json.loads(call("gc", st, "--max-size", "0")[1])["bytes_after"] == 0
+    with pytest.raises(SystemExit) as e:
+        cli.parser().parse_args(["graph", ".", "--edges", "nothing"])
+    assert e.value.code == 2
+
+
+def test_links_are_not_followed(spark, tmp_path):
+    (tmp_path / "r/sub").mkdir(parents=True)
+    (tmp_path / "r/a.g.dart").write_text("int f() => 1;\n")
+    (tmp_path / "r/sub/b.rs").write_text("fn f() {}\n")
+    assert tree.walk_safe(str(tmp_path / "r"))
+    (tmp_path / "r/link.rs").symlink_to(tmp_path / "r/sub/b.rs")
+    (tmp_path / "r/dir").symlink_to(tmp_path / "r/sub")
+    assert rows(tree.walk(spark, str(tmp_path / "r"))) == {("rust", "sub/b.rs")}
+    assert rows(tree.walk(spark, str(tmp_path / "r/a.g.dart"))) == {("dart", "a.g.dart")}
+    with pytest.raises(ValueError):
+        tree.walk_safe(str(tmp_path / "r"))
+
+
 def test_git_source_and_files(spark, tmp_path):
     repo = tmp_path / "r"
     (repo / "src").mkdir(parents=True)
@@ -449,6 +568,8 @@ def test_git_source_and_files(spark, tmp_path):
     got = spark.read.format("graphlens_git").option("repo", str(repo)).option("chunk", "1").load()
     assert {(r["path"], bytes(r["content"])) for r in got.collect()} == {("src/a.rs", b"fn f() {}\n"), ("vendor/b.rs", b"fn g() {}\n"), ("x.g.dart", b"int f() => 1;\n")}
     assert rows(tree.walk(spark, str(repo))) == {("rust", "src/a.rs")}
+    assert git.tracked_files(str(repo)) == 3 and git.tracked_files(str(repo / "src")) == 1 and git.tracked_files(str(tmp_path)) == 0
+    assert git.snapshot_id(str(repo), "HEAD") == git.revision(str(repo), "HEAD") and git.snapshot_id(str(repo / "src"), "HEAD").endswith("-" + hashlib.sha1(b"src").hexdigest()[:8])
     for bad in ("--output=x", "a..b", "x y", ""):
         assert not git.valid_ref(bad)
         with pytest.raises(ValueError):
