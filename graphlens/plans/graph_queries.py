@@ -97,7 +97,7 @@ def degree_rank(spark, d):
     return graph.degree_rank(P.trade_vertices(spark, d), P.trade_edges(spark, d), 100)
 
 
-@query(f"""with {_DEGREE}, c as (select *, 1 + (row_number() over (partition by file_path order by rank) = 1)::int cost from top where rank <= 100),
+@query(f"""with {_DEGREE}, c as (select *, 1 + (row_number() over (partition by file_path order by rank) = 1)::int cost from top),
 t as (select *, sum(cost) over (order by rank) total from c), u as (select *, total <= {_BUDGET} ok, bool_or(total <= {_BUDGET}) over (partition by file_path) fi, max(case when total <= {_BUDGET} then total end) over () used from t),
 x as (select min(rank) r from u where not ok and fi and used = {_BUDGET} - 1) select id, file_path, rank from u where ok or rank = (select r from x)""")
 def budget_fill(spark, d):
@@ -231,7 +231,8 @@ def flow_skipped(spark, d):
     return w.join(k, "node", "left").groupBy("node").agg(F.count(F.lit(1)).alias("walks"), F.sum(F.coalesce("skipped", F.lit(0))).alias("skipped"))
 
 
-@query()
+@query(f"""with recursive {P.EVENTS}, nx as (select src, arg_min(dst, (seq, dst)) nxt from e where src <> '{_ROOT}' group by 1),
+w(step, id, path) as (select 0, '000001', ['000001'] union all select step + 1, nxt, list_append(path, nxt) from w join nx on nx.src = w.id where not list_contains(path, nxt)) select step, id from w""")
 def call_path(spark, d):
     return traverse.shortest_path(P.event_edges(spark, d), "000001", _ROOT)
 
@@ -368,7 +369,7 @@ def gc_totals(spark, d):
     return catalog.totals(s, catalog.evicted(s, cap))
 
 
-@query(r"select repo, 'wt-'||left(sha1(string_agg(replace(display_path, '\', '/')||':'||blob_sha, chr(10) order by replace(display_path, '\', '/')||':'||blob_sha)), 16) snapshot_id from parse_inputs group by 1")
+@query(r"select repo, 'wt-'||left(sha1(string_agg(replace(display_path, '\', '/')||':'||blob_sha||chr(0), '' order by replace(display_path, '\', '/'), blob_sha)), 16) snapshot_id from parse_inputs group by 1")
 def snapshot_digest(spark, d):
     f = table(spark, d, "parse_inputs").select("repo", F.translate("display_path", "\\", "/").alias("path"), F.col("blob_sha").alias("blob"))
     return catalog.digest(f, "repo")
@@ -379,11 +380,39 @@ def catalog_rows(spark, d):
     return catalog.rows(P.trade_vertices(spark, d), P.trade_edges(spark, d)).select("id", "file", F.array_join("edges_out", ",").alias("edges_out"), F.array_join("edges_in", ",").alias("edges_in"))
 
 
-@query()
+@query(f"""with {P.TRADE}, o as (select src, list_sort(list(distinct dst)) x from e group by 1), i as (select dst, list_sort(list(distinct src)) x from e group by 1)
+select id, to_json(struct_pack(id := id, kind := 'function', name := id, file := file_path, content_hash := '', callers := coalesce(i.x, []), callees := coalesce(o.x, []), children := []::varchar[], imports := []::varchar[], imported_by := []::varchar[],
+  uses := []::varchar[], used_by := []::varchar[], implements := []::varchar[], implemented_by := []::varchar[]))::varchar meta from v left join o on o.src = id left join i on i.dst = id""")
 def catalog_meta(spark, d):
     return catalog.entity_meta(P.trade_vertices(spark, d), P.trade_edges(spark, d))
 
 
+@query(f"""with {P.TRADE}, o as (select src, string_agg('  '||src||' -- calls --> '||dst||':::function['||dst||']', chr(10) order by dst) x from e group by 1), i as (select dst, string_agg('  '||src||':::function['||src||'] -- calls --> '||dst, chr(10) order by src) x from e group by 1)
+select id, concat_ws(chr(10), '%% id: '||id, '%% kind: function', '%% file: '||file_path, '%% content_hash: ', 'graph LR', '  classDef function fill:#e1f5fe,stroke:#01579b', '  classDef function fill:#e1f5fe,stroke:#01579b', '  classDef module fill:#f3e5f5,stroke:#4a148c',
+  '  '||id||':::function['||id||']', o.x, i.x) as text from v left join o on o.src = id left join i on i.dst = id""")
+def entity_stars(spark, d):
+    return catalog.stars(P.trade_vertices(spark, d), P.trade_edges(spark, d))
+
+
+@query(f"with {P.SNAPSHOTS} select n.id from n join o using (id) where n.h = o.h")
+def diff_unchanged(spark, d):
+    return diff.unchanged(*P.document_snapshots(spark, d))
+
+
+@query(f"""with {P.SNAPSHOTS}, lk as (select distinct a.b src, b.b dst from t a join t b on b.doc_id = a.doc_id + 10),
+c0 as (select *, case change_type when 'added' then 1 when 'removed' then 2 when 'modified' then 3 else 4 end k from ch),
+c1 as (select *, 'n'||(row_number() over (order by k, id) - 1) node, case when change_type = 'renamed' then regexp_replace(from_id, '^code:', '')||' ↪ '||regexp_replace(id, '^code:', '') else 'fn '||regexp_replace(id, '^.*::function::', '')||' (d)' end as label from c0),
+ed as (select a.node||' --> '||b.node as line, src, dst from lk join c1 a on a.id = src join c1 b on b.id = dst)
+select k part, '    %% '||change_type||' ('||count(*)||')' as line from c1 group by k, change_type union all select k, '    '||node||'["'||translate(label, '"', chr(39))||'"]:::'||change_type from c1
+union all select 9, '    '||line from ed union all select 8, '    %% blast-radius edges (both ends changed)' where exists (select 1 from ed)""")
+def diff_lines(spark, d):
+    t = table(spark, d, "documents").where("text is not null").select("doc_id", F.concat(F.lit("code:"), F.coalesce("source", F.lit("none")), F.lit("::function::"), "doc_id").alias("b"))
+    links = t.select(F.col("b").alias("src"), (F.col("doc_id") + 10).alias("doc_id")).join(t.withColumnRenamed("b", "dst"), "doc_id")
+    c = diff.changes(*P.document_snapshots(spark, d))
+    about = c.withColumns({"kind": F.lit("function"), "name": F.regexp_replace("id", "^.*::function::", ""), "file": F.lit("d")})
+    return diff.lines(about, links).select("part", "line")
+
+
 # -- sequences --------------------------------------------------------------------
 @query(f"with {P.STEPS}, q as (select fn_id, p, min(o) o from (select fn_id, dst p, ord * 2 + 1 o from st union all select fn_id, 'self', ord * 2 from st) group by all) select fn_id, p participant, row_number() over (partition by fn_id order by o, p) - 1 place from q")
 def sequence_participants(spark, d):
@@ -484,15 +513,62 @@ def children_of(spark, d):
     return graph.CodeGraph(P.nest_atoms(spark, d), P.nest_edges(spark, d)).children_of("N3")
 
 
-@query()
-def knowledge_graph(spark, d):
+_KNOWN = f"""{P.EVENTS}, vv as (select * from v where not ext), bo as (select src, dst, a.file_path <> b.file_path x from e join vv a on a.id = src join vv b on b.id = dst),
+dg as (select vv.id, file_path, coalesce(d, 0) d, coalesce(c, 0) c from vv left join (select id, count(*) d, sum(x::int) c from (select src id, x from bo union all select dst, x from bo) group by 1) q on q.id = vv.id),
+tp as (select *, row_number() over (order by c desc, d desc, id) rank from dg), co as (select *, 1 + (row_number() over (partition by file_path order by rank) = 1)::int cost from tp), tt as (select *, sum(cost) over (order by rank) total from co),
+uu as (select *, total <= {_BUDGET} ok, bool_or(total <= {_BUDGET}) over (partition by file_path) fi, max(case when total <= {_BUDGET} then total end) over () used from tt), xx as (select min(rank) r from uu where not ok and fi and used = {_BUDGET} - 1),
+kp as (select id, file_path, split_part(file_path, '/', -1) base from uu where ok or rank = (select r from xx)),
+ed as (select distinct src, 'calls' as label, dst from e where src <> dst and src in (select id from kp) and dst in (select id from kp)
+  union all select distinct 'code:'||kp.file_path, 'depends on', 'dep:dep'||right(e.dst, 2) from e join vv on vv.id = e.src join v x on x.id = e.dst and x.ext join kp on kp.file_path = vv.file_path)"""
+
+
+def _known(spark, d):
     from .. import engine
 
-    v = P.event_vertices(spark, d).withColumns({"signature": F.lit("pub fn"), "parent": F.lit(None).cast("string")})
-    return engine.knowledge_graph(graph.CodeGraph(v, P.event_edges(spark, d)), 60)[1]
+    v = P.event_vertices(spark, d).withColumns({"signature": F.when(F.col("kind") == "extern", F.concat(F.lit("dep"), F.right("id", F.lit(2)), F.lit("::f"))).otherwise("pub fn"), "parent": F.lit(None).cast("string")})
+    return engine.knowledge_graph(graph.CodeGraph(v, P.event_edges(spark, d)), _BUDGET)
 
 
-@query()
+@query(f"with {_KNOWN} select src, label, dst from ed")
+def knowledge_graph(spark, d):
+    return _known(spark, d)[1]
+
+
+@query(f"with {_KNOWN} select id, 'f'||id::int||'()' as label, 'functionNode' cls, file_path from kp union all select distinct 'code:'||file_path, base, 'fileNode', file_path from kp union all select distinct dst, dst[5:], 'dependencyNode', null from ed where label = 'depends on'")
+def knowledge_nodes(spark, d):
+    return _known(spark, d)[0].drop("line_start")
+
+
+@query(f"""with {_KNOWN}, sx as (select *, '_'||id s from kp), fl as (select distinct file_path p, regexp_replace(file_path, '[^A-Za-z0-9_]', '_', 'g')||'_H'||left(sha256(file_path), 8) s, base, split_part(file_path, '/', 2) c from kp),
+fn as (select *, 'code_'||regexp_replace(p, '[^A-Za-z0-9_]', '_', 'g')||'_H'||left(sha256('code:'||p), 8) n from fl), dp as (select distinct dst, dst[5:] head from ed where label = 'depends on'),
+nm as (select id, s from sx union all select 'code:'||p, n from fn union all select dst, 'dep_'||head from dp)
+select distinct 1 part, '    subgraph dir_crates["crates/"]' as line from kp union all select 1, '    end' where exists (select 1 from kp)
+union all select distinct 1, '        subgraph dir_crates_'||c||'_H'||left(sha256('crates/'||c), 8)||'["crates/'||c||'/"]' from fn union all select 1, '        end' from (select distinct c from fn)
+union all select 1, '            subgraph file_'||s||'["'||p||'"]' from fn union all select 1, '            end' from fn union all select 1, '                '||n||'["'||base||'"]:::fileNode' from fn
+union all select 1, '                '||s||'("f'||id::int||'()"):::functionNode' from sx union all select 2, '    dep_'||head||'(["'||head||'"]):::dependencyNode' from dp
+union all select 3, '    '||a.s||' --"'||label||'"--> '||b.s from (select distinct * from ed) x join nm a on a.id = x.src join nm b on b.id = x.dst""")
+def graph_lines(spark, d):
+    return render.graph_lines(*_known(spark, d)).select("part", "line")
+
+
+@query("""with t as (select 'T'||s_suppkey id, 'Brand#'||(s_suppkey % 5 + 1)||(s_suppkey % 7 + 1) as name, 'm'||(s_suppkey % 13) f from supplier), i as (select 'I'||p_partkey id, p_brand as name, 'm'||(p_partkey % 17) f from part),
+im as (select distinct 'm'||(o_custkey % 17) a, 'm'||(o_custkey % 13) b from orders where o_orderkey % 40 = 0), tr as (select 'I'||p_partkey src, 'R'||(p_partkey % 9) dst from part),
+k as (select i.id, count(t.id) filter (t.f = i.f) nh, min(t.id) filter (t.f = i.f) h, count(t.id) filter (im.b is not null) nn, min(t.id) filter (im.b is not null) n, count(t.id) na, min(t.id) a from i left join t on t.name = i.name left join im on im.a = i.f and im.b = t.f group by 1)
+select distinct case when nh > 0 then h when nn > 0 then n else a end src, dst from k join tr on tr.src = k.id where nh = 1 or nh = 0 and (nn = 1 or nn = 0 and na = 1)""")
+def implement_owners(spark, d):
+    s, p = F.col("s_suppkey"), F.col("p_partkey")
+    null = F.lit(None).cast("string")
+    types = table(spark, d, "supplier").select(F.concat(F.lit("T"), s).alias("id"), F.concat(F.lit("Brand#"), s % 5 + 1, s % 7 + 1).alias("name"), F.concat(F.lit("m"), s % 13).alias("file_path"))
+    impls = table(spark, d, "part").select(F.concat(F.lit("I"), p).alias("id"), F.lit("impl").alias("kind"), F.concat(F.lit("Tr"), p % 9, F.lit(" for kit::"), "p_brand", F.lit("<X>")).alias("name"), F.concat(F.lit("m"), p % 17).alias("file_path"), null.alias("signature"))
+    files = spark.range(17).select(F.concat(F.lit("code:m"), "id").alias("id"), F.lit("module").alias("kind"), F.concat(F.lit("m"), "id").alias("name"), F.concat(F.lit("m"), "id").alias("file_path"), null.alias("signature"))
+    c = F.col("o_custkey")
+    imports = table(spark, d, "orders").where("o_orderkey % 40 = 0").select(F.concat(F.lit("code:m"), c % 17).alias("src"), F.concat(F.lit("code:m"), c % 13).alias("dst"), F.lit("imports").alias("kind"))
+    made = table(spark, d, "part").select(F.concat(F.lit("I"), p).alias("src"), F.concat(F.lit("R"), p % 9).alias("dst"), F.lit("implements").alias("kind"))
+    return graph.implement_owners(impls.unionByName(files), imports.unionByName(made), types)
+
+
+@query(f"""with {P.EVENTS}, {_BACK}, {_ON}, im as ({_EDGES('b')} union {_EDGES('o')}), nd as ({_NODES('b')} union {_NODES('o')})
+select 'digraph g {{'||chr(10)||coalesce((select string_agg('    _'||id||' [label="'||id||'"];', chr(10) order by id) from nd), '')||coalesce(chr(10)||(select string_agg('    _'||src||' -> _'||dst||';', chr(10) order by src, dst) from im), '')||chr(10)||'}}' as text""")
 def dot_impact(spark, d):
     e, n = traverse.impact(P.event_edges(spark, d), _ROOT)
     return render.dot(n.withColumn("label", F.col("id")), e)
@@ -505,7 +581,11 @@ def walk_files(spark, d):
     return parsing.scan_filter(P.source_paths(spark, d))
 
 
-@query()
+@query(f"""with {P.TRADE}, u as (select *, row_number() over (partition by file_id, id order by seq desc, content_hash desc) n from atoms),
+nd as (select case when file_path like 'crates/%' then split_part(file_path, '/', 2) else split_part(file_path, '/', 1) end id, count(*) filter (kind = 'module')||' mod, '||count(*) filter (kind = 'function')||' fn, '||count(*) filter (kind in ('struct', 'enum', 'trait', 'type_alias', 'union', 'impl'))||' struct' t from u where n = 1 group by 1 having id <> ''),
+ed as (select a.crate src, b.crate dst, count(*) n from e join v a on a.id = src join v b on b.id = dst where a.crate <> b.crate group by all),
+sf as (select id, case when regexp_matches(id, '[^A-Za-z0-9_]') then regexp_replace(id, '[^A-Za-z0-9_]', '_', 'g')||'_H'||left(sha256(id), 8) else id end s from (select id from nd union select src from ed union select dst from ed))
+select 'graph LR'||chr(10)||(select string_agg('    '||s||'["'||id||' — '||t||'"]', chr(10) order by id) from nd join sf using (id))||chr(10)||(select string_agg('    '||a.s||' -->|"'||n||' calls"| '||b.s, chr(10) order by src||' '||dst) from ed join sf a on a.id = src join sf b on b.id = dst) as text""")
 def mermaid_project(spark, d):
     n = graph.project_nodes(graph.upsert(table(spark, d, "atoms"), "file_id", "id")).select(F.col("crate").alias("id"), F.format_string("%s — %d mod, %d fn, %d struct", "crate", "modules", "functions", "structs").alias("label"))
     e = graph.project_edges(P.trade_vertices(spark, d), P.trade_edges(spark, d)).select(F.col("src_crate").alias("src"), F.col("dst_crate").alias("dst"), F.concat(F.col("calls").cast("string"), F.lit(" calls")).alias("label"))
