@@ -84,15 +84,15 @@ class RustParser(Parser):
                     break
                 at += 1
                 continue
-            g, end = m.lastgroup, m.end()
+            g = m.lastgroup
             if g == "h":
                 g = "raw"
+            at, end = m.span(g)
             if g == "line":
                 at = end
                 continue
             if g == "end":
                 break
-            at = m.start(g)
             word = text[at:end]
             if g == "id":
                 kinds.append("_" if word == "_" else word if word in KEYWORDS else "id")

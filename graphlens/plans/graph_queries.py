@@ -435,6 +435,13 @@ def sequence_text(spark, d):
     return sequence.text(P.dialogue_steps(spark, d))
 
 
+@query(f"""with {P.STEPS}, ev as (select st.*, event_id % 3 k from st join (select user_id::varchar fn_id, event_id, row_number() over (partition by user_id order by ts, event_id) - 1 ord from events) using (fn_id, ord)),
+q as (select *, trim(regexp_replace(translate(props, '"', chr(39)), '\\s+', ' ', 'g')) l from ev)
+select fn_id, ord * 3 ord, '    '||case k when 0 then 'loop ' else 'alt ' end||dst as line from q where k < 2 union all select fn_id, ord * 3 + 2, '    end' from q where k < 2 union all select fn_id, ord * 3 + 1, case when k < 2 then '    ' else '' end||{_LINE} from q""")
+def sequence_blocks(spark, d):
+    return sequence.lines(P.nested_steps(spark, d))
+
+
 @query()
 def sequence_sources(spark, d):
     return sequence.steps(P.source_files(spark, d))
@@ -503,6 +510,16 @@ def module_tree(spark, d):
     return resolve.module_tree(f.select(F.concat("repo", F.lit("/"), "file").alias("file_path"), F.lit("").alias("scope")))
 
 
+@query("""with f as (select min(file_path) f from atoms where file_path <> '') select id, name, line_start, row_number() over (order by line_start, id, seq) place from atoms where file_path = (select f from f) and kind <> 'module'""")
+def items_in_order(spark, d):
+    from pyspark.sql import Window
+
+    atoms = table(spark, d, "atoms")
+    first = atoms.where("file_path <> ''").agg(F.min("file_path")).first()[0] or ""
+    items = graph.CodeGraph(atoms, P.trade_edges(spark, d)).items_in_order(first)
+    return items.select("id", "name", "line_start", F.row_number().over(Window.partitionBy("file_path").orderBy("line_start", "id", "seq")).alias("place"))
+
+
 @query(f"""with {P.TRADE} select src, dst from e where src = 'C1'""")
 def edges_from(spark, d):
     return graph.CodeGraph(P.trade_vertices(spark, d), P.trade_edges(spark, d)).edges_from("C1", "calls").select("src", "dst")

@@ -37,13 +37,15 @@ e as (select distinct 'C'||o_custkey src, 'S'||l_suppkey dst from orders join li
 # -- events: a cyclic graph with call sites ---------------------------------
 def event_sites(spark: SparkSession, d: str) -> DataFrame:
     """caller_id, rank, flags, name, dst (null if unbound), seq."""
+    from ..operators.parsing import call_ranks
+
     e = table(spark, d, "events").where("event_type = 'error'").select("event_id", "ts", F.col("user_id").alias("u"))
     nxt = F.lead("u").over(Window.partitionBy(F.col("event_id") % 64).orderBy("ts", "event_id"))
     s = e.withColumn("v", nxt).where("v is not null")
-    rank = F.row_number().over(Window.partitionBy("u").orderBy("ts", "event_id")) - 1
+    s = call_ranks(s.withColumns({"caller_id": _vid("u"), "at": F.struct("ts", "event_id")}))
     bound = F.col("event_id") % 4 != 0
     name = F.when(bound, F.concat(F.lit("f"), "v")).when(F.col("v") % 7 == 0, "push").otherwise(F.concat(F.lit("g"), "v"))
-    return s.select(_vid("u").alias("caller_id"), rank.alias("rank"), (F.col("event_id") % 8).cast("int").alias("flags"), name.alias("name"), F.when(bound, _vid("v")).alias("dst"), F.col("event_id").alias("seq"))
+    return s.select("caller_id", "rank", (F.col("event_id") % 8).cast("int").alias("flags"), name.alias("name"), F.when(bound, _vid("v")).alias("dst"), F.col("event_id").alias("seq"))
 
 
 def _vid(c: str):
@@ -203,6 +205,19 @@ def dialogue_steps(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("user_id").cast("string").alias("fn_id"), place.alias("ord"), F.lit(0).alias("depth"), F.lit("call").alias("op"), F.lit("self").alias("src"), F.col("event_type").alias("dst"), F.col("props").alias("label"), (F.col("event_id") % 3 == 2).alias("is_await"))
 
 
+def nested_steps(spark: SparkSession, d: str) -> DataFrame:
+    """The same dialogue with every third call in a loop and every third in an alternative."""
+    s = dialogue_steps(spark, d).join(table(spark, d, "events").select(F.col("user_id").cast("string").alias("fn_id"), "ts", "event_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("ord")), ["fn_id", "ord"])
+    k = F.col("event_id") % 3
+    none, null = F.lit(""), F.lit(None).cast("string")
+    row = lambda n, depth, op, src, dst, label, wait: F.struct(F.lit(n).alias("n"), depth.alias("depth"), op.alias("op"), src.alias("src"), dst.alias("dst"), label.alias("label"), wait.alias("is_await"))
+    inside = (k < 2).cast("int")
+    call = row(1, inside, F.lit("call"), F.lit("self"), F.col("dst"), F.col("label"), F.col("is_await"))
+    block = F.array(row(0, F.lit(0), F.when(k == 0, "loop").otherwise("alt"), null, null, F.col("dst"), F.lit(False)), call, row(2, F.lit(0), F.lit("end"), null, null, none, F.lit(False)))
+    each = s.select("fn_id", F.col("ord").alias("o"), F.explode(F.when(k < 2, block).otherwise(F.array(call))).alias("x"))
+    return each.select("fn_id", (F.col("o") * 3 + F.col("x.n")).alias("ord"), "x.depth", "x.op", "x.src", "x.dst", "x.label", "x.is_await")
+
+
 STEPS = """st as (select user_id::varchar fn_id, row_number() over (partition by user_id order by ts, event_id) - 1 ord, event_type dst, props, event_id % 3 = 2 aw from events)"""
 
 
