@@ -98,6 +98,9 @@ def _stem(word: str) -> str:
     return word
 
 
+_WEAK_STEMS = frozenset(_stem(w) for w in _WEAK)
+
+
 def informative(doc: str | None, name: str = "", params: tuple[str, ...] = (), signature: str | None = None) -> bool:
     """Whether documentation says something beyond name, parameters and signature.
 
@@ -127,9 +130,12 @@ def informative(doc: str | None, name: str = "", params: tuple[str, ...] = (), s
             found.update(_WORD.findall(s.lower()))
     if wide > 1:
         return True
-    known = _parts(name) | {w for x in params for w in _parts(x)} | (_parts(signature) if signature else set())
-    stems = {_stem(w) for w in known | _WEAK}
-    return any(len(w) > 1 and w not in known and w not in _WEAK and _stem(w) not in stems for w in found)
+    found = {w for w in found if len(w) > 1 and w not in _WEAK}
+    if not found:
+        return False
+    known = _parts(name).union(*map(_parts, params), _parts(signature) if signature else ())
+    stems = {_stem(w) for w in known}
+    return any(w not in known and (stem := _stem(w)) not in stems and stem not in _WEAK_STEMS for w in found)
 
 
 _SCHEMA = "file_id bigint, repo string, path string, line_start int, name_at int, name string, owner string, bases array<string>, signature string, params array<string>, doc string, informative boolean, language string, body string"
