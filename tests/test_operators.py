@@ -627,10 +627,12 @@ def test_whole_graph_queries_link_the_files_of_a_crate(spark, tmp_path):
     ]
     table = [(k, r, p, c.encode()) for k, (r, p, c) in enumerate(files)]
     spark.createDataFrame(table, "file_id bigint, repo string, display_path string, content binary").write.parquet(f"{tmp_path}/parse_inputs.parquet")
-    calls = {(a.rsplit("::", 1)[-1], b) for a, b, _ in rows(graph_queries.resolved_edges(spark, str(tmp_path))) if not b.startswith("extern:")}
+    edges = rows(graph_queries.resolved_sources(spark, str(tmp_path)))
+    calls = {(a.rsplit("::", 1)[-1], b) for a, b, k, _ in edges if k == "calls" and not b.startswith("extern:")}
     assert {a for a, _ in calls} == {"go", "main"} and {b.split("::")[0] for a, b in calls if a == "go"} == {"code:a/x/src/util.rs"}
     assert {b.rsplit("::", 1)[-1] for _, b in calls} == {"helper", "shared", "run"}
-    assert {b.split("::")[0] for _, b in rows(graph_queries.resolved_type_uses(spark, str(tmp_path)))} == {"code:a/x/src/util.rs"}
+    assert {b.split("::")[0] for _, b, k, _ in edges if k == "uses"} == {"code:a/x/src/util.rs"}
+    assert {(a, b) for a, b, k, _ in edges if k == "imports"} == {("code:c/z/app.py", "code:c/z/pkg/__init__.py"), ("code:c/z/pkg/__init__.py", "code:c/z/pkg/core.py")}
 
 
 def test_the_last_place_is_filled_from_any_rank(spark):
