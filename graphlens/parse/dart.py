@@ -22,13 +22,14 @@ ASSIGN = frozenset("= += -= *= /= %= ~/= ^= &= |= <<= >>= >>>= ??=".split())
 _OPERATORS = frozenset("< > <= >= == - + / ~/ * % | ^ & << >> >>> ~ []= []".split())
 _TOKEN = re.compile(
     r"[ \t\n\x0b\x0c ﻿]*(?:"
-    r"(?P<line>//[^\n]*)"
+    r"(?P<id>[A-Za-z_$][\w$]*+(?!['\"]))"
+    r"|(?P<line>//[^\n]*)"
     r"|(?P<block>/\*)"
     r"|(?P<rstr>r(?:'''.*?'''|\"\"\".*?\"\"\"|'[^'\n]*'|\"[^\"\n]*\"))"
     r"|(?P<q>'''|\"\"\"|'|\")"
-    r"|(?P<id>[A-Za-z_$][\w$]*)"
+    r"|(?P<name>[A-Za-z_$][\w$]*)"
     r"|(?P<num>0[xX][0-9a-fA-F_]+|(?:[0-9][0-9_]*)?\.[0-9][0-9_]*(?:[eE][+-]?[0-9_]+)?|[0-9][0-9_]*(?:[eE][+-]?[0-9_]+)?)"
-    r"|(?P<p>" + "|".join(re.escape(x) for x in sorted(_PUNCT, key=len, reverse=True)) + r")|(?P<end>\Z))",
+    r"|(?P<p>[()\[\]{},;]|" + "|".join(re.escape(x) for x in sorted(_PUNCT, key=len, reverse=True)) + r")|(?P<end>\Z))",
     re.S | re.A,
 )
 _SPACE = re.compile(r"[ \t\n\x0b\x0c ﻿]*")
@@ -160,7 +161,7 @@ class DartParser(Parser):
                 end = j
             elif g == "rstr":
                 kinds.append("str")
-            elif g == "id":
+            elif g == "id" or g == "name":
                 kinds.append(word if word in RESERVED else "id")
             elif g == "num":
                 kinds.append("num")

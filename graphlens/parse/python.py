@@ -17,13 +17,14 @@ AUGMENTED = frozenset("+= -= *= /= //= %= @= &= |= ^= >>= <<= **=".split())
 _PREFIXES = frozenset("r u b br rb f fr rf".split()) | {""}
 _TOKEN = re.compile(
     r"(?:[ \t\f]+|\\\n)*(?:"
-    r"(?P<comment>\#[^\n]*)"
+    r"(?P<id>[^\W\d]\w*+(?!['\"]))"
     r"|(?P<nl>\n)"
+    r"|(?P<comment>\#[^\n]*)"
     r"|(?P<str>(?:[A-Za-z]{1,2})?(?:'''|\"\"\"|'|\"))"
-    r"|(?P<id>[^\W\d]\w*)"
+    r"|(?P<name>[^\W\d]\w*)"
     r"|(?P<num>0[xX](?:_?[0-9a-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+"
     r"|(?:[0-9](?:_?[0-9])*\.?(?:[0-9](?:_?[0-9])*)?|\.[0-9](?:_?[0-9])*)(?:[eE][+-]?[0-9](?:_?[0-9])*)?[jJ]?)"
-    r"|(?P<p>" + "|".join(re.escape(x) for x in sorted(_PUNCT, key=len, reverse=True)) + r")|(?P<end>\Z))"
+    r"|(?P<p>[()\[\]{},;]|" + "|".join(re.escape(x) for x in sorted(_PUNCT, key=len, reverse=True)) + r")|(?P<end>\Z))"
 )
 _SPACE = re.compile(r"(?:[ \t\f]+|\\\n)*")
 _INDENT = re.compile(r"[ \t\f]*")
@@ -200,7 +201,8 @@ class PythonParser(Parser):
                 errors.append((at, f"unknown character {text[at]!r}"))
                 at += 1
                 continue
-            g, end = m.lastgroup, m.end()
+            g = m.lastgroup
+            begin, end = m.span(g)
             if g == "end":
                 if text[at:n].endswith("\\\n"):
                     errors.append((n, "unexpected end after a backslash"))
@@ -208,9 +210,9 @@ class PythonParser(Parser):
             if g == "comment":
                 at = end
                 continue
-            at = m.start(g)
-            if g == "id":
-                word = m[g]
+            at = begin
+            if g == "id" or g == "name":
+                word = text[at:end]
                 kinds.append(word if word in KEYWORDS else "id")
                 texts.append(word)
                 ats.append(at)
@@ -222,7 +224,7 @@ class PythonParser(Parser):
                     bol = True
                 at = end
                 continue
-            word = m[g]
+            word = text[at:end]
             if g == "str":
                 p = word.rstrip("'\"").lower()
                 if p not in _PREFIXES:
@@ -277,7 +279,9 @@ class PythonParser(Parser):
                         errors.append((at, f"{word} does not match"))
                     stack.pop()
                     opened.pop()
-                add(word, word, at)
+                kinds.append(word)
+                texts.append(word)
+                ats.append(at)
             at = end
         if stack and not nested:
             errors.append((opened[-1], "bracket was never closed"))

@@ -23,7 +23,8 @@ _COMPARE = frozenset(("==", "!=", "<", ">", "<=", ">="))
 _ESC = r"\\(?:[nrt\\0'\"]|x[0-7][0-9a-fA-F]|u\{_*(?:[0-9a-fA-F]_*){1,6}\})"
 _TOKEN = re.compile(
     r"[ \t\n\x0b\x0c\x85‎‏  ]*(?:"
-    r"(?P<doc>///(?!/)[^\n]*|//![^\n]*)"
+    r"(?P<id>[^\W\d]\w*+(?![\"'#]))"
+    r"|(?P<doc>///(?!/)[^\n]*|//![^\n]*)"
     r"|(?P<line>//[^\n]*)"
     r"|(?P<block>/\*)"
     r"|(?P<raw>(?:b|c)?r(?P<h>#*)\"(?:.*?)\"(?P=h))"
@@ -31,9 +32,9 @@ _TOKEN = re.compile(
     rf"|(?P<char>b?'(?:[^'\\\n]|{_ESC})')"
     r"|(?P<life>'(?:r\#)?[^\W\d]\w*)"
     r"|(?P<rawid>r\#[^\W\d]\w*)"
-    r"|(?P<id>[^\W\d]\w*)"
+    r"|(?P<name>[^\W\d]\w*)"
     r"|(?P<num>0x[0-9a-fA-F_]+\w*|0o[0-7_]+\w*|0b[01_]+\w*|[0-9][0-9_]*(?:\.(?![.\w])|\.[0-9][0-9_]*)?(?:[eE][+-]?[0-9_]+)?\w*)"
-    r"|(?P<p>" + "|".join(re.escape(x) for x in sorted(_PUNCT, key=len, reverse=True)) + r")|(?P<end>\Z))",
+    r"|(?P<p>[()\[\]{},;]|" + "|".join(re.escape(x) for x in sorted(_PUNCT, key=len, reverse=True)) + r")|(?P<end>\Z))",
     re.S,
 )
 _SPACE = re.compile(r"[ \t\n\x0b\x0c\x85‎‏  ]*")
@@ -96,6 +97,8 @@ class RustParser(Parser):
             word = text[at:end]
             if g == "id":
                 kinds.append("_" if word == "_" else word if word in KEYWORDS else "id")
+            elif g == "name":
+                kinds.append("_" if word == "_" else word if word in KEYWORDS else "id")
                 nxt = text[end : end + 1]
                 if (nxt == '"' or nxt == "'" and text[end + 2 : end + 3] == "'" or nxt == "#" and re.match(r"#+\"", text[end : end + 8])) and word != "_":
                     self.unit.errors.append((at, f"unknown literal prefix {word}"))
