@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import scalars as S
-from ..session import cut
+from ..session import cut, cut_counting, cut_small
 
 TYPE_KINDS = ("struct", "enum", "trait", "type_alias", "class", "union", "mixin", "extension")
 #: Kinds whose names are never taken for a dependency.
@@ -132,7 +132,7 @@ def module_members(asked: DataFrame, definitions: DataFrame, reexports: DataFram
     key = ["krate", "module", "name"]
     front = asked.select(*key).distinct().select(*key, F.col("module").alias("m"), F.col("name").alias("n"))
     defs = definitions.select("krate", F.col("module").alias("m"), F.col("name").alias("n"), "target")
-    if reexports is None or reexports.isEmpty():
+    if reexports is None:
         return front.join(defs, ["krate", "m", "n"]).select(*key, "target").distinct()
     named = reexports.where("name is not null").select("krate", F.col("module").alias("m"), F.col("name").alias("n"), F.col("to_module").alias("m2"), F.col("to_name").alias("n2"))
     globs = reexports.where("name is null").select("krate", F.col("module").alias("m"), F.col("to_module").alias("m2"))
@@ -144,8 +144,8 @@ def module_members(asked: DataFrame, definitions: DataFrame, reexports: DataFram
             break
         left = front.join(defs.select("krate", "m", "n").distinct(), ["krate", "m", "n"], "left_anti")
         step = left.join(named, ["krate", "m", "n"]).select(*key, F.col("m2").alias("m"), F.col("n2").alias("n")).unionByName(left.join(globs, ["krate", "m"]).select(*key, F.col("m2").alias("m"), "n"))
-        front = cut(step.distinct().join(seen, [*key, "m", "n"], "left_anti"))
-        if front.isEmpty():
+        front, more = cut_counting(step.distinct().join(seen, [*key, "m", "n"], "left_anti"))
+        if not more:
             break
         seen = seen.unionByName(front)
     return out.distinct()
@@ -196,7 +196,8 @@ def decide_calls(atoms: DataFrame, edges: DataFrame, sites: DataFrame, imports:
     raw = sites.where("not is_method").select("caller_id", prefix.alias("prefix"), last.alias("fn")).distinct().withColumn("qual", F.coalesce(qual, F.lit("")))
     owned = fns.where("owner is not null").select(F.col("owner").alias("qual"), F.col("name").alias("fn"), F.lit(True).alias("owned")).distinct()
     raw = raw.join(owned, ["qual", "fn"], "left").where(~F.col("fn").isin(*schema.SKIP_CALLS) | F.col("owned"))
-    asked = cut(raw.join(caller, "caller_id").withColumn("q", F.monotonically_increasing_id()))
+    by_path = "lang = 'rs' and prefix is not null and prefix <> ''"
+    asked, paths = cut_counting(raw.join(caller, "caller_id").withColumn("q", F.monotonically_increasing_id()), F.expr(by_path))
 
     # Candidates of all stages under one kind of key.
     free = fns.where("owner is null")
@@ -207,13 +208,14 @@ def decide_calls(atoms: DataFrame, edges: DataFrame, sites: DataFrame, imports:
     )
     # Exact Rust paths: the module a prefix names, and what it offers under the name.
     exact = None
-    rust = asked.where("lang = 'rs' and prefix is not null and prefix <> ''")
-    if not rust.isEmpty():
-        tree = cut(module_tree(atoms))
+    rust = asked.where(by_path)
+    if paths:
+        tree, _ = cut_small(module_tree(atoms))
         named = rust.select("krate", "here", F.col("prefix").alias("path"), F.coalesce("apart", F.lit(False)).alias("apart"))
-        ways = cut(resolve_paths(named, tree).where("module is not null"))
+        ways, _ = cut_small(resolve_paths(named, tree).where("module is not null"))
         exact = cut(rust.join(ways.withColumnRenamed("path", "prefix"), ["krate", "here", "prefix", "apart"]).select("q", "caller", "crate", "guessed", "krate", F.col("module").alias("m"), "fn"))
-        again = None if imports is None else cut(rust_reexports(imports, tree))
+        again, n = (None, 0) if imports is None else cut_small(rust_reexports(imports, tree))
+        again = again if n else None
         defined = free.where("lang = 'rs'").select("krate", F.col("here").alias("module"), "name", F.col("num").alias("target"))
         found = module_members(exact.select("krate", F.col("m").alias("module"), F.col("fn").alias("name")), defined, again)
         place = lambda m: F.concat("krate", F.lit("\0"), m)
@@ -231,8 +233,8 @@ def decide_calls(atoms: DataFrame, edges: DataFrame, sites: DataFrame, imports:
     # Every question with the names it is asked again under.
     base = ["q", "caller", "crate", "lang", "file_path", "qual", "fn"]
     todo = asked.select(*base, F.lit(0).alias("hop"))
-    packages = None if imports is None else cut(package_reexports(imports))
-    if packages is not None and not packages.isEmpty():
+    packages, named_again = (None, 0) if imports is None else cut_counting(package_reexports(imports))
+    if named_again:
         chain = _chains(packages, PYTHON_HOPS)
         todo = todo.unionByName(todo.where("lang = 'py'").drop("hop").join(chain, ["qual", "fn"]).select("q", "caller", "crate", "lang", "file_path", F.col("to_prefix").alias("qual"), F.col("to_name").alias("fn"), "hop"))
     named, ask = F.col("qual") != "", F.array(F.struct(F.lit(OWNER).alias("stage"), F.col("qual").alias("k1")), F.struct(F.lit(MODULE).alias("stage"), F.col("qual").alias("k1")))
@@ -260,9 +262,9 @@ def decide_calls(atoms: DataFrame, edges: DataFrame, sites: DataFrame, imports:
         return F.when(F.col(f"p{s}").isNotNull(), found(F.col(f"p{s}"), name)).when(F.col(f"n{s}") > 0, unclear)
 
     none, unclear = found(F.lit(None), "unresolved"), found(F.lit(None), "ambiguous")
-    by_path = F.when(F.col("n1") == 1, found(F.col("p1"), "exact")).when(F.col("placed") & (F.col("had1") | ~F.col("guessed")), unclear)
+    exactly = F.when(F.col("n1") == 1, found(F.col("p1"), "exact")).when(F.col("placed") & (F.col("had1") | ~F.col("guessed")), unclear)
     by_name = F.when(F.col("own_file").isNull() & F.col("p7").isNotNull(), found(F.col("p7"), "bare")).otherwise(none)
-    known = F.coalesce(by_path, F.when(F.col("qual").isin("crate", "self", "super", "Self"), none), F.when(F.col("qual") == "", by_name), outcome(OWNER, "owner"), outcome(MODULE, "module"))
+    known = F.coalesce(exactly, F.when(F.col("qual").isin("crate", "self", "super", "Self"), none), F.when(F.col("qual") == "", by_name), outcome(OWNER, "owner"), outcome(MODULE, "module"))
     # The first name that says something decides, else what the last one leaves.
     said = said.withColumn("o", known).groupBy("q").agg(F.min(F.when(F.col("o").isNotNull(), F.struct("hop", "o"))).alias("first"), F.max(F.struct("hop", F.coalesce("owned", F.lit(False)).alias("owned"))).alias("end"))
     result = said.select("q", F.coalesce(F.col("first.o"), F.when(F.col("end.owned"), unclear).otherwise(none)).alias("o"))
@@ -396,7 +398,7 @@ def import_edges(imports: DataFrame, modules: DataFrame, items: DataFrame | None
         own = items.where("file_path like '%.rs'")
         scoped = scoped.unionByName(own.select("file_path", F.coalesce("scope", F.lit("")).alias("scope"))).distinct()
         defined = own.select(krate.alias("krate"), S.join_module(mpath, F.coalesce("scope", F.lit(""))).alias("module"), "name", F.col("file_path").alias("target")).distinct()
-    tree = cut(module_tree(scoped))
+    tree, _ = cut_small(module_tree(scoped))
     places = scoped.select("file_path", krate.alias("krate"), S.join_module(mpath, F.col("scope")).alias("module")).distinct().join(files.select("file_path", "dst"), "file_path").select("krate", "module", "dst").distinct()
     last = F.element_at(F.split("target", "::"), -1)
     rust = cut(i.where("lang = 'rs'").select("src", "krate", "here", "apart", "target", last.alias("name"), F.when(F.instr("target", "::") > 0, F.left("target", F.length("target") - F.length(last) - 2)).alias("before")))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, cut_counting
 
 
 def bounded_bfs(edges: DataFrame, root: str, hops: int = 3, reverse: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -58,10 +58,10 @@ def _levels(adj: DataFrame, root: str, hops: int) -> tuple[DataFrame, DataFrame]
         else:
             step = step.withColumn("known", F.lit(None).cast("boolean"))
         nth = F.row_number().over(Window.partitionBy("onward", "m").orderBy("key", "seq", "node"))
-        step = cut(step.withColumn("first", F.col("known").isNull() & (nth == 1)).drop("known").withColumn("depth", F.lit(depth)))
+        step, met = cut_counting(step.withColumn("first", F.col("known").isNull() & (nth == 1)).drop("known").withColumn("depth", F.lit(depth)), F.col("first"))
         found = step if found is None else found.unionByName(step)
         frontier = step.where("first").select("onward", F.col("m").alias("node"), F.concat("key", F.array("seq")).alias("key"), F.concat("path", F.array("m")).alias("path"))
-        if depth < hops and frontier.isEmpty():
+        if not met:
             break
         old = found.where("first").select("onward", "m", F.lit(True).alias("known"))
     start = spark.createDataFrame([(root, 0)], "id string, depth int")
@@ -86,8 +86,8 @@ def shortest_path(edges: DataFrame, start: str, root: str) -> DataFrame:
     far = 1
     while True:
         ahead = walk.join(jump, "id").select((F.col("step") + far).alias("step"), F.col("next").alias("id"))
-        new = cut(ahead)
-        if new.isEmpty():
+        new, more = cut_counting(ahead)
+        if not more:
             return walk
         walk = cut(walk.unionByName(new))
         met = walk.groupBy("id").agg(F.min("step").alias("step"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import atexit
 import os
+import py_compile
 import shutil
 import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Most bytes that any broadcast of this library may hold, by estimate.
@@ -24,7 +25,8 @@ def ship(spark: SparkSession) -> None:
     """Give the executors this package, once per application.
 
     As a zip through Spark's own file server, as ``--py-files`` would, so that
-    it needs no installation and no shared path.
+    it needs no installation and no shared path.  Compiled modules lie beside the
+    sources: a worker of the same Python does not compile them again.
     """
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
@@ -39,7 +41,9 @@ def ship(spark: SparkSession) -> None:
             for n in names:
                 if n.endswith(".py"):
                     full = os.path.join(at, n)
-                    z.write(full, os.path.join("graphlens", os.path.relpath(full, root)))
+                    name = os.path.join("graphlens", os.path.relpath(full, root))
+                    z.write(full, name)
+                    z.write(py_compile.compile(full, os.path.join(folder, "module.pyc"), name, True, invalidation_mode=py_compile.PycInvalidationMode.UNCHECKED_HASH), name + "c")
     sc.addPyFile(path)
 
 
@@ -129,6 +133,20 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_counting(df: DataFrame, condition: Column | None = None) -> tuple[DataFrame, int]:
+    """``cut``, and how many rows (that meet ``condition``) were written, counted on the way."""
+    seen = Observation()
+    one = F.lit(1) if condition is None else F.when(condition, 1)
+    out = cut(df.observe(seen, F.count(one).alias("n")))
+    return out, int(seen.get.get("n") or 0)
+
+
+def cut_small(df: DataFrame, row_bytes: int = 400) -> tuple[DataFrame, int]:
+    """``cut`` and the number of rows; marked for broadcast if they fit."""
+    out, n = cut_counting(df)
+    return (F.broadcast(out) if n * row_bytes <= BROADCAST_BYTES else out), n
+
+
 def _forget(spark: SparkSession) -> None:
     """Delete what ``cut`` wrote, if the session still runs."""
     try:
