@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..parse import LANGUAGES
 from ..parse.base import Lines
-from ..session import cut, spread
+from ..session import cut, cut_counting, spread
 from .syntax import checked
 
 # What stands in place of documentation, in several languages.
@@ -252,15 +252,15 @@ def resolved(fns: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     up = fns.where("owner is not null and size(bases) > 0").select("repo", "language", owner.alias("base"), F.explode("bases").alias("next")).distinct()
     key = ["repo", "language", "name", "base"]
     # ``at``: a row of ``fns``, so that two methods of one line stay apart; text joins at the end only.
-    open_ = cut(fns.where("name is not null and not informative and owner is not null and size(bases) > 0").select("at", "repo", "language", "name", F.explode("bases").alias("base")).distinct())
+    open_, more = cut_counting(fns.where("name is not null and not informative and owner is not null and size(bases) > 0").select("at", "repo", "language", "name", F.explode("bases").alias("base")).distinct())
     seen = open_.select("at", "base")
     hits = None
-    while not open_.isEmpty():
+    while more:
         hit = cut(open_.join(docs, key).groupBy("at").agg(F.min("d").alias("d")))
         hits = hit if hits is None else hits.unionByName(hit)
         left = open_.join(hit.select("at"), "at", "left_anti")
         above = left.join(up, ["repo", "language", "base"]).drop("base").withColumnRenamed("next", "base").distinct()
-        open_ = cut(above.join(seen, ["at", "base"], "left_anti"))
+        open_, more = cut_counting(above.join(seen, ["at", "base"], "left_anti"))
         seen = cut(seen.unionByName(open_.select("at", "base")))
     return own, None if hits is None else hits.withColumn("origin", F.lit("inherited"))
 
