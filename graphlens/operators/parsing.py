@@ -52,17 +52,19 @@ def _imports(unit: Unit, language: str) -> dict[str, str]:
     return out
 
 
-def _receiver(it: Item, unit: Unit, recv: str) -> str | None:
-    """The declared type of a method call's receiver."""
+def _receiver(it: Item, unit: Unit, recv: str, wide: dict[str, str | None]) -> str | None:
+    """The declared type of a method call's receiver; ``wide``: types of names anywhere in the file."""
     if recv in it.local:
         return it.local[recv]
+    if recv in wide:
+        return wide[recv]
     if recv.startswith(("self.", "this.")):
         owner = (it.parent or "").rsplit(" for ", 1)[-1].split("<")[0].strip()
         return unit.fields.get(owner, {}).get(recv.split(".", 1)[1])
     return None
 
 
-def _call(it: Item, unit: Unit, names: dict[str, str], language: str, name: str, flags: int, method: bool) -> tuple[str, int, bool]:
+def _call(it: Item, unit: Unit, names: dict[str, str], wide: dict[str, str | None], language: str, name: str, flags: int, method: bool) -> tuple[str, int, bool]:
     """A recorded call as it is looked up: (name, flags, only a method name)."""
     if not method:
         if name.endswith("!"):
@@ -75,7 +77,7 @@ def _call(it: Item, unit: Unit, names: dict[str, str], language: str, name: str,
     owner = (it.parent or "").rsplit(" for ", 1)[-1].split("<")[0].strip()
     if recv in ("self", "this", "Self", "cls") and owner:
         return f"{owner}::{last}", flags, False
-    if kind := _receiver(it, unit, recv):
+    if kind := _receiver(it, unit, recv, wide):
         head, _, rest = kind.partition("::")
         kind = f"{names[head]}::{rest}" if rest and head in names else names.get(kind, kind)
         return f"{kind}::{last}", flags | TYPED, False
@@ -117,6 +119,7 @@ def unit_rows(path: str, content: bytes | None) -> list[tuple]:
     for n, (at, what) in enumerate(unit.errors):
         add(_row(path, len(rows), "error", module, name=what, line_start=lines.of(at), extra=None if n else "first"))
     names = _imports(unit, language)
+    wide = unit.names() if language == "dart" else {}  # Dart types a name through the whole file
     for n, (local, target, glob, public) in enumerate(unit.imports):
         add(_row(path, len(rows), "import", module, name=local, target=target, rank=n, extra=("glob " if glob else "") + ("public " if public else "") + ("inner" if n in unit.inner_imports else "")))
     owners = {it.name: _item_id(path, it) for it in unit.items if it.kind in ("struct", "trait", "impl", "enum") and not it.inner}
@@ -151,7 +154,7 @@ def unit_rows(path: str, content: bytes | None) -> list[tuple]:
         owner = (it.parent or "").rsplit(" for ", 1)[-1].split("<")[0].strip()
         local: dict[str, list[int]] = {}
         for rank, (name, _, flags, method) in enumerate(sorted(it.calls, key=lambda c: c[1])):
-            called, flags, only = _call(it, unit, names, language, name, flags, method)
+            called, flags, only = _call(it, unit, names, wide, language, name, flags, method)
             rank = min(rank, 65535)
             add(_row(path, len(rows), "call", entity, name=called, rank=rank, flags=flags, is_method=only))
             if only:

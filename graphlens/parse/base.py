@@ -65,6 +65,15 @@ class Unit:
     inner_imports: set[int] = field(default_factory=set)  # places of those that stand in an inner module or a block
     fields: dict[str, dict[str, str]] = field(default_factory=dict)
 
+    def names(self) -> dict[str, str | None]:
+        """Every name of the file that has one declared type only; others have none."""
+        out: dict[str, str | None] = {}
+        for types in (*self.fields.values(), *(it.local for it in self.items)):
+            for name, ty in types.items():
+                if ty:
+                    out[name] = ty if out.get(name, ty) == ty else None
+        return out
+
 
 def decode(content: bytes | None) -> str | None:
     """The text of a file without a leading mark; None if it is not UTF-8."""

@@ -728,9 +728,13 @@ class DartParser(Parser):
 
     def variables(self, owner, initial: bool) -> None:
         while True:
-            self.name()
+            tok = self.name()
             if self.accept("="):
+                v = self.i
                 self.expr()
+                made = self.texts[v]
+                if made[:1].isupper() and self.kinds[v] == "id" and self.kinds[v + 1] in ("(", "."):  # T(..) or T.named(..)
+                    self.unit.fields.setdefault(owner.name if isinstance(owner, Item) else "", {}).setdefault(self.texts[tok], made)
             if not self.accept(","):
                 break
         self.expect(";")

@@ -405,6 +405,12 @@ def test_bounds_type_their_parameters(spark):
     assert {("src/u.rs#f", "src/st.rs#Store::get"), ("src/u.rs#g", "src/st.rs#Disk::read"), ("src/u.rs#W<S>::a", "src/st.rs#Store::get")} <= _calls(g), _calls(g)
 
 
+def test_dart_types_a_name_through_its_file():
+    src = b"Helper h = Helper();\nfinal k = Kit.make();\nvoid f(Tool t) { h.go(); k.run(); both.x(); }\nclass A { Left both = Left(); void m() { t.use(); } }\nclass B { Right both = Right(); }\n"
+    calls = {(r[2].rsplit("::", 1)[-1], r[4]) for r in parsing.unit_rows("a.dart", src) if r[1] == "call"}
+    assert {("f", "Helper::go"), ("f", "Kit::run"), ("f", "x"), ("m", "Tool::use")} <= calls, calls
+
+
 def test_inner_names_are_looked_up_outward(spark):
     g = _graph(spark, [("src/a.rs", "fn top() {}\nmod m { fn near() {} fn twin() {} mod n { fn f() { near(); top(); twin(); } fn twin() {} } }\nfn twin() {}\n")])
     assert {("src/a.rs#m::n::f", "src/a.rs#m::near"), ("src/a.rs#m::n::f", "src/a.rs#top"), ("src/a.rs#m::n::f", "src/a.rs#m::n::twin")} == _calls(g)
