@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from ..session import cut, fits
 
 _RUN_ROW = 120
-#: Parts of a series' log rows in a join that is no broadcast.
-_SALT = 16
+#: Parts of a series' log rows, by path.
+_PARTS = 16
 
 
 def clean_path(c: Column) -> Column:
@@ -57,47 +57,67 @@ def successful_runs(runs: DataFrame) -> DataFrame:
     return good.select("series", "run_id", F.row_number().over(by).alias("nth"), F.lag("started_at").over(by).alias("lo"), F.col("started_at").alias("hi"))
 
 
-def _join_runs(rows: DataFrame, runs: DataFrame, on: list[str]) -> DataFrame:
-    """Log rows with intervals of their series; a series that holds much of the log is split by salt."""
-    if fits(runs, _RUN_ROW):
-        return rows.join(F.broadcast(runs), on)
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("path", "log_id"), F.lit(_SALT)).cast("int"))
-    return salted.join(runs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALT - 1)))), [*on, "salt"]).drop("salt")
-
-
 def assign_runs(log: DataFrame, runs: DataFrame) -> DataFrame:
-    """Each log row with the first successful run that could read it.
+    """Each log row with the first successful run that could read it, and its ``part``.
 
-    A range join on ``lo < landed_at <= hi``, made an equi-join by cutting each
-    interval into the days it covers; rows before a first run meet the open
-    interval by the series alone.  Rows after a last run have no run and drop.
+    Rows of a path share a part of their series, so whoever groups by series,
+    part and path needs no other exchange than the one by series and part.  Rows
+    after a last run have no run and drop.
     """
     spans = successful_runs(runs)
     days = F.sequence(F.to_date("lo"), F.to_date("hi"))
     closed = spans.where("lo is not null and lo < hi").withColumn("day", F.explode(days))
-    rows = clean_log(log).withColumn("day", F.to_date("landed_at"))
     first = spans.where("nth = 1").select("series", F.col("run_id").alias("r1"), F.col("hi").alias("h1"))
-    rows = _join_runs(rows, first, ["series"])
+    if fits(closed, _RUN_ROW) and fits(first, _RUN_ROW):
+        return _by_days(clean_log(log), first, closed).withColumn("part", F.lit(0))
+    return _by_time(clean_log(log), spans)
+
+
+def _by_days(rows: DataFrame, first: DataFrame, closed: DataFrame) -> DataFrame:
+    """Runs by broadcast: a range join on ``lo < landed_at <= hi``.
+
+    It is made an equi-join by cutting each interval into the days it covers;
+    rows before a first run meet the open interval by the series alone.
+    """
+    rows = rows.withColumn("day", F.to_date("landed_at")).join(F.broadcast(first), ["series"])
     early = rows.where("landed_at <= h1").select("series", "path", "blob", "log_id", "scanned_at", F.col("r1").alias("run_id"), F.lit(1).alias("nth"))
     late = (
-        _join_runs(rows.where("landed_at > h1"), closed, ["series", "day"])
+        rows.where("landed_at > h1").join(F.broadcast(closed), ["series", "day"])
         .where("landed_at > lo and landed_at <= hi")
         .select("series", "path", "blob", "log_id", "scanned_at", "run_id", "nth")
     )
     return early.unionByName(late)
 
 
+def _by_time(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """Runs by time: log rows and runs of a series in one order, from the latest on.
+
+    The log moves once, narrow, and nothing but the runs is repeated, once for
+    each part of a series.  The last run seen before a row is the first that
+    could read it; of equal starts that is the one with the least ``nth``.
+    """
+    parts = F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1)))
+    marks = spans.select("series", parts.alias("part"), F.col("hi").alias("at"), F.struct("nth", "run_id").alias("run"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(_PARTS)).cast("int"))
+    both = rows.withColumnRenamed("landed_at", "at").unionByName(marks, allowMissingColumns=True)
+    back = Window.partitionBy("series", "part").orderBy(F.desc("at"), F.col("run").isNull(), F.desc("run.nth")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("next", F.last("run", ignorenulls=True).over(back)).where("run is null and next is not null")
+    return found.select("series", "part", "path", "blob", "log_id", "scanned_at", "next.run_id", "next.nth")
+
+
 def listings(log: DataFrame, runs: DataFrame) -> DataFrame:
-    """What each successful run lists: ``series, path, nth, run_id, blob``.
+    """What each successful run lists: ``series, path, nth, run_id, blob, until``.
 
     Only paths with a row landed since the last run can differ from what the
     manifest holds, so a run's listing is kept to those; their blob is the best
-    of all rows that the run or one before it could read.
+    of all rows that the run or one before it could read.  ``until`` is the next
+    run that lists the path, told here where the path's rows are in order.
     """
-    part = Window.partitionBy("series", "path").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    by = Window.partitionBy("series", "part", "path").orderBy("nth")
     best = F.max(F.struct("scanned_at", "log_id", "blob"))
-    touched = assign_runs(log, runs).groupBy("series", "path", "nth", "run_id").agg(best.alias("b")).repartition("series", "path")
-    return touched.select("series", "path", "nth", "run_id", F.max("b").over(part)["blob"].alias("blob"))
+    touched = assign_runs(log, runs).groupBy("series", "part", "path", "nth", "run_id").agg(best.alias("b"))
+    so_far = F.max("b").over(by.rowsBetween(Window.unboundedPreceding, 0))
+    return touched.select("series", "path", "nth", "run_id", so_far["blob"].alias("blob"), F.lead("nth").over(by).alias("until"))
 
 
 def manifests(listed: DataFrame) -> DataFrame:
@@ -108,8 +128,7 @@ def manifests(listed: DataFrame) -> DataFrame:
     that next run, the one that has to compare with it.  Failed runs commit
     nothing and have no listing.
     """
-    part = Window.partitionBy("series", "path").orderBy("nth")
-    return listed.select("series", "path", F.lead("nth").over(part).alias("nth"), "blob").where("nth is not null")
+    return listed.where("until is not null").select("series", "path", F.col("until").alias("nth"), "blob")
 
 
 def replay(log: DataFrame, runs: DataFrame) -> DataFrame:

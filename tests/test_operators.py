@@ -132,6 +132,28 @@ def test_replay_equals_brute_force(spark):
     assert incremental.replay(spark.createDataFrame([], LOG), spark.createDataFrame(runs, RUN)).count() == 0
 
 
+def test_runs_beyond_a_broadcast_move_the_log_once(spark, monkeypatch):
+    rng = random.Random(14)
+    log, start = _log(rng, 400), dt.datetime(2025, 1, 2)
+    runs = [(k, rng.choice("rs"), "p", rng.choice(["succeeded", "succeeded", "failed"]), start + dt.timedelta(hours=rng.randrange(24 * 25))) for k in range(40)]
+    runs += [(100 + k, r, "p", "succeeded", at) for k, (_, r, _, _, at) in enumerate(runs[:8])]
+    runs += [(200 + k, row[1], "p", "succeeded", row[6]) for k, row in enumerate(log[:8])]
+    want = set()
+    for series in (("r", "p"), ("s", "p")):
+        before = {}
+        for run in sorted((x for x in runs if x[1:3] == series and x[3] == "succeeded"), key=lambda x: (x[4], x[0])):
+            now = _current(log, series, run[4])
+            want |= {(run[0], p, b) for p, b in now.items() if before.get(p) != b}
+            before = now
+    d, r = spark.createDataFrame(log, LOG), spark.createDataFrame(runs, RUN)
+    assert rows(incremental.replay(d, r)) == want
+    monkeypatch.setattr(incremental, "fits", lambda *a: False)
+    got = incremental.replay(d, r)
+    assert rows(got) == want and got.count() == len(want)
+    plan = incremental.listings(d, r)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Scan ExistingRDD[log_id") == 1 and plan.count("Exchange hashpartitioning") == 2
+
+
 def test_manifest_survives_failures_and_agrees_with_replay(spark, tmp_path):
     log = spark.createDataFrame([r for r in _log(random.Random(5), 80) if r[1] == "r"], LOG)
     moments = [(1, "2025-01-05 00:00:00"), (2, "2025-01-09 00:00:00"), (3, "2025-01-20 00:00:00")]
